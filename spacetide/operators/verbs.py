@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -515,7 +516,6 @@ def rolling_pairwise_stat(cube: DataFrame, stat, window_days: int, min_t: int =
     windows = time_windows(cube, window_days)
     enough = windows.groupBy("window_end").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_t)
     windows = windows.join(enough.select("window_end"), "window_end", "left_semi")
-    import pandas as pd
 
     @F.pandas_udf("double")
     def both_sides(x: pd.Series, y: pd.Series) -> float:

@@ -71,7 +71,7 @@ def ship_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLACES = """places AS (
   SELECT CAST(c_custkey AS VARCHAR) AS fire_id, c_custkey, c_nationkey, c_mktsegment,
-         round(-125 + 2.4 * c_nationkey, 6) AS lon, CAST(24 + c_custkey % 27 AS DOUBLE) AS lat
+         round(CAST(-125 + 2.4 * c_nationkey AS DOUBLE), 6) AS lon, CAST(24 + c_custkey % 27 AS DOUBLE) AS lat
   FROM customer)"""
 
 DAILY = """daily AS (

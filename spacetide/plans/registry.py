@@ -13,6 +13,9 @@ SURVEY: dict[str, str] = {}
 
 MODULES = [
     "verb_queries",
+    "source_queries",
+    "window_queries",
+    "join_queries",
 ]
 
 
