@@ -16,6 +16,7 @@ MODULES = [
     "source_queries",
     "window_queries",
     "join_queries",
+    "event_queries",
 ]
 
 
