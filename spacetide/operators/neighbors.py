@@ -174,9 +174,12 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
             [{"distance": float(x), "ids": ids[j]} for x, j in zip(dr, ir)] for dr, ir in zip(dist, idx)
         ]
 
-    def own_leaf(key, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    none = pd.Series([], dtype=object)
+    no_coord = {c: none.astype(float) for c in cols}
+
+    def own_leaf(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
-            return pd.DataFrame({**{c: [] for c in cols}, "found": [], "leaves": []})
+            return pd.DataFrame({**no_coord, "found": none, "leaves": none})
         xy = asked[cols].to_numpy(float)
         radius = np.full(len(asked), np.inf)
         found: list = [[] for _ in range(len(asked))]
@@ -206,7 +209,7 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
 
         def other_leaf(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if mine.empty or asked.empty:
-                return pd.DataFrame({**{c: [] for c in cols}, "found": []})
+                return pd.DataFrame({**no_coord, "found": none})
             idx, dist = _best(asked[cols].to_numpy(float), mine[cols].to_numpy(float), extra)
             ids = [list(v) for v in mine["ids"]]
             return pd.DataFrame({**{c: asked[c].to_numpy() for c in cols}, "found": pack(dist, idx, ids)})

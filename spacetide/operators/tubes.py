@@ -163,10 +163,11 @@ def tube_sections(tubes: DataFrame) -> DataFrame:
     ends = tubes.groupBy("tube_id", "time", "y").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     pts = ends.select("tube_id", "time", "y", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("x"))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ring = _hull(pdf[["x", "y"]].to_numpy(float))
         if len(ring) < 3:
-            return pd.DataFrame({"tube_id": [], "time": [], "ring": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"tube_id": none.astype("int64"), "time": none, "ring": none})
         return pd.DataFrame(
             {"tube_id": [key[0]], "time": [key[1]], "ring": [[{"x": float(a), "y": float(b)} for a, b in ring]]}
         )

@@ -17,6 +17,7 @@ MODULES = [
     "window_queries",
     "join_queries",
     "event_queries",
+    "aggregate_queries",
 ]
 
 
