@@ -108,12 +108,13 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float |
     return [None] * len(probs) if row is None else [row[f"q{i}"] for i in range(len(probs))]
 
 
-def with_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Attach exact group quantiles as columns."""
-    by = list(by)
-    table = quantile_table(df, value, probs, by)
-    table = table.select(*by, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
-    return df.join(table, by, "left") if by else df.crossJoin(F.broadcast(table))
+def column_quantiles(df: DataFrame, probs: dict[str, Sequence[float]]) -> dict[str, list[float]]:
+    """Exact quantiles of several columns in one pass (one row per column to the driver)."""
+    every = sorted({p for ps in probs.values() for p in ps})
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in probs]).unpivot([], list(probs), "_metric", "_value")
+    rows = {r["_metric"]: r for r in quantile_table(long, "_value", every, ["_metric"]).collect()}
+    pick = lambda c, p: rows[c][f"q{every.index(p)}"] if c in rows else None
+    return {c: [pick(c, p) for p in ps] for c, ps in probs.items()}
 
 
 def with_average_rank(df: DataFrame, value: str, name: str, by: Sequence[str] = (), pct: bool = False) -> DataFrame:

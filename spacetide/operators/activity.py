@@ -278,13 +278,17 @@ def interp_trajectory(obs: DataFrame, columns: Sequence[str], bins: int = 21, sc
         pts = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.round(F.col(x), DIGITS).alias("x"), F.col(c).cast("double").alias("y")))))
         aggs.append(pts.alias(f"_{c}"))
     out = obs.groupBy(KEY).agg(*aggs)
-    for c in columns:
+
+    def on_grid(c: str) -> Column:
         pts = F.col(f"_{c}")
-        arr = F.when(F.size(pts) >= 2, F.transform(grid, lambda g, pts=pts: piecewise(pts, "x", "y", g)))
-        out = out.withColumn(c, arr)
-        if c in scaled:
-            top = F.array_max(F.transform(F.col(c), lambda v: F.abs(v)))
-            out = out.withColumn(c, F.transform(F.col(c), lambda v, top=top: F.coalesce(F.try_divide(v, top), v)))
+        return F.when(F.size(pts) >= 2, F.transform(grid, lambda g: piecewise(pts, "x", "y", g)))
+
+    def unit_size(c: str) -> Column:
+        top = F.array_max(F.transform(c, lambda v: F.abs(v)))
+        return F.transform(c, lambda v: F.coalesce(F.try_divide(v, top), v))
+
+    out = out.withColumns({c: on_grid(c) for c in columns})
+    out = out.withColumns({c: unit_size(c) for c in scaled})
     return out.select(KEY, *columns)
 
 

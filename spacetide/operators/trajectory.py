@@ -313,10 +313,9 @@ SHAPE_QUANTILES = {  # column -> probabilities behind the population thresholds
 
 
 def shape_thresholds(features: DataFrame) -> dict[str, float]:
-    """Four population quantiles (bounded probes)."""
-    a75, a90 = ranking.quantiles(features, "final_area_km2", SHAPE_QUANTILES["final_area_km2"])
-    (d50,) = ranking.quantiles(features, "duration_days", SHAPE_QUANTILES["duration_days"])
-    (s75,) = ranking.quantiles(features, "slenderness_days_per_width", SHAPE_QUANTILES["slenderness_days_per_width"])
+    """Four population quantiles from one pass (a bounded probe)."""
+    q = ranking.column_quantiles(features, SHAPE_QUANTILES)
+    (a75, a90), (d50,), (s75,) = q.values()
     return {"area_q75": a75, "area_q90": a90, "duration_q50": d50, "slender_q75": s75}
 
 
@@ -439,16 +438,17 @@ def climate_features(slices: DataFrame, meta: DataFrame, climate: Sequence[str]
     ok = slices.where("climate_available").join(meta.select(KEY, "region"), KEY)
     ok = ok.withColumn("month", F.month("timestamp"))
     flags = {"hot_day": "maximum_temperature_c", "high_vpd_day": "vpd_kpa", "windy_day": "wind_speed_m_s"}
-    cuts = {name: ranking.quantiles(ok, c, [0.90])[0] for name, c in flags.items()}
+    cuts = ranking.column_quantiles(ok, {c: [0.90] for c in flags.values()})
     span = F.max("slice_index").over(W.partitionBy(KEY))
     rel = F.coalesce(C.ratio(F.col("slice_index"), span), F.lit(0.5))
     s = ok.withColumn("time_bin", C.time_bin(F.round(rel, DIGITS)))
     for name, c in flags.items():
-        cut = cuts[name]
+        (cut,) = cuts[c]
         s = s.withColumn(name, (F.round(F.col(c), DIGITS) >= F.lit(None if cut is None else round(cut, DIGITS)).cast("double")).cast("double"))
-    for c in climate:
-        med = ranking.quantile_table(ok, c, [0.5], ["region", "month"]).withColumnRenamed("q0", f"_m_{c}")
-        s = s.join(med, ["region", "month"], "left").withColumn(f"_a_{c}", F.col(c) - F.col(f"_m_{c}"))
+    long = ok.select("region", "month", *climate).unpivot(["region", "month"], list(climate), "_metric", "_value")
+    med = ranking.quantile_table(long, "_value", [0.5], ["region", "month", "_metric"])
+    med = med.groupBy("region", "month").agg(*[F.max(F.when(F.col("_metric") == c, F.col("q0"))).alias(f"_m_{c}") for c in climate])
+    s = s.join(med, ["region", "month"], "left").withColumns({f"_a_{c}": F.col(c) - F.col(f"_m_{c}") for c in climate})
     aggs = [F.count(F.lit(1)).alias("slice_count")]
     aggs += [F.avg(name).alias(f"{name}_fraction") for name in flags]
     for c in climate:

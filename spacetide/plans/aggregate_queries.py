@@ -208,11 +208,11 @@ def _(spark, d):
     "population_quantiles",
     "4.13",
     f"""WITH {TRAITS}, m AS (SELECT 'total_area_km2' AS metric, total_area_km2 AS v FROM traits UNION ALL SELECT 'duration_days', duration_hours / 24 FROM traits)
-    SELECT metric, round(quantile_cont(v, 0.01), 6) AS p01, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.99), 6) AS p99 FROM m GROUP BY 1""",
+    SELECT metric, round(quantile_cont(v, 0.01), 8) AS p01, round(quantile_cont(v, 0.1), 8) AS p10, round(quantile_cont(v, 0.5), 8) AS p50, round(quantile_cont(v, 0.9), 8) AS p90, round(quantile_cont(v, 0.99), 8) AS p99 FROM m GROUP BY 1""",
 )
 def _(spark, d):
     t = traits(spark, d).withColumn("duration_days", F.col("duration_hours") / 24)
-    return rounded(P.quantile_report(t, ["total_area_km2", "duration_days"]), "p01", "p10", "p50", "p90", "p99")
+    return rounded(P.quantile_report(t, ["total_area_km2", "duration_days"]), "p01", "p10", "p50", "p90", "p99", digits=8)
 
 
 @query(
@@ -273,11 +273,11 @@ def _(spark, d):
     "4.22",
     f"""WITH {SLICES}, l AS (SELECT fire_id, timestamp, 'vpd_kpa' AS variable, vpd_kpa AS v FROM slices UNION ALL SELECT fire_id, timestamp, 'wind_speed_m_s', wind_speed_m_s FROM slices),
     p AS (SELECT *, lag(v) OVER (PARTITION BY fire_id, variable ORDER BY timestamp) AS pv FROM l), b AS (SELECT *, CASE WHEN pv IS NOT NULL THEN v END AS x, CASE WHEN v IS NOT NULL THEN pv END AS y FROM p)
-    SELECT fire_id, variable, round(stddev_pop(v - pv), 6) AS step_sd, round(CASE WHEN count(*) >= 3 AND sqrt(var_pop(x) * var_pop(y)) > 1e-12 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END, 6) AS lag1_autocorr, round(stddev_pop(v), 6) AS within_sd
+    SELECT fire_id, variable, round(stddev_pop(v - pv), 9) AS step_sd, round(CASE WHEN count(*) >= 3 AND sqrt(var_pop(x) * var_pop(y)) > 1e-12 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END, 9) AS lag1_autocorr, round(stddev_pop(v), 9) AS within_sd
     FROM b GROUP BY ALL HAVING count(*) >= 2""",
 )
 def _(spark, d):
-    return rounded(A.environmental_roles(slices(spark, d), ["vpd_kpa", "wind_speed_m_s"]), "step_sd", "lag1_autocorr", "within_sd")
+    return rounded(A.environmental_roles(slices(spark, d), ["vpd_kpa", "wind_speed_m_s"]), "step_sd", "lag1_autocorr", "within_sd", digits=9)
 
 
 @query(

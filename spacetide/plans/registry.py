@@ -18,6 +18,7 @@ MODULES = [
     "join_queries",
     "event_queries",
     "aggregate_queries",
+    "trajectory_queries",
 ]
 
 
