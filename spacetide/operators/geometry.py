@@ -17,6 +17,11 @@ from ..functions import columns as C
 RING = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` (a lambda binding keeps it from being inlined)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -185,17 +190,16 @@ def sample_ring(ring: Column, n: int, *, closed: bool = True) -> Column:
         ),
     )
 
-    def at(total: Column, segs: Column, i: Column) -> Column:
-        d = total * i / F.lit(float(n))
-        on = F.filter(segs, lambda s: (s["s"] <= d + 1e-12) & (s["l"] > 0))
-        seg = F.get(on, F.size(on) - 1)
+    def on_segment(seg: Column, d: Column) -> Column:
         f = F.coalesce(F.try_divide(d - seg["s"], seg["l"]), F.lit(0.0))
         return point(seg["a"]["x"] + (seg["b"]["x"] - seg["a"]["x"]) * f, seg["a"]["y"] + (seg["b"]["y"] - seg["a"]["y"]) * f)
 
-    one = F.array(walked)  # evaluate the walk once
-    return F.get(
-        F.transform(one, lambda r: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(r["s"], r["segs"], i))), F.lit(0)
-    )
+    def at(walk: Column, i: int) -> Column:
+        d = walk["s"] * i / float(n)
+        passed = F.filter(walk["segs"], lambda s: (s["s"] <= d + 1e-12) & (s["l"] > 0))
+        return let(F.element_at(passed, F.lit(-1)), lambda seg: on_segment(seg, d))
+
+    return let(walked, lambda walk: F.array(*[at(walk, i) for i in range(n)]))
 
 
 def clean_event_rows(daily: DataFrame, key: str = "fire_id", day: str = "date", ring: str = "ring") -> DataFrame:

@@ -19,6 +19,7 @@ MODULES = [
     "event_queries",
     "aggregate_queries",
     "trajectory_queries",
+    "geometry_queries",
 ]
 
 
