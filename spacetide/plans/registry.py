@@ -20,6 +20,7 @@ MODULES = [
     "aggregate_queries",
     "trajectory_queries",
     "geometry_queries",
+    "model_queries",
 ]
 
 
