@@ -21,6 +21,8 @@ MODULES = [
     "trajectory_queries",
     "geometry_queries",
     "model_queries",
+    "governance_queries",
+    "stream_queries",
 ]
 
 
