@@ -10,6 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Higher-order functions re-evaluate whatever a lambda mentions for every
+    element; a lambda variable is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ordered(order: str | Column, value: Column) -> Column:
     """Aggregate: values as an array in the order of ``order``."""
     order = F.col(order) if isinstance(order, str) else order
@@ -28,34 +37,39 @@ def mean(arr: Column) -> Column:
 def interp(arr: Column, fraction: Column | float) -> Column:
     """Linear interpolation at a fraction of an evenly spaced array (ends clamped)."""
     fraction = F.lit(fraction) if isinstance(fraction, (int, float)) else fraction
-    last = F.size(arr) - 1
-    pos = F.round(fraction * last, 9)
-    lo = F.floor(pos).cast("int")
-    hi = F.least(lo + 1, last)
-    low, high = F.get(arr, lo), F.get(arr, hi)
-    return low + (high - low) * (pos - lo)
+
+    def at(s: Column) -> Column:
+        last = F.size(s["a"]) - 1
+        lo = F.floor(s["p"]).cast("int")
+        low = F.get(s["a"], lo)
+        return low + (F.get(s["a"], F.least(lo + 1, last)) - low) * (s["p"] - lo)
+
+    return let(arr, lambda a: let(F.struct(a.alias("a"), F.round(fraction * (F.size(a) - 1), 9).alias("p")), at))
 
 
 def diff(arr: Column) -> Column:
     """v[i+1] - v[i]; a single value gives [0.0]."""
-    n = F.size(arr)
-    steps = F.zip_with(
-        F.slice(arr, 2, F.greatest(n - 1, F.lit(0))),
-        F.slice(arr, 1, F.greatest(n - 1, F.lit(0))),
-        lambda b, a: b - a,
-    )
-    return F.when(n > 1, steps).otherwise(F.array(F.lit(0.0)))
+
+    def steps(v: Column) -> Column:
+        n = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.when(n > 0, F.zip_with(F.slice(v, 2, n), F.slice(v, 1, n), lambda b, a: b - a)).otherwise(F.array(F.lit(0.0)))
+
+    return let(arr, steps)
 
 
 def gradient(arr: Column) -> Column:
     """Central differences inside, one-sided differences at both ends."""
-    last = F.size(arr) - 1
 
-    def at(i: Column) -> Column:
-        lo, hi = F.greatest(i - 1, F.lit(0)), F.least(i + 1, last)
-        return (F.get(arr, hi) - F.get(arr, lo)) / (hi - lo)
+    def slopes(v: Column) -> Column:
+        last = F.size(v) - 1
+
+        def at(i: Column) -> Column:
+            lo, hi = F.greatest(i - 1, F.lit(0)), F.least(i + 1, last)
+            return (F.get(v, hi) - F.get(v, lo)) / (hi - lo)
+
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last), at))
 
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(0), last), at))
+    return let(arr, slopes)
 
 
 def trapezoid(values: Column, times: Column) -> Column:
@@ -73,10 +87,12 @@ def trapezoid(values: Column, times: Column) -> Column:
 
 def run_starts(flags: Column) -> Column:
     """Zero-based positions where a boolean array turns true."""
-    idx = F.sequence(F.lit(0), F.size(flags) - 1)
-    return F.filter(
-        idx, lambda i: F.get(flags, i) & ((i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False)))
-    )
+
+    def starts(f: Column) -> Column:
+        idx = F.sequence(F.lit(0), F.size(f) - 1)
+        return F.filter(idx, lambda i: F.get(f, i) & ((i == 0) | ~F.coalesce(F.get(f, i - 1), F.lit(False))))
+
+    return let(flags, starts)
 
 
 def quantile(arr: Column, q: float) -> Column:

@@ -13,15 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.arrays import let
 
 RING = "array<struct<x:double,y:double>>"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body`` (a lambda binding keeps it from being inlined)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -101,17 +97,23 @@ def largest_part(parts: Column) -> Column:
     return F.array_max(scored)["r"]
 
 
-def on_boundary(ring: Column, x: Column, y: Column, eps: float = 1e-9) -> Column:
+def on_edges(edge_list: Column, x: Column, y: Column, eps: float = 1e-9) -> Column:
+    """Is the point on one of the edges?"""
+
     def touches(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         side = F.abs((bx - ax) * (y - ay) - (by - ay) * (x - ax))
         along = x.between(F.least(ax, bx) - eps, F.greatest(ax, bx) + eps) & y.between(F.least(ay, by) - eps, F.greatest(ay, by) + eps)
         return along & (side <= eps * F.greatest(F.hypot(bx - ax, by - ay), F.lit(1.0)))
 
-    return F.exists(edges(ring), touches)
+    return F.exists(edge_list, touches)
 
 
-def in_ring(ring: Column, x: Column, y: Column) -> Column:
+def on_boundary(ring: Column, x: Column, y: Column) -> Column:
+    return on_edges(edges(ring), x, y)
+
+
+def in_edges(edge_list: Column, x: Column, y: Column) -> Column:
     """Even-odd ray test; points exactly on an edge may go either way."""
 
     def crossing(e: Column) -> Column:
@@ -120,7 +122,11 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
         at = (bx - ax) * F.coalesce(F.try_divide(y - ay, by - ay), F.lit(0.0)) + ax
         return F.when(spans & (x < at), 1).otherwise(0)
 
-    return F.aggregate(edges(ring), F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
+    return F.aggregate(edge_list, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
+
+
+def in_ring(ring: Column, x: Column, y: Column) -> Column:
+    return in_edges(edges(ring), x, y)
 
 
 def covers(ring: Column, x: Column, y: Column) -> Column:
@@ -152,23 +158,30 @@ def covers_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     return corners & ~F.exists(edges(ring), cuts)
 
 
-def representative_point(ring: Column) -> tuple[Column, Column]:
-    """A point inside the ring: middle of the widest span of a scanline near mid-height."""
+def representative_point(ring: Column) -> Column:
+    """A point (struct) inside the ring: middle of the widest span of a scanline near mid-height."""
     box = extent(ring)
-    mid = (box["y0"] + box["y1"]) / 2
     ys = F.transform(ring, lambda p: p["y"])
-    below = F.coalesce(F.array_max(F.filter(ys, lambda v: v <= mid)), box["y0"])
-    above = F.coalesce(F.array_min(F.filter(ys, lambda v: v > mid)), box["y1"])
-    line = (below + above) / 2
-    cut = F.filter(edges(ring), lambda e: (e["a"]["y"] > line) != (e["b"]["y"] > line))
-    xs = F.array_sort(
-        F.transform(cut, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * F.coalesce(F.try_divide(line - e["a"]["y"], e["b"]["y"] - e["a"]["y"]), F.lit(0.0)))
+    seed = F.struct(
+        ys.alias("ys"), ((box["y0"] + box["y1"]) / 2).alias("mid"), box["y0"].alias("y0"), box["y1"].alias("y1"), ((box["x0"] + box["x1"]) / 2).alias("mx"), edges(ring).alias("e")
     )
-    pairs = F.when(F.size(xs) >= 2, F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.transform(
-        pairs, lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i + 1) + F.get(xs, 2 * i)) / 2).alias("m"))
-    )
-    return F.coalesce(F.array_max(spans)["m"], (box["x0"] + box["x1"]) / 2), line
+
+    def scanline(s: Column) -> Column:
+        below = F.coalesce(F.array_max(F.filter(s["ys"], lambda v: v <= s["mid"])), s["y0"])
+        above = F.coalesce(F.array_min(F.filter(s["ys"], lambda v: v > s["mid"])), s["y1"])
+        return let(F.struct(((below + above) / 2).alias("y"), s["e"].alias("e"), s["mx"].alias("mx")), crossings)
+
+    def crossings(s: Column) -> Column:
+        cut = F.filter(s["e"], lambda e: (e["a"]["y"] > s["y"]) != (e["b"]["y"] > s["y"]))
+        at = lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * F.coalesce(F.try_divide(s["y"] - e["a"]["y"], e["b"]["y"] - e["a"]["y"]), F.lit(0.0))
+        return let(F.array_sort(F.transform(cut, at)), lambda xs: point(F.coalesce(widest(xs), s["mx"]), s["y"]))
+
+    def widest(xs: Column) -> Column:
+        pairs = F.when(F.size(xs) >= 2, F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        spans = F.transform(pairs, lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i + 1) + F.get(xs, 2 * i)) / 2).alias("m")))
+        return F.array_max(spans)["m"]
+
+    return let(seed, scanline)
 
 
 def sample_ring(ring: Column, n: int, *, closed: bool = True) -> Column:

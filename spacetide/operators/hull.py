@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.arrays import let
 from . import geometry as G
 from .joins import as_of_join
 
@@ -39,9 +40,9 @@ def time_hull(daily: DataFrame, *, n_ring: int = 100, n_theta: int = 72, z: str
             return F.array_max(F.transform(c["p"], lambda p: (p["x"] - c["mx"]) * u[0] + (p["y"] - c["my"]) * u[1]))
 
         angles = [(math.cos(2 * math.pi * k / n_theta), math.sin(2 * math.pi * k / n_theta)) for k in range(n_theta)]
-        return G.let(centre, lambda c: F.array(*[at_angle(c, u) for u in angles]))
+        return let(centre, lambda c: F.array(*[at_angle(c, u) for u in angles]))
 
-    radii = G.let(G.sample_ring(F.col(ring), n_ring, closed=False), support)
+    radii = let(G.sample_ring(F.col(ring), n_ring, closed=False), support)
     at = F.col("layer").cast("double") if z is None else F.col(z).cast("double")
     return rows.select(KEY, F.col(day).alias("date"), "layer", at.alias("z"), F.abs(G.signed_area(F.col(ring))).alias("area_m2"), radii.alias("radii"))
 
@@ -69,6 +70,11 @@ def hull_triangles(layers: DataFrame) -> DataFrame:
     return q.select(KEY, F.explode(F.array(tri(a, b, b + F.col("_t")), tri(a, b + F.col("_t"), a + F.col("_t")))).alias("t")).select(KEY, "t.*")
 
 
+def _half_norm(a: Column, b: Column, c: Column) -> Column:
+    """Half the length of a cross product: the area of a triangle."""
+    return 0.5 * F.sqrt(F.pow(a, F.lit(2.0)) + F.pow(b, F.lit(2.0)) + F.pow(c, F.lit(2.0)))
+
+
 def hull_metrics(layers: DataFrame) -> DataFrame:
     """scale, days, volume, surface, peak and final footprint per event."""
     w = W.partitionBy(KEY).orderBy("layer")
@@ -76,21 +82,19 @@ def hull_metrics(layers: DataFrame) -> DataFrame:
     n = F.size("radii")
     step = 2 * math.pi / n
 
-    def corner(r: Column, j: Column, z: Column) -> tuple[Column, Column, Column]:
-        rj = F.get(r, j) / 1000
-        return rj * F.cos(j * step), rj * F.sin(j * step), z
-
-    def triangle(p, q, s) -> Column:
-        ux, uy, uz = (q[i] - p[i] for i in range(3))
-        vx, vy, vz = (s[i] - p[i] for i in range(3))
-        cx, cy, cz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
-        return 0.5 * F.sqrt(cx * cx + cy * cy + cz * cz)
-
     def quad(j: Column) -> Column:
         k = F.pmod(j + 1, n)
-        v1, v2 = corner(F.col("radii"), j, F.col("z")), corner(F.col("radii"), k, F.col("z"))
-        v3, v4 = corner(F.col("_r2"), k, F.col("_z2")), corner(F.col("_r2"), j, F.col("_z2"))
-        return triangle(v1, v2, v3) + triangle(v1, v3, v4)
+        r = {1: F.get("radii", j), 2: F.get("radii", k), 3: F.get("_r2", k), 4: F.get("_r2", j)}
+        angle = {1: j, 2: k, 3: k, 4: j}
+        corners = [(r[c] / 1000 * f(angle[c] * step)).alias(f"{a}{c}") for c in r for a, f in (("x", F.cos), ("y", F.sin))]
+        return let(F.struct(*corners), both_triangles)
+
+    def both_triangles(c: Column) -> Column:
+        # edges from the first corner: to 2 and 3, then to 3 and 4; the step in time is dz
+        dz = F.col("_z2") - F.col("z")
+        side = F.struct(*[(c[f"{a}{i}"] - c[f"{a}1"]).alias(f"{a}{i}") for i in (2, 3, 4) for a in "xy"])
+        return let(side, lambda d: _half_norm(d["y2"] * dz, d["x2"] * dz, d["x2"] * d["y3"] - d["y2"] * d["x3"])
+                   + _half_norm((d["y3"] - d["y4"]) * dz, (d["x3"] - d["x4"]) * dz, d["x3"] * d["y4"] - d["y3"] * d["x4"]))
 
     surface = F.when(F.col("_r2").isNotNull(), F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, j: acc + quad(j))).otherwise(0.0)
     volume = F.coalesce((F.col("area_m2") + F.col("_a2")) / 2 * (F.col("_z2") - F.col("z")), F.lit(0.0)) / 1e6
@@ -299,12 +303,17 @@ def zonal_cells(zones: DataFrame, keys: Sequence[str], *, x0: float, dx: float,
     index = lambda v, o, s: F.round((v - o) / s, 9)
     lo = {"x": F.greatest(F.ceil(index(box["x0"] - dx, x0, dx)), F.lit(0)), "y": F.greatest(F.ceil(index(box["y0"] - dy, y0, dy)), F.lit(0))}
     hi = {"x": F.least(F.floor(index(box["x1"] + dx, x0, dx)), F.lit(nx - 1)), "y": F.least(F.floor(index(box["y1"] + dy, y0, dy)), F.lit(ny - 1))}
-    z = zones.select(*keys, ring).withColumns({f"_{s}{a}": c[a].cast("int") for s, c in (("lo", lo), ("hi", hi)) for a in "xy"})
+    ex = {"bx0": box["x0"], "bx1": box["x1"], "by0": box["y0"], "by1": box["y1"]}
+    z = zones.select(*keys, ring, G.edges(F.col(ring)).alias("_e"), *[c.alias(n) for n, c in ex.items()]).withColumns({f"_{s}{a}": c[a].cast("int") for s, c in (("lo", lo), ("hi", hi)) for a in "xy"})
     on_grid = (F.col("_lox") <= F.col("_hix")) & (F.col("_loy") <= F.col("_hiy"))
     cand = z.where(on_grid).withColumn("ix", F.explode(F.sequence("_lox", "_hix"))).withColumn("iy", F.explode(F.sequence("_loy", "_hiy")))
-    inside = cand.where(G.contains(F.col(ring), F.col("ix") * dx + x0, F.col("iy") * dy + y0)).select(*keys, "ix", "iy", F.lit("grid_cells_inside_zone").alias("sample_method"))
+    cx, cy = F.col("ix") * dx + x0, F.col("iy") * dy + y0
+    # the cheap box test runs first, the edge folds only on what is left
+    boxed = (cx > F.col("bx0")) & (cx < F.col("bx1")) & (cy > F.col("by0")) & (cy < F.col("by1"))
+    inside = cand.where(boxed).where(G.in_edges(F.col("_e"), cx, cy) & ~G.on_edges(F.col("_e"), cx, cy)).select(*keys, "ix", "iy", F.lit("grid_cells_inside_zone").alias("sample_method"))
     rest = z.join(inside.select(*keys).distinct(), keys, "left_anti")
-    px, py = G.representative_point(F.col(ring))
+    rest = rest.withColumn("_p", G.representative_point(F.col(ring)))
+    px, py = F.col("_p.x"), F.col("_p.y")
     near = lambda v, o, s, n: F.least(F.greatest(F.ceil(index(v, o, s) - 0.5), F.lit(0)), F.lit(n - 1)).cast("int")
     fallback = rest.select(
         *keys, F.when(on_grid, near(px, x0, dx, nx)).alias("ix"), F.when(on_grid, near(py, y0, dy, ny)).alias("iy"),

@@ -187,14 +187,14 @@ def burst_threshold(g: Column) -> Column:
 
 def burst_runs(g: Column) -> Column:
     """(a) number of runs at or above max(q75, quarter of the peak)."""
-    t = burst_threshold(g)
-    return F.when(F.array_max(g) > 0, F.size(A.run_starts(F.transform(g, lambda v: F.round(v, DIGITS) >= t)))).otherwise(0)
+    runs = A.let(burst_threshold(g), lambda t: F.size(A.run_starts(F.transform(g, lambda v: F.round(v, DIGITS) >= t))))
+    return F.when(F.array_max(g) > 0, runs).otherwise(0)
 
 
 def burst_days(g: Column) -> Column:
     """(b) number of days at or above max(0.1, q75, quarter of the peak)."""
-    t = F.round(F.greatest(F.lit(0.1), A.quantile(g, 0.75), F.array_max(g) * 0.25), DIGITS)
-    days = F.size(F.filter(g, lambda v: F.round(v, DIGITS) >= t))
+    cut = F.round(F.greatest(F.lit(0.1), A.quantile(g, 0.75), F.array_max(g) * 0.25), DIGITS)
+    days = A.let(cut, lambda t: F.size(F.filter(g, lambda v: F.round(v, DIGITS) >= t)))
     return F.when(F.size(g) <= 1, F.when(F.get(g, F.lit(0)) > 0, 1).otherwise(0)).when(F.array_max(g) <= 0, 0).otherwise(days)
 
 
