@@ -64,7 +64,7 @@ def prominent_peaks(v: Column, least: Column) -> Column:
         right = F.array_min(F.slice(v, i + 1, higher_right - i))
         return F.get(v, i) - F.greatest(left, right)
 
-    return F.filter(_steps(n), lambda i: is_peak(i) & (F.round(prominence(i), DIGITS) >= F.round(least, DIGITS)))
+    return A.let(F.round(least, DIGITS), lambda need: F.filter(_steps(n), lambda i: is_peak(i) & (F.round(prominence(i), DIGITS) >= need)))
 
 
 def activity_summary(obs: DataFrame, metric: str = "growth_km2", cfg: Mapping[str, float] = DEFAULTS) -> DataFrame:
@@ -82,7 +82,8 @@ def activity_summary(obs: DataFrame, metric: str = "growth_km2", cfg: Mapping[st
             "maxima": local_maxima(v),
         }
     ).withColumn("primary_thr", F.greatest(F.lit(cfg["fixed_abs_km2"]), F.col("fraction_thr")))
-    over = lambda t: F.filter("maxima", lambda i: F.get(v, i) >= t)
+    # thresholds and earlier results are bound with let: a lambda would re-evaluate them per element
+    over = lambda t: A.let(t, lambda cut: F.filter("maxima", lambda i: F.get(v, i) >= cut))
     peak_only = F.when(F.col("peak") > 0, F.array(F.col("peak_idx"))).otherwise(F.array().cast("array<int>"))
     spiky = (F.col("n") >= 3) & (F.col("peak") > 0)
     least = F.greatest(F.col("peak") * cfg["prominence_fraction_of_peak"], F.lit(1e-9))
@@ -94,22 +95,26 @@ def activity_summary(obs: DataFrame, metric: str = "growth_km2", cfg: Mapping[st
             "m_prominence": F.when(spiky, prominent_peaks(v, least)).otherwise(F.array().cast("array<int>")),
         }
     )
-    hits = lambda i: sum((F.array_contains(f"m_{m}", i).cast("int") for m in METHODS), F.lit(0))
-    a = a.withColumn("votes", F.transform(_steps(F.col("n")), hits))
-    robust = F.filter(_steps(F.col("n")), lambda i: (F.get("votes", i) >= 2) | (i == F.col("peak_idx")))
-    active = F.filter(_steps(F.col("n")), lambda i: F.get(v, i) >= F.col("primary_thr"))
+    steps = _steps(F.col("n"))
+    found = F.struct(*[F.col(f"m_{m}").alias(m) for m in METHODS])
+    votes = A.let(found, lambda f: F.transform(steps, lambda i: sum((F.array_contains(f[m], i).cast("int") for m in METHODS), F.lit(0))))
+    a = a.withColumn("votes", votes)
+    robust = A.let(
+        F.struct("votes", "peak_idx"), lambda s: F.filter(steps, lambda i: (F.get(s["votes"], i) >= 2) | (i == s["peak_idx"]))
+    )
+    active = A.let(F.col("primary_thr"), lambda t: F.filter(steps, lambda i: F.get(v, i) >= t))
     a = a.withColumns({"pulses": robust, "active": active})
     a = a.withColumn("final_idx", F.coalesce(F.array_max("active"), F.col("peak_idx")))
     q = int(cfg["quiescence_length"])
-    calm = F.filter(
-        _steps(F.col("n")),
-        lambda i: (i > F.col("final_idx")) & (i + q <= F.col("n")) & F.forall(F.slice("v", i + 1, q), lambda x: x <= F.col("primary_thr")),
-    )
+
+    def calm(s: Column) -> Column:
+        low = lambda i: F.forall(F.slice("v", i + 1, q), lambda x: x <= s["primary_thr"])
+        return F.filter(steps, lambda i: (i > s["final_idx"]) & (i + q <= F.col("n")) & low(i))
+
     after = F.when(F.col("final_idx") < F.col("n") - 1, F.col("final_idx") + 1)
-    a = a.withColumn("quiet_idx", F.coalesce(F.array_min(calm), after))
-    return a.withColumn(
-        "reactivations", F.when(F.col("quiet_idx").isNotNull(), F.filter("pulses", lambda i: i > F.col("quiet_idx"))).otherwise(F.array().cast("array<int>"))
-    )
+    a = a.withColumn("quiet_idx", F.coalesce(F.array_min(A.let(F.struct("final_idx", "primary_thr"), calm)), after))
+    later = A.let(F.struct("pulses", "quiet_idx"), lambda s: F.filter(s["pulses"], lambda i: i > s["quiet_idx"]))
+    return a.withColumn("reactivations", F.when(F.col("quiet_idx").isNotNull(), later).otherwise(F.array().cast("array<int>")))
 
 
 def _methods_at(i: Column) -> Column:

@@ -39,8 +39,12 @@ def open_ring(ring: Column) -> Column:
 
 def edges(ring: Column) -> Column:
     """Consecutive vertex pairs, the last one back to the first."""
-    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
-    return F.zip_with(ring, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def pairs(r: Column) -> Column:
+        nxt = F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, F.lit(1), F.lit(1)))
+        return F.zip_with(r, nxt, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(ring, pairs)
 
 
 def _cross(e: Column) -> Column:
@@ -51,15 +55,18 @@ def _sum(arr: Column, f) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + f(v))
 
 
-def _shifted(ring: Column) -> tuple[Column, Column, Column]:
-    """Ring moved to its first vertex, for sums that do not lose digits."""
-    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    return F.transform(ring, lambda p: point(p["x"] - x0, p["y"] - y0)), x0, y0
+def _local(ring: Column) -> Column:
+    """Ring moved to its first vertex (sums lose no digits), with that vertex and the local edges."""
+
+    def move(r: Column) -> Column:
+        first = F.get(r, F.lit(0))
+        return let(first, lambda o: F.struct(o.alias("o"), edges(F.transform(r, lambda p: point(p["x"] - o["x"], p["y"] - o["y"]))).alias("e")))
+
+    return let(ring, move)
 
 
 def signed_area(ring: Column) -> Column:
-    local, _, _ = _shifted(ring)
-    return _sum(edges(local), _cross) / 2.0
+    return let(_local(ring), lambda s: _sum(s["e"], _cross) / 2.0)
 
 
 def perimeter(ring: Column) -> Column:
@@ -72,12 +79,15 @@ def extent(ring: Column) -> dict[str, Column]:
 
 
 def centroid(ring: Column) -> tuple[Column, Column]:
-    local, x0, y0 = _shifted(ring)
-    e = edges(local)
-    a6 = 3.0 * _sum(e, _cross)
-    cx = C.ratio(_sum(e, lambda s: (s["a"]["x"] + s["b"]["x"]) * _cross(s)), a6)
-    cy = C.ratio(_sum(e, lambda s: (s["a"]["y"] + s["b"]["y"]) * _cross(s)), a6)
-    return x0 + cx, y0 + cy
+    def middle(s: Column) -> Column:
+        sums = F.struct(
+            (3.0 * _sum(s["e"], _cross)).alias("a"), _sum(s["e"], lambda e: (e["a"]["x"] + e["b"]["x"]) * _cross(e)).alias("x"),
+            _sum(s["e"], lambda e: (e["a"]["y"] + e["b"]["y"]) * _cross(e)).alias("y"),
+        )
+        return let(sums, lambda t: point(s["o"]["x"] + C.ratio(t["x"], t["a"]), s["o"]["y"] + C.ratio(t["y"], t["a"])))
+
+    c = let(_local(ring), middle)
+    return c["x"], c["y"]
 
 
 def ring_metrics(ring: Column) -> dict[str, Column]:

@@ -223,13 +223,13 @@ def _(spark, d):
     "vase_panels",
     "10.15",
     f"""WITH {_PER}, n AS (SELECT *, lead(h) OVER w AS h2, lead(date) OVER w AS d2, max(h) OVER p AS hm, date_diff('day', min(date) OVER p, date) AS a, date_diff('day', min(date) OVER p, max(date) OVER p) AS s FROM per WINDOW w AS (PARTITION BY fire_id ORDER BY date), p AS (PARTITION BY fire_id))
-    SELECT fire_id, date AS time, CAST(4 AS BIGINT) AS n, round(avg(0.5::DOUBLE), 6) AS x, round(abs(h - h2) / (2 * hm), 6) AS width, round(date_diff('day', date, d2) / CAST(s AS DOUBLE), 6) AS height FROM n WHERE h2 IS NOT NULL GROUP BY ALL""",
+    SELECT fire_id, date AS time, CAST(4 AS BIGINT) AS n, round(avg(0.5::DOUBLE), 8) AS x, round(abs(h - h2) / (2 * hm), 8) AS width, round(date_diff('day', date, d2) / CAST(s AS DOUBLE), 8) AS height FROM n WHERE h2 IS NOT NULL GROUP BY ALL""",
 )
 def _(spark, d):
     sections = perimeters(spark, d).select("fire_id", F.col("date").alias("time"), "ring")
     p = H.vase_panels(sections, 4)
     out = p.groupBy("fire_id", "time").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("width").alias("width"), F.max("height").alias("height"))
-    return rounded(out, "x", "width", "height")
+    return rounded(out, "x", "width", "height", digits=8)
 
 
 @query("exposure_zone_areas", "10.17")
@@ -256,7 +256,7 @@ def _(spark, d):
     "zone_exposure",
     "10.18",
     f"""WITH {_ZONE}, li AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS mo, CAST(l_suppkey % 20 AS INTEGER) AS ix, CAST(l_partkey % 11 AS INTEGER) AS iy, round(avg(l_quantity), 6) AS tmax, round(avg(l_tax) * 100, 6) AS wind FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
-    SELECT fire_id, date, array_to_string(list_sort(list(DISTINCT m)), ',') AS climate_sample_method, round(avg(tmax), 7) AS tmax_mean, min(tmax) AS tmax_minimum, max(tmax) AS tmax_maximum, round(stddev_pop(tmax), 6) AS tmax_std, CAST(count(tmax) AS BIGINT) AS sample_cell_count,
+    SELECT fire_id, date, array_to_string(list_sort(list(DISTINCT m)), ',') AS climate_sample_method, round(avg(tmax), 7) AS tmax_mean, min(tmax) AS tmax_minimum, max(tmax) AS tmax_maximum, round(stddev_pop(tmax), 8) AS tmax_std, CAST(count(tmax) AS BIGINT) AS sample_cell_count,
       avg(tmax) IS NOT NULL AS climate_available, coalesce(avg(wind) > 0.1, false) AS wind_present FROM zc LEFT JOIN li ON li.mo = CAST(date_trunc('month', date) AS DATE) AND li.ix = zc.ix AND li.iy = zc.iy GROUP BY ALL""",
 )
 def _(spark, d):
@@ -267,7 +267,7 @@ def _(spark, d):
     ).agg(F.round(F.avg("l_quantity"), 6).alias("tmax"), F.round(F.avg("l_tax") * 100, 6).alias("wind"))
     out = H.zone_exposure_table(cells, grid, ["fire_id", "date"], ["tmax", "wind"], time="month", wind="wind")
     cols = ["fire_id", "date", "climate_sample_method", "tmax_mean", "tmax_minimum", "tmax_maximum", "tmax_std", "sample_cell_count", "climate_available", "wind_present"]
-    return rounded(rounded(out.select(*cols), "tmax_mean", digits=7), "tmax_std")
+    return rounded(rounded(out.select(*cols), "tmax_mean", digits=7), "tmax_std", digits=8)
 
 
 @query("event_hull_panel", "10.19 14.04")
