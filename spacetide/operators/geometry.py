@@ -119,10 +119,6 @@ def on_edges(edge_list: Column, x: Column, y: Column, eps: float = 1e-9) -> Colu
     return F.exists(edge_list, touches)
 
 
-def on_boundary(ring: Column, x: Column, y: Column) -> Column:
-    return on_edges(edges(ring), x, y)
-
-
 def in_edges(edge_list: Column, x: Column, y: Column) -> Column:
     """Even-odd ray test; points exactly on an edge may go either way."""
 
@@ -135,23 +131,22 @@ def in_edges(edge_list: Column, x: Column, y: Column) -> Column:
     return F.aggregate(edge_list, F.lit(0), lambda acc, e: acc + crossing(e)) % 2 == 1
 
 
-def in_ring(ring: Column, x: Column, y: Column) -> Column:
-    return in_edges(edges(ring), x, y)
+def _covers_edges(e: Column, x: Column, y: Column) -> Column:
+    return in_edges(e, x, y) | on_edges(e, x, y)
 
 
 def covers(ring: Column, x: Column, y: Column) -> Column:
     """Inside or on the boundary."""
-    return on_boundary(ring, x, y) | in_ring(ring, x, y)
+    return let(edges(ring), lambda e: _covers_edges(e, x, y))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
     """Strictly inside."""
-    return in_ring(ring, x, y) & ~on_boundary(ring, x, y)
+    return let(edges(ring), lambda e: in_edges(e, x, y) & ~on_edges(e, x, y))
 
 
 def covers_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Does the ring cover the whole box? All corners inside and no edge or vertex inside the box."""
-    corners = covers(ring, x0, y0) & covers(ring, x1, y0) & covers(ring, x1, y1) & covers(ring, x0, y1)
 
     def cuts(e: Column) -> Column:
         # clip the edge to the open box (Liang-Barsky); a remaining part means the boundary enters it
@@ -165,7 +160,11 @@ def covers_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
             dead = dead | ((F.abs(d) < 1e-15) & ((low >= 0) | (high <= 0)))
         return ~dead & (hi - lo > 1e-12)
 
-    return corners & ~F.exists(edges(ring), cuts)
+    def whole(e: Column) -> Column:
+        corners = _covers_edges(e, x0, y0) & _covers_edges(e, x1, y0) & _covers_edges(e, x1, y1) & _covers_edges(e, x0, y1)
+        return corners & ~F.exists(e, cuts)
+
+    return let(edges(ring), whole)
 
 
 def representative_point(ring: Column) -> Column:
