@@ -137,7 +137,7 @@ def key_chain(df: DataFrame, *, versions: Mapping[str, str], variables: Sequence
 
 
 def invalidated(changed: Sequence[str]) -> list[str]:
-    """Components to rebuild after changes, in pipeline order; an unknown one is an error."""
+    """Components to rebuild after changes, in build order; an unknown one is an error."""
     unknown = [c for c in changed if c not in COMPONENTS]
     if unknown:
         raise ValueError(f"unknown component {unknown[0]!r}")
