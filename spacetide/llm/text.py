@@ -64,14 +64,16 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable], keep_text: bool = True) -> DataFrame:
     """Append columns computed row by row from one text column, in Arrow batches inside the tasks.
 
     ``make()`` runs once per task and returns ``f(list of UTF-8 texts) -> list of columns``;
-    ``fields`` gives each new column's name, Spark type and Arrow type. All columns of ``df`` pass through.
+    ``fields`` gives each new column's name, Spark type and Arrow type. All columns of ``df`` pass through, the
+    text only with ``keep_text``.
     """
     place = df.columns.index(text)
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T._parse_datatype_string(kind)) for name, kind, _ in fields])
+    stay = [i for i in range(len(df.columns)) if keep_text or i != place]
+    schema = T.StructType([df.schema.fields[i] for i in stay] + [T.StructField(name, T._parse_datatype_string(kind)) for name, kind, _ in fields])
     kinds = [kind for _, _, kind in fields]
     names = schema.fieldNames()
 
@@ -80,6 +82,6 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType
         for batch in batches:
             for part in steps(batch, place):
                 made = [pa.array(x, kind) for x, kind in zip(apply(raw_texts(part.column(place))), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in stay], *made], names=names)
 
     return df.mapInArrow(run, schema)
