@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, simhash
+from . import byte_bpe, decontaminate, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,9 @@ def _(spark, sf_dir):
     coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
     read = byte_bpe.decode(coded, path)
     return read.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_quality_rules")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, table(spark, sf_dir, "labels")).drop("text")
