@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, shards, simhash, urls
+from . import byte_bpe, decontaminate, quality, shards, simhash, suffix_tree, urls
+from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = shards.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+
+
+@query("op7_suffix_tree_scores")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 7) == 2
+    found = suffix_tree.scored(docs.withColumn("held_out", held), docs.filter(~held), columns=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
