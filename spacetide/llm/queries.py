@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, shards, simhash, suffix_tree, urls
+from . import byte_bpe, decontaminate, quality, secret_scan, shards, simhash, suffix_tree, urls
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,16 @@ def _(spark, sf_dir):
     held = fold(F.col("doc_id"), 7) == 2
     found = suffix_tree.scored(docs.withColumn("held_out", held), docs.filter(~held), columns=("doc_id", "held_out"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_secret_scans")
+def _(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    named = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *[secret_scan.counted(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(named(F.filter("spans", lambda x: x["kind"] != "random")), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+        secret_scan.counted("random").alias("n_random"),
+    )
