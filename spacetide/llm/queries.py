@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, secret_scan, shards, simhash, suffix_tree, urls
+from . import byte_bpe, decontaminate, quality, secret_scan, shards, simhash, suffix_tree, toxicity, urls
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,12 @@ def _(spark, sf_dir):
         named(F.col("spans")).alias("spans"),
         secret_scan.counted("random").alias("n_random"),
     )
+
+
+@query("op6_toxicity")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 4) == 2
+    field = toxicity.fit(*toxicity.training_sample(docs.filter(~held), table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs.withColumn("held_out", held), field, keep_text=False)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_toxic_spans"))
