@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, secret_scan, shards, simhash, suffix_tree, toxicity, urls
+from . import byte_bpe, decontaminate, huffman_ids, quality, secret_scan, shards, simhash, suffix_tree, toxicity, urls
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,9 @@ def _(spark, sf_dir):
     field = toxicity.fit(*toxicity.training_sample(docs.filter(~held), table(spark, sf_dir, "labels")))
     found = toxicity.score(docs.withColumn("held_out", held), field, keep_text=False)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_toxic_spans"))
+
+
+@query("op10_token_id_output")
+def _(spark, sf_dir):
+    found = huffman_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
