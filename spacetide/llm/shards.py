@@ -53,7 +53,7 @@ def rebalanced(slot_map: DataFrame, totals: DataFrame, shards: int) -> DataFrame
     target = totals.agg(F.sum("bytes") / shards).scalar()
     largest = W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     owned = slot_map.join(totals, "virtual_slot").withColumn("sum", F.sum("bytes").over(largest))
-    stays = (F.col("shard") < shards) & (F.col("sum") <= target)
+    stays = (F.col("shard") < shards) & ((F.col("sum") <= target) | (F.col("bytes") == 0))
     owned = owned.withColumn("stays", stays)
     every = owned.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     held = every.join(owned.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("load")), "shard", "left").na.fill(0, ["load"])

@@ -118,7 +118,7 @@ def _descend(codes: np.ndarray, roots: np.ndarray, radius: int) -> np.ndarray:
 
 def _link_block(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of whole groups of equal keys, each sorted by Gray rank."""
-    n = len(codes)
+    n, codes = len(codes), codes.view(np.uint64)  # bits of negative numbers are counted on their absolute value
     left, right = [], []
     for lag in range(1, min(LEAF, n)):
         near = np.flatnonzero((keys[lag:] == keys[:-lag]) & (np.bitwise_count(codes[lag:] ^ codes[:-lag]) <= radius))
@@ -130,7 +130,7 @@ def _link_block(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.nd
     for at, size in zip(first[sizes > LEAF], sizes[sizes > LEAF]):
         roots[at : at + size] = _descend(codes[at : at + size], roots[at : at + size] - at, radius) + at
     child = np.flatnonzero(roots != np.arange(n))
-    return codes[child], codes[roots[child]]
+    return codes[child].view(np.int64), codes[roots[child]].view(np.int64)
 
 
 def links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -105,7 +105,7 @@ class Tree:
             width = len(runs)
             rest_n = np.maximum(runs - np.bincount(context, n, width), 0)
             rest_q = np.maximum(1 - np.bincount(context, q, width), 1e-9)
-            seen = np.bincount(context, n * np.log(n / of / q), width)
+            seen = np.bincount(context, n * np.log(n / of / q), width).astype(float)
             with np.errstate(divide="ignore", invalid="ignore"):
                 seen += np.where(rest_n > 0, rest_n * np.log(rest_n / runs / rest_q), 0)
             kept = seen >= DIVERGENCE
