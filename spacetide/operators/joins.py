@@ -255,8 +255,10 @@ def _within_radius(places: DataFrame, radius: float) -> DataFrame:
     ps = s.withColumn("_b", F.explode(F.transform(offsets, lambda o: flat("_source_y") + o)))
     ps = ps.withColumn("_c", F.explode(F.transform(offsets, lambda o: flat("_source_x") + o)))
     pt = t.withColumns({"_b": flat("_target_y"), "_c": flat("_target_x")})
-    plane = ps.join(pt, ["_b", "_c"]).where(ordered & ~(geographic("source") & geographic("target")))
-    out = near.unionByName(plane).withColumn("distance", _distance())
+    # two degree places never meet here, however few tiles the degree range has at this radius
+    plane = ps.where(~geographic("source")).join(pt, ["_b", "_c"]).where(ordered)
+    mixed = ps.where(geographic("source")).join(pt.where(~geographic("target")), ["_b", "_c"]).where(ordered)
+    out = near.unionByName(plane).unionByName(mixed).withColumn("distance", _distance())
     return out.where(F.col("distance") <= radius).select("source", "target", "distance")
 
 
@@ -300,8 +302,14 @@ def spatial_pairs(places: DataFrame, mode: str = "neighbors", *, radius: float |
 
     reference: every place with the reference (the centre cell by default),
     itself included; neighbors: within ``radius`` and / or the ``k`` nearest;
-    all_pairs and regional: every pair.
+    all_pairs and regional: every pair; blocks: every pair of the labels in ``block``, without distances.
     """
+    if mode == "blocks":
+        if "block" not in places.columns:
+            raise ValueError("blocks mode needs a block column")
+        labels = places.select("block").distinct()
+        both = labels.select(F.col("block").alias("source")).join(labels.select(F.col("block").alias("target")), F.col("source") < F.col("target"))
+        return both.withColumn("distance", F.lit(None).cast("double"))
     if mode == "reference":
         if reference is None:
             mid = places.agg(
@@ -315,7 +323,7 @@ def spatial_pairs(places: DataFrame, mode: str = "neighbors", *, radius: float |
     if mode in {"all_pairs", "regional"}:
         return _every_pair(places)
     if mode != "neighbors":
-        raise ValueError("mode must be reference, neighbors, all_pairs or regional")
+        raise ValueError("mode must be reference, neighbors, all_pairs, regional or blocks")
     if k is not None and k < 1:
         raise ValueError("k must be at least 1")
     if radius is None:

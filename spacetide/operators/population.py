@@ -27,16 +27,21 @@ def population_report(traits: DataFrame, area: str = "total_area_km2", hours: st
     Exact medians of the overall and per-region rows come from the distributed
     form and are joined to the grouping-set rows.
     """
-    sets = traits.select("year", "region", area, (F.col(hours) / 24.0).alias("_d")).groupingSets(
+    sets = traits.select("year", "region", F.col("year").alias("_year"), area, (F.col(hours) / 24.0).alias("_d")).groupingSets(
         [[], ["year"], ["region"], ["region", "year"]], "region", "year"
     )
     report = sets.agg(
-        F.grouping_id("region", "year").cast("int").alias("level"), F.count(F.lit(1)).alias("n_fires"), F.countDistinct("year").alias("_y"),
+        F.grouping_id("region", "year").cast("int").alias("level"), F.count(F.lit(1)).alias("n_fires"), F.countDistinct("_year").alias("n_years"),
+        F.min("_year").alias("min_year"), F.max("_year").alias("max_year"),
         F.sum(area).alias("total_area_km2"), F.avg(area).alias("mean_area_km2"), F.max(area).alias("max_area_km2"), F.avg("_d").alias("mean_duration_days"),
         F.max("_d").alias("max_duration_days"),
-    ).drop("_y")
-    per_region = quantile_table(traits, area, [0.5], ["region"]).select(F.col("region").alias("_r"), F.lit(1).alias("_l"), F.col("q0").alias("median_area_km2"))
-    overall = quantile_table(traits, area, [0.5]).select(F.lit(None).cast("string").alias("_r"), F.lit(3).alias("_l"), F.col("q0").alias("median_area_km2"))
+    )
+    long = traits.select("region", F.col(area).cast("double").alias("median_area_km2"), (F.col(hours) / 24.0).alias("median_duration_days"))
+    names = ["median_area_km2", "median_duration_days"]
+    long = long.unpivot(["region"], names, "_metric", "_value").where("_value is not null")
+    each = [F.max(F.when(F.col("_metric") == c, F.col("q0"))).alias(c) for c in names]
+    per_region = quantile_table(long, "_value", [0.5], ["region", "_metric"]).groupBy(F.col("region").alias("_r"), F.lit(1).alias("_l")).agg(*each)
+    overall = quantile_table(long, "_value", [0.5], ["_metric"]).groupBy(F.lit(None).cast("string").alias("_r"), F.lit(3).alias("_l")).agg(*each)
     medians = per_region.unionByName(overall)
     match = (F.col("level") == F.col("_l")) & F.col("region").eqNullSafe(F.col("_r"))
     return report.join(medians, match, "left").drop("_r", "_l")

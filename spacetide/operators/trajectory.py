@@ -430,21 +430,35 @@ def piecewise(points: Column, x_field: str, y_field: str, x: Column) -> Column:
     return F.when(lo.isNull(), hi[y_field]).when(hi.isNull(), lo[y_field]).otherwise(inner)
 
 
+#: Column and population quantile of each extreme-day flag (none: above 0).
+EXTREME_DAYS = {
+    "hot_day": ("maximum_temperature_c", 0.90),
+    "high_vpd_day": ("vpd_kpa", 0.90),
+    "windy_day": ("wind_speed_m_s", 0.90),
+    "wet_day": ("precipitation_mm", None),
+    "dry_1000hr_fuel_day": ("fuel_moisture_1000hr_pct", 0.10),
+    "high_erc_day": ("energy_release_component", 0.90),
+}
+
+
 def climate_features(slices: DataFrame, meta: DataFrame, climate: Sequence[str] = CLIMATE) -> DataFrame:
     """Per event: extreme-day shares, mean / min / max, mean region-month anomaly, thirds of relative time.
 
-    ``meta``: fire_id, region. Extreme days are above the population's 0.90 quantile.
+    ``meta``: fire_id, region. Extreme days are at or above the population's 0.90 quantile, dry fuel at or below its 0.10
+    quantile, wet days above 0; a flag whose column ``slices`` lacks is left out.
     """
     ok = slices.where("climate_available").join(meta.select(KEY, "region"), KEY)
     ok = ok.withColumn("month", F.month("timestamp"))
-    flags = {"hot_day": "maximum_temperature_c", "high_vpd_day": "vpd_kpa", "windy_day": "wind_speed_m_s"}
-    cuts = ranking.column_quantiles(ok, {c: [0.90] for c in flags.values()})
+    flags = {name: rule for name, rule in EXTREME_DAYS.items() if rule[0] in slices.columns}
+    cuts = ranking.column_quantiles(ok, {c: [q] for c, q in flags.values() if q is not None})
     span = F.max("slice_index").over(W.partitionBy(KEY))
     rel = F.coalesce(C.ratio(F.col("slice_index"), span), F.lit(0.5))
     s = ok.withColumn("time_bin", C.time_bin(F.round(rel, DIGITS)))
-    for name, c in flags.items():
-        (cut,) = cuts[c]
-        s = s.withColumn(name, (F.round(F.col(c), DIGITS) >= F.lit(None if cut is None else round(cut, DIGITS)).cast("double")).cast("double"))
+    for name, (c, q) in flags.items():
+        value = F.round(F.col(c), DIGITS)
+        cut = 0.0 if q is None else cuts[c][0]
+        edge = F.lit(None if cut is None else round(cut, DIGITS)).cast("double")
+        s = s.withColumn(name, (value > edge if q is None else value >= edge if q > 0.5 else value <= edge).cast("double"))
     long = ok.select("region", "month", *climate).unpivot(["region", "month"], list(climate), "_metric", "_value")
     med = ranking.quantile_table(long, "_value", [0.5], ["region", "month", "_metric"])
     med = med.groupBy("region", "month").agg(*[F.max(F.when(F.col("_metric") == c, F.col("q0"))).alias(f"_m_{c}") for c in climate])

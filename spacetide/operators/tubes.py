@@ -11,10 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import CELL
-from ..session import cut_lineage
-
-MAX_ROUNDS = 60
-
+from ..session import cut_lineage, drop_path, scratch_path
 
 def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) by alternating star contractions.
@@ -25,8 +22,16 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     and the join back on the hub is split by AQE.
     """
     links = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b").distinct()
-    links = cut_lineage(links, "links")
-    for _ in range(MAX_ROUNDS):
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        path = scratch_path(spark, "links")
+        df.write.parquet(path)
+        kept = spark.read.schema(df.schema).parquet(path)
+        return kept, path, tuple(kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    links, path, mark = stored(links)
+    while True:  # ends: every round lowers a label or changes nothing
         # large star: hang every larger neighbour on the smallest member
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -40,14 +45,11 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .where("a < b")
             .distinct()
         )
-        nxt = cut_lineage(nxt, "links")
-        same = nxt.join(links, ["a", "b"], "left_anti").limit(1).count() == 0
-        same = same and links.join(nxt, ["a", "b"], "left_anti").limit(1).count() == 0
-        links = nxt
+        links, new_path, new_mark = stored(nxt)
+        drop_path(spark, path)
+        path, same, mark = new_path, new_mark == mark, new_mark
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     labels = links.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "node")
     return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 

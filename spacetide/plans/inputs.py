@@ -90,11 +90,13 @@ shaped AS (
   SELECT *, round(sqrt(cumulative_area_km2 / max(cumulative_area_km2) OVER (PARTITION BY fire_id)), 9) AS normalized_vase_width
   FROM rings)"""
 
+# every fifth cell has no climate, so that gaps occur
 WEEKLY = """weekly AS (
-  SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, CAST(l_suppkey % 25 AS INTEGER) AS cell,
-         round(avg(l_quantity), 6) AS maximum_temperature_c, round(min(l_quantity), 6) AS minimum_temperature_c,
-         round(avg(l_discount) * 30, 6) AS vpd_kpa, round(avg(l_tax) * 100, 6) AS wind_speed_m_s
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)"""
+  SELECT week, cell, CASE WHEN cell % 5 <> 3 THEN t END AS maximum_temperature_c, CASE WHEN cell % 5 <> 3 THEN lo END AS minimum_temperature_c,
+         CASE WHEN cell % 5 <> 3 THEN v END AS vpd_kpa, CASE WHEN cell % 5 <> 3 THEN w END AS wind_speed_m_s
+  FROM (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, CAST(l_suppkey % 25 AS INTEGER) AS cell,
+               round(avg(l_quantity), 6) AS t, round(min(l_quantity), 6) AS lo, round(avg(l_discount) * 30, 6) AS v, round(avg(l_tax) * 100, 6) AS w
+        FROM lineitem GROUP BY ALL))"""
 
 SLICES = f"""{PLACES},
 {RINGS},
@@ -168,15 +170,19 @@ def shaped_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_climate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
-    return li.groupBy(
+    li = table(spark, sf_dir, "lineitem")
+    known = lambda value: F.when(F.col("cell") % 5 != 3, F.round(value, 6))
+    sums = li.groupBy(
         F.date_trunc("week", "l_shipdate").cast("date").alias("week"),
         (F.col("l_suppkey") % 25).cast("int").alias("cell"),
-    ).agg(
-        F.round(F.avg("l_quantity"), 6).alias("maximum_temperature_c"),
-        F.round(F.min("l_quantity"), 6).alias("minimum_temperature_c"),
-        F.round(F.avg("l_discount") * 30, 6).alias("vpd_kpa"),
-        F.round(F.avg("l_tax") * 100, 6).alias("wind_speed_m_s"),
+    ).agg(F.avg("l_quantity").alias("t"), F.min("l_quantity").alias("lo"), (F.avg("l_discount") * 30).alias("v"), (F.avg("l_tax") * 100).alias("w"))
+    return sums.select(
+        "week",
+        "cell",
+        known(F.col("t")).alias("maximum_temperature_c"),
+        known(F.col("lo")).alias("minimum_temperature_c"),
+        known(F.col("v")).alias("vpd_kpa"),
+        known(F.col("w")).alias("wind_speed_m_s"),
     )
 
 

@@ -250,14 +250,15 @@ def _(spark, d):
 @query(
     "climate_features",
     "4.16",
-    f"""WITH {FIRES}, s AS (SELECT s.*, t.region, month(timestamp) AS mo, coalesce(round(CAST(slice_index AS DOUBLE) / nullif(max(slice_index) OVER (PARTITION BY s.fire_id), 0), 9), 0.5) AS rt FROM slices s JOIN traits t ON t.fire_id = s.fire_id WHERE climate_available),
-    q AS (SELECT round(quantile_cont(maximum_temperature_c, 0.9), 9) AS h, round(quantile_cont(vpd_kpa, 0.9), 9) AS v FROM s), m AS (SELECT region, mo, quantile_cont(vpd_kpa, 0.5) AS med FROM s GROUP BY ALL)
-    SELECT fire_id, CAST(count(*) AS BIGINT) AS slice_count, round(avg(CAST(maximum_temperature_c >= h AS INTEGER)), 6) AS hot_day_fraction, round(avg(CAST(vpd_kpa >= v AS INTEGER)), 6) AS high_vpd_day_fraction, round(avg(vpd_kpa), 8) AS mean_vpd_kpa, min(vpd_kpa) AS min_daily_vpd_kpa,
+    f"""WITH {FIRES}, s AS (SELECT s.*, greatest(maximum_temperature_c - 26, 0) AS rain, 30 - 4 * minimum_temperature_c AS fuel, maximum_temperature_c + 2 * vpd_kpa AS erc, t.region, month(timestamp) AS mo, coalesce(round(CAST(slice_index AS DOUBLE) / nullif(max(slice_index) OVER (PARTITION BY s.fire_id), 0), 9), 0.5) AS rt FROM slices s JOIN traits t ON t.fire_id = s.fire_id WHERE climate_available),
+    q AS (SELECT round(quantile_cont(maximum_temperature_c, 0.9), 9) AS h, round(quantile_cont(vpd_kpa, 0.9), 9) AS v, round(quantile_cont(wind_speed_m_s, 0.9), 9) AS w, round(quantile_cont(fuel, 0.1), 9) AS fu, round(quantile_cont(erc, 0.9), 9) AS er FROM s), m AS (SELECT region, mo, quantile_cont(vpd_kpa, 0.5) AS med FROM s GROUP BY ALL)
+    SELECT fire_id, CAST(count(*) AS BIGINT) AS slice_count, round(avg(CAST(maximum_temperature_c >= h AS INTEGER)), 6) AS hot_day_fraction, round(avg(CAST(vpd_kpa >= v AS INTEGER)), 6) AS high_vpd_day_fraction, round(avg(CAST(wind_speed_m_s >= w AS INTEGER)), 6) AS windy_day_fraction, round(avg(CAST(rain > 0 AS INTEGER)), 6) AS wet_day_fraction, round(avg(CAST(round(fuel, 9) <= fu AS INTEGER)), 6) AS dry_1000hr_fuel_day_fraction, round(avg(CAST(round(erc, 9) >= er AS INTEGER)), 6) AS high_erc_day_fraction, round(avg(vpd_kpa), 8) AS mean_vpd_kpa, min(vpd_kpa) AS min_daily_vpd_kpa,
       round(avg(vpd_kpa - med), 8) AS mean_vpd_kpa_region_month_anomaly, round(avg(vpd_kpa) FILTER (rt <= 1.0 / 3), 8) AS vpd_kpa_early_mean, round(avg(vpd_kpa) FILTER (rt > 2.0 / 3), 8) AS vpd_kpa_late_mean FROM s JOIN m USING (region, mo), q GROUP BY 1""",
 )
 def _(spark, d):
-    out = T.climate_features(slices(spark, d), traits(spark, d))
-    fr, eight = ["hot_day_fraction", "high_vpd_day_fraction"], ["mean_vpd_kpa", "mean_vpd_kpa_region_month_anomaly", "vpd_kpa_early_mean", "vpd_kpa_late_mean"]
+    more = {"precipitation_mm": F.greatest(F.col("maximum_temperature_c") - 26, F.lit(0.0)), "fuel_moisture_1000hr_pct": 30 - 4 * F.col("minimum_temperature_c"), "energy_release_component": F.col("maximum_temperature_c") + 2 * F.col("vpd_kpa")}
+    out = T.climate_features(slices(spark, d).withColumns(more), traits(spark, d))
+    fr, eight = [f"{name}_fraction" for name in T.EXTREME_DAYS], ["mean_vpd_kpa", "mean_vpd_kpa_region_month_anomaly", "vpd_kpa_early_mean", "vpd_kpa_late_mean"]
     return rounded(rounded(out.select("fire_id", "slice_count", *fr, "min_daily_vpd_kpa", *eight), *fr), *eight, digits=8)
 
 

@@ -378,11 +378,11 @@ def _(spark, d):
 @query(
     "median_time_step",
     "8.01",
-    f"""WITH {CUBE}, t AS (SELECT DISTINCT time FROM cube WHERE day(time) % 3 <> 0), g AS (SELECT date_diff('day', time, lead(time) OVER (ORDER BY time)) AS s FROM t)
+    f"""WITH {CUBE}, t AS (SELECT DISTINCT time FROM cube), g AS (SELECT date_diff('day', time, lead(time) OVER (ORDER BY time)) AS s FROM t)
     SELECT CAST(median(s) AS DOUBLE) AS step_days, CAST(greatest(1, round(30 / median(s))) AS INTEGER) AS periods FROM g""",
 )
 def _(spark, d):
-    c = events_cube(spark, d).where(F.day("time") % 3 != 0)
+    c = events_cube(spark, d)
     return V.median_step_days(c).withColumn("periods", F.greatest(F.lit(1), F.round(30 / F.col("step_days")).cast("int")))
 
 

@@ -14,16 +14,26 @@ from ..model import CELL, null_missing
 # --- areas of interest -------------------------------------------------------
 
 
+#: Fixed value: degrees around a point.
+POINT_BUFFER = 0.05
+
+
 def aoi_box(*, point=None, bbox=None, geojson=None) -> tuple[float, float, float, float]:
-    """One AOI as (min_lon, min_lat, max_lon, max_lat); exactly one form must be given."""
+    """One AOI as (min_lon, min_lat, max_lon, max_lat); exactly one form must be given.
+
+    A point is widened by ``POINT_BUFFER`` degrees on each side; a box whose minimum is not below its maximum is refused.
+    """
     given = [v is not None for v in (point, bbox, geojson)]
     if sum(given) != 1:
         raise ValueError("give exactly one of point, bbox, geojson")
     if point is not None:
         lon, lat = point
-        return lon, lat, lon, lat
+        return lon - POINT_BUFFER, lat - POINT_BUFFER, lon + POINT_BUFFER, lat + POINT_BUFFER
     if bbox is not None:
-        return tuple(bbox)
+        x0, y0, x1, y1 = map(float, bbox)
+        if x0 >= x1 or y0 >= y1:
+            raise ValueError("bbox minima must be below its maxima")
+        return x0, y0, x1, y1
     shape = json.loads(geojson) if isinstance(geojson, str) else geojson
     flat: list[tuple[float, float]] = []
 
