@@ -151,7 +151,7 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
     leaves = int(min(MAX_LEAVES, max(1, n // LEAF_POINTS)))
     rate = min(1.0, leaves * SAMPLE_PER_LEAF * 4 / max(n, 1)) if leaves > 1 else 0.0
     sample = (
-        merged.sample(rate, seed=7).select(*cols).limit(leaves * SAMPLE_PER_LEAF * 8).toPandas().to_numpy(float)
+        merged.sample(rate, seed=7).select(*cols).toPandas().to_numpy(float)
         if leaves > 1
         else np.zeros((0, len(cols)))
     )
@@ -196,16 +196,21 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
         leaves = [[v for v in hit if v != home] for hit in tree.value.touched(xy, radius)]
         return pd.DataFrame({**{c: asked[c].to_numpy() for c in cols}, "found": found, "leaves": leaves})
 
-    near = t.groupBy("leaf").cogroup(q.groupBy("leaf")).applyInPandas(
+    def dealt(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Targets and queries with a salt: as many tasks a leaf as its queries need, its targets in each."""
+        load = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / FOREIGN_PER_TASK).cast("int").alias("_s"))
+        salted = t.join(load, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+        return salted, asked.join(load, "leaf").withColumn("salt", F.pmod(F.xxhash64(*cols), F.col("_s")).cast("int")).drop("_s")
+
+    own_t, own_q = dealt(q)
+    near = own_t.groupBy("leaf", "salt").cogroup(own_q.groupBy("leaf", "salt")).applyInPandas(
         own_leaf, f"{coord}, found {found_type}, leaves array<long>"
     )
     near = cut_lineage(near, "knn-near")
     lists = near.select(*cols, "found")
     if leaves > 1:
         away = near.select(*cols, F.explode("leaves").alias("leaf"))
-        load = away.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / FOREIGN_PER_TASK).cast("int").alias("_s"))
-        salted_t = t.join(load, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
-        salted_q = away.join(load, "leaf").withColumn("salt", F.pmod(F.xxhash64(*cols), F.col("_s")).cast("int")).drop("_s")
+        salted_t, salted_q = dealt(away)
 
         def other_leaf(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if mine.empty or asked.empty:
