@@ -13,6 +13,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
+from llm_fixtures import empty_dir, odd_dir, odd_docs, odd_rows  # noqa: F401
 from spacetide.llm import byte_bpe, decontaminate, huffman_ids, quality, secret_scan, shards, simhash, suffix_tree, toxicity, urls
 from spacetide.llm.queries import QUERIES, URL_RULES
 

@@ -7,6 +7,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from llm_fixtures import empty_dir, odd_dir, odd_docs, odd_rows  # noqa: F401
 from spacetide.llm import byte_bpe, decontaminate, quality, simhash
 
 
