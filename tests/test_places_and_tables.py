@@ -7,6 +7,7 @@ import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -202,3 +203,47 @@ def test_query_matches_duckdb(spark, sf_dir, name):
 
 def test_entry(spark, sf_dir):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_hot_leaf_is_dealt_to_many_tasks(spark, monkeypatch):
+    """All queries in one leaf: the neighbours are those of brute force, whatever the number of tasks."""
+    from spacetide.operators import neighbors
+
+    rng = np.random.default_rng(11)
+    xy = np.round(rng.normal(size=(300, 2)), 3)
+    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, a double, b double")
+    distance = np.round(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), 9)
+    want = {(i, j, k + 1) for i in range(300) for k, j in enumerate([j for j in np.lexsort((np.arange(300), distance[i])) if j != i][:3])}
+    for per_task in (50_000, 20):
+        monkeypatch.setattr(neighbors, "FOREIGN_PER_TASK", per_task)
+        found = neighbors.knn_join(frame, frame, 3, ["a", "b"]).collect()
+        assert {(r.query_id, r.neighbor_id, r["rank"]) for r in found} == want
+
+
+def test_radius_pairs_of_mixed_coordinates(spark):
+    """Degree places meet degree places by great circles, plane places all others by straight lines."""
+    from spacetide.operators import joins
+
+    rng = np.random.default_rng(12)
+    points = [(i, float(y), float(x)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 60), rng.uniform(-90, 90, 60)))]
+    points += [(60 + i, float(y), float(x)) for i, (x, y) in enumerate(zip(rng.uniform(181, 400, 40), rng.uniform(91, 400, 40)))]
+    places = spark.createDataFrame(points, "space long, y double, x double")
+    near = {(r.source, r.target) for r in joins.spatial_pairs(places, radius=150.0).select("source", "target").collect()}
+    every = {(r.source, r.target) for r in joins.spatial_pairs(places, mode="all_pairs").where("distance <= 150").select("source", "target").collect()}
+    assert near == every
+
+
+def test_block_pairs(spark):
+    from spacetide.operators import joins
+
+    blocks = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "block string")
+    found = joins.spatial_pairs(blocks, mode="blocks").collect()
+    assert sorted((r.source, r.target, r.distance) for r in found) == [("a", "b", None), ("a", "c", None), ("b", "c", None)]
+    with pytest.raises(ValueError):
+        joins.spatial_pairs(blocks.withColumnRenamed("block", "x"), mode="blocks")
+
+
+def test_point_areas_are_widened_and_boxes_checked():
+    assert SC.aoi_box(point=(10.0, 20.0)) == pytest.approx((9.95, 19.95, 10.05, 20.05))
+    with pytest.raises(ValueError):
+        SC.aoi_box(bbox=(1, 0, 1, 5))
