@@ -246,7 +246,11 @@ def _(spark, d):
     return li.select("time", "l_orderkey", "l_linenumber", F.col(name).alias("vs"))
 
 
-@query("partitioned_table_write", "1.17")
+@query(
+    "partitioned_table_write",
+    "1.17",
+    f"WITH {TRAITS} SELECT region, 'v_1' AS processing_version, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT year) AS BIGINT) AS years FROM traits GROUP BY 1",
+)
 def _(spark, d):
     t = traits(spark, d).withColumns(
         {"spatial_bucket": C.spatial_bucket("lon", "lat", 5.0), "processing_version": F.lit("v/1")}

@@ -127,7 +127,16 @@ def _(spark, d):
     return _out(V.rolling_corr_vs_center(events_cube(spark, d), 14, 5))
 
 
-@query("rolling_user_statistic", "5.08 14.02")
+@query(
+    "rolling_user_statistic",
+    "5.08 14.02",
+    f"""WITH {CUBE}, {_REF}, ax AS (SELECT DISTINCT time FROM cube),
+    k AS (SELECT a.time FROM ax a JOIN ax b ON b.time BETWEEN a.time - 10 AND a.time GROUP BY 1 HAVING count(*) >= 5),
+    j AS (SELECT c.time, c.y_idx, c.x_idx, CASE WHEN r.ref IS NOT NULL THEN c.value END AS x, CASE WHEN c.value IS NOT NULL THEN r.ref END AS y FROM cube c LEFT JOIN ref r ON r.time = c.time),
+    every AS (SELECT DISTINCT y_idx, x_idx FROM cube)
+    SELECT k.time AS window_end, e.y_idx, e.x_idx, round(max(x) - min(y), 6) AS value FROM k CROSS JOIN every e
+    LEFT JOIN j ON j.y_idx = e.y_idx AND j.x_idx = e.x_idx AND j.time BETWEEN k.time - 10 AND k.time GROUP BY ALL""",
+)
 def _(spark, d):
     def spread_ratio(x, y):
         return x.max() - y.min() if len(x) else float("nan")
