@@ -22,6 +22,8 @@ from .text import map_texts
 
 #: Code points in a block of the scan; pieces that a worker's cache holds before it starts anew.
 WIDTH, CACHE = 64, 400_000
+#: Text bytes that are cut into pieces at once.
+STEP = 1 << 20
 #: Pieces above this many bytes are merged with a heap instead of repeated scans.
 LONG = 32
 
@@ -257,9 +259,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids",
 
         return run
 
-    return map_texts(docs, text, fields, make, keep_text)
+    return map_texts(docs, text, fields, make, keep_text, STEP)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", column: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """``df`` with the bytes that each row's ids stand for (null ids: none). An id outside the vocabulary is an error."""
-    return map_texts(df, ids, [(column, "binary", pa.binary())], lambda: lambda rows: [[decode_ids(x, path) for x in rows]], keep_ids)
+    return map_texts(df, ids, [(column, "binary", pa.binary())], lambda: lambda rows: [[decode_ids(x, path) for x in rows]], keep_ids, STEP)

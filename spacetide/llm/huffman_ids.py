@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..session import drop_path, scratch_path
-from .byte_bpe import PieceCache, pieces
-from .text import fresh, map_texts
+from .byte_bpe import STEP, PieceCache, pieces
+from .text import fresh, map_texts, steps
 
 #: Longest code in bits; ids between two checkpoints; ids after which a block is closed.
 LIMIT, CHECK, BLOCK = 20, 64, 1 << 16
@@ -53,7 +54,7 @@ def token_ids(docs: DataFrame, path: str, end: int, text: str = "text", column:
 
         return run
 
-    return map_texts(docs, text, [(column, "binary", pa.binary())], make, keep_text=False)
+    return map_texts(docs, text, [(column, "binary", pa.binary())], make, keep_text=False, most=STEP)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -178,7 +179,7 @@ def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Book(known.value)
-        for batch in batches:
+        for batch in chain.from_iterable(steps(b, 1) for b in batches):
             rows = [np.frombuffer(raw, "<u4") for raw in batch.column(1).to_pylist()]
             made = [book.encode(r) for r in rows]
             columns = [batch.column(0), pa.array([len(r) for r in rows], pa.int32()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())]

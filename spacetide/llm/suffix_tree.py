@@ -26,8 +26,8 @@ from .text import map_texts, raw_texts, steps
 DEPTH, SHARE, DIVERGENCE, PRIOR = 3, 2e-5, 10.0, 16.0
 #: Words of at most so many bytes, the most frequent so many, whose counts are sent to the tasks; all others are joined.
 HEAD_BYTES, HEAD_WORDS = 128, 100_000
-#: Entries a task gathers before it passes them on.
-FLUSH = 1 << 20
+#: Entries a task gathers before it passes them on; text bytes it splits into words at once.
+FLUSH, STEP = 1 << 18, 1 << 20
 #: Words have no white space, so these marks are none.
 _START, _END = b"\t", b"\n"
 
@@ -39,7 +39,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     words: Counter = Counter()
-    for part in chain.from_iterable(steps(b, 0) for b in batches):
+    for part in chain.from_iterable(steps(b, 0, STEP) for b in batches):
         for raw in raw_texts(part.column(0)):
             words.update(raw.lower().split())
         words[_END] += part.num_rows
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
 
         def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             codes, n = np.empty(0, np.int64), np.empty(0, np.int64)
-            for part in chain.from_iterable(steps(b, 0) for b in batches):
+            for part in chain.from_iterable(steps(b, 0, STEP) for b in batches):
                 new, more = _count_runs(raw_texts(part.column(0)), number_.value, frequent, known.value)
                 codes, back = np.unique(np.r_[codes, new], return_inverse=True)
                 n = np.bincount(back, np.r_[n, more], len(codes)).astype(np.int64)
@@ -191,7 +191,7 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
 
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), *named, F.col(text).alias("t"))
-    rows = cut_lineage(map_texts(rows, "t", fields, make, keep_text=False), "scored")
+    rows = cut_lineage(map_texts(rows, "t", fields, make, keep_text=False, most=STEP), "scored")
     rest = rows.select("row", F.explode("own_rest").alias("x")).select("row", "x.word", "x.k")
     edge = int(head[-1].n) if len(head) == HEAD_WORDS else 0  # all shorter words above it are in the head
     rare = words.filter((F.length("word") > HEAD_BYTES) | (F.col("n") <= edge))

@@ -46,15 +46,15 @@ def split_words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
 
 
-def steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows holding about ``STEP_BYTES`` of text each."""
+def steps(batch: pa.RecordBatch, column: int, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows holding about ``most`` bytes of text each."""
     if not batch.num_rows:
         return
     sizes = batch.column(column).cast(pa.large_binary())
     ends = np.frombuffer(sizes.buffers()[1], np.int64, batch.num_rows + 1, 8 * sizes.offset)
     begin = 0
     while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + STEP_BYTES, "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, "right")) - 1)
         yield batch.slice(begin, min(end, batch.num_rows) - begin)
         begin = end
 
@@ -64,10 +64,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable], keep_text: bool = True) -> DataFrame:
+def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType]], make: Callable[[], Callable], keep_text: bool = True, most: int = STEP_BYTES) -> DataFrame:
     """Append columns computed row by row from one text column, in Arrow batches inside the tasks.
 
-    ``make()`` runs once per task and returns ``f(list of UTF-8 texts) -> list of columns``;
+    ``make()`` runs once per task and returns ``f(list of UTF-8 texts) -> list of columns`` for texts of about ``most`` bytes;
     ``fields`` gives each new column's name, Spark type and Arrow type. All columns of ``df`` pass through, the
     text only with ``keep_text``.
     """
@@ -80,7 +80,7 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for part in steps(batch, place):
+            for part in steps(batch, place, most):
                 made = [pa.array(x, kind) for x, kind in zip(apply(raw_texts(part.column(place))), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in stay], *made], names=names)
 

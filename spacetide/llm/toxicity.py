@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from .text import map_texts
 
 #: Most labelled documents of a class, and longest text in characters, in the training sample.
-SAMPLE, SAMPLE_CHARS = 4000, 50_000
+SAMPLE, SAMPLE_CHARS = 2000, 50_000
 #: A toxic word or stem: surroundings in toxic texts, how much likelier there than elsewhere, bytes of a stem.
 SURROUNDINGS, RATIO, STEM = 4, 20.0, 6
 #: Hashed weights a feature kind; passes over the sample, documents at once, step, pull towards zero.
@@ -113,32 +112,50 @@ def _aggregate(odds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def toxic_words(rows: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words that, or whose stem, stand in more different surroundings in toxic texts, by ``RATIO``, than in others."""
-    seen = (defaultdict(set), defaultdict(set))
-    for words, y in zip(rows, toxic):
-        for before, word, after in zip([b"", *words], words, [*words[1:], b""]):
-            around = hash((before, after))
-            seen[y][word].add(around)
-            seen[y][word[:STEM], None].add(around)
-    n = [1 + sum(len(words) for words, y in zip(rows, toxic) if y == k) for k in (0, 1)]
-    bad = {k for k, around in seen[1].items() if len(around) >= SURROUNDINGS and (len(around) + 0.5) / n[1] >= RATIO * (len(seen[0].get(k, ())) + 0.5) / n[0]}
-    return {w for words, y in zip(rows, toxic) if y for w in words if w in bad or (w[:STEM], None) in bad}
+def toxic_words(rows: list[np.ndarray], toxic: np.ndarray, stems: np.ndarray) -> np.ndarray:
+    """Which words, by number: those that, or whose stem, stand in more surroundings in toxic texts, by ``RATIO``, than in others.
 
-
-def fit(texts: list[bytes], toxic: list[int]) -> Field:
-    """Field and logistic fit of a bounded sample; the same sample in the same order gives the same model."""
-    rows, y = texts_words(texts), np.array(toxic, int)
+    ``rows``: each text's words by number; ``stems``: the stem's number of each word.
+    """
+    size = len(stems) + 1  # the last number is the edge of a text
+    around = [np.r_[size - 1, r[:-1]] * size + np.r_[r[1:], size - 1] for r in rows if len(r)]
+    word, around = np.concatenate([r for r in rows if len(r)]), np.concatenate(around)
+    label = np.concatenate([np.full(len(r), y) for r, y in zip(rows, toxic) if len(r)])
+    n = [1 + int((label == k).sum()) for k in (0, 1)]
+    bad = np.zeros(size - 1, bool)
+    for group in (np.arange(size - 1), stems):
+        seen = []
+        for k in (0, 1):
+            own = group[word[label == k]]
+            order = np.lexsort((around[label == k], own))
+            own, place = own[order], around[label == k][order]
+            new = np.r_[True, (own[1:] != own[:-1]) | (place[1:] != place[:-1])][: len(own)]
+            seen.append(np.bincount(own[new], minlength=size - 1))
+        found = (seen[1] >= SURROUNDINGS) & ((seen[1] + 0.5) / n[1] >= RATIO * (seen[0] + 0.5) / n[0])
+        bad |= found[group]
+    return bad
+
+
+def fit(texts: list[bytes], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Field:
+    """Field and logistic fit of a bounded sample; the same sample in the same order gives the same model.
+
+    ``weights``: labelled documents for each sampled one, by class, so that scores are chances among all documents.
+    """
+    y = np.array(toxic, int)
     field = Field()
-    if not len(rows) or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
+        return field
+    number: dict[bytes, int] = {}
+    rows = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for raw in texts for words in texts_words([raw])]
+    if not number:
         return field
-    bad = toxic_words(rows, y)
-    cache: dict[bytes, tuple] = {}
-    coded, marks = [], []
-    for words, label in zip(rows, y):
-        found = np.array([cache.setdefault(w, None) or cache.__setitem__(w, _features(w)) or cache[w] for w in words], np.int64).reshape(-1, 3)
-        coded.append(tuple(found.T))
-        marks.append(np.array([label and w in bad for w in words], float))
+    stem: dict[bytes, int] = {}
+    stems = np.array([stem.setdefault(w[:STEM], len(stem)) for w in number], np.int64)
+    features = np.array([_features(w) for w in number], np.int64)
+    del number, stem
+    bad = toxic_words(rows, y, stems)
+    coded = [tuple(features[r].T) for r in rows]
+    marks = [(bad[r] & bool(label)).astype(float) for r, label in zip(rows, y)]
     squares = {k: np.full(1 << BITS, 1e-2) for k in _KINDS}
     order = np.argsort([len(r) for r in rows], kind="stable")
     batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
@@ -176,33 +193,38 @@ def fit(texts: list[bytes], toxic: list[int]) -> Field:
                 field.weights[kind] += (RATE * slopes / np.sqrt(squares[kind])).astype(np.float32)
     sizes = np.array([len(r) for r in rows])
     x = _aggregate(forward_backward(field.emissions([c for c in coded if len(c[0])]), sizes[sizes > 0], field.transitions)[2], sizes)
-    field.logistic = _logistic(x, y)
+    field.logistic = _logistic(x, y, np.array(weights)[y])
     return field
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Newton's method with a small ridge."""
     w, ridge = np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """At most ``most`` labelled texts a class, of at most ``SAMPLE_CHARS`` characters, in order of a hash of the id.
+def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> tuple[list[bytes], list[int], tuple[float, float]]:
+    """At most ``most`` labelled texts a class, of at most ``SAMPLE_CHARS`` characters, in order of a hash of the id; the labels; weights for ``fit``.
 
     A document with several labels is toxic if one of them says so; null ids, labels and texts teach nothing.
     """
     named = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("i")).agg(F.max(label).alias("y")).filter("i is not null")
-    found = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter((F.length("t") <= SAMPLE_CHARS)).join(named, "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    taught = named.join(docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("i")).distinct(), "i", "left_semi")
+    total = {r.y: r["count"] for r in taught.groupBy("y").count().collect()}
     rows = []
     for y in (0, 1):
-        rows += found.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most).select(F.col("t").cast("binary").alias("t"), F.col("y").cast("int").alias("y")).collect()
-    return [bytes(r.t) for r in rows], [r.y for r in rows]
+        chosen = taught.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most)  # ids only, so they can be broadcast
+        found = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).filter(F.length("t") <= SAMPLE_CHARS).join(F.broadcast(chosen), "i")
+        found = found.groupBy("i").agg(F.min("t").alias("t")).orderBy(F.xxhash64("i"), "i")
+        rows += [(bytes(r.t), y) for r in found.select(F.col("t").cast("binary").alias("t")).collect()]
+    labels_ = [y for _, y in rows]
+    return [t for t, _ in rows], labels_, tuple(total.get(y, 0) / max(labels_.count(y), 1) for y in (0, 1))
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", prefix: str = "", keep_text: bool = True) -> DataFrame:
