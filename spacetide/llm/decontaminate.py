@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import raw_texts, steps
+from .text import raw_texts, steps, without
 
 #: Words in a window; documents with at least this share of hit words (as 1 / n) are contaminated.
 WINDOW, SHARE = 13, 20
@@ -78,15 +78,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     A document word inside any occurrence of an item's window is hit; an item of fewer words than a window is one window.
     ``contaminated``: n_hit > 0 and share * n_hit >= n_words. Null texts have no words; items without
     words never occur; a null item id is the empty string; repeated items count by id; an empty benchmark hits
-    nothing. ``prefix`` goes before the new columns' names (columns of ``docs`` of these names are otherwise refused).
+    nothing. ``prefix`` goes before the new columns' names; columns of ``docs`` that have these names are replaced.
 
     Items reach the tasks as broadcasts of at most about ``block_bytes`` each (their size is summed first); a task
     holds one automaton at a time, and scans the batch once for each block of items.
     """
     spark = docs.sparkSession
     added = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("spans", "array<struct<start:int,end:int>>"), ("contaminated", "boolean")]
-    if clash := {prefix + n for n, _ in added} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
+    docs = without(docs, [prefix + n for n, _ in added], text)
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).cast("binary").alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_bytes)

@@ -30,6 +30,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, names: list[str], text: str) -> DataFrame:
+    """``df`` less the columns that results of these names replace (the text column itself cannot be replaced)."""
+    low = {n.lower() for n in names}
+    if text.lower() in low:
+        raise ValueError(f"the text column {text} cannot be a result")
+    return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """``crc32(doc_id as text) mod folds``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -69,8 +77,9 @@ def map_texts(df: DataFrame, text: str, fields: list[tuple[str, str, pa.DataType
 
     ``make()`` runs once per task and returns ``f(list of UTF-8 texts) -> list of columns`` for texts of about ``most`` bytes;
     ``fields`` gives each new column's name, Spark type and Arrow type. All columns of ``df`` pass through, the
-    text only with ``keep_text``.
+    text only with ``keep_text``, and columns that have a new column's name not at all.
     """
+    df = without(df, [name for name, _, _ in fields], text)
     place = df.columns.index(text)
     stay = [i for i in range(len(df.columns)) if keep_text or i != place]
     schema = T.StructType([df.schema.fields[i] for i in stay] + [T.StructField(name, T._parse_datatype_string(kind)) for name, kind, _ in fields])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import ascii_lower, fresh
+from .text import ascii_lower, fresh, without
 
 #: Longest context, weight of the shorter context, symbols assumed below all contexts, slots for counts.
 ORDER, PRIOR, SYMBOLS, SLOTS = 4, 2.0, 128, 1 << 18
@@ -105,14 +105,13 @@ def threshold(judged: DataFrame) -> float:
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, score and verdict (``allow`` or ``block``); columns of these names must not exist.
+    """``pages`` with host, path, rule, score and verdict (``allow`` or ``block``); columns of these names are replaced.
 
     URLs that a rule decides are the accepted and rejected examples of the models, less the held-out ones that
     set the threshold; all others are allowed if their score reaches it. A null URL is an empty text; repeated rows
     are judged alike; with examples of one kind only, the threshold is 0.
     """
-    if clash := {"host", "path", "rule", "score", "verdict"} & set(pages.columns):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    pages = without(pages, ["host", "path", "rule", "score", "verdict"], url)
     (fit,) = fresh(pages, "fit")
     df = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     df = df.withColumn(fit, rule_of(F.col("host"), F.col("path"), rules))
