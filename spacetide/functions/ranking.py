@@ -31,32 +31,27 @@ def percent_rank_average(value: str | Column, partition: Sequence[str | Column])
     return F.when(value.isNotNull(), average_rank(value, [*partition, value.isNull()]) / present)
 
 
-def _cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Bounded probe: at most ``buckets`` sketch boundaries come to the driver."""
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(value, probs, 1000).alias("c")).first()
-    return sorted(set(row["c"] or []))
-
-
-def _bucket_count(df: DataFrame) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(512, configured))
+def _buckets(df: DataFrame) -> int:
+    """As many as the session has shuffle partitions."""
+    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct value: ``cnt`` and ``cum_before`` (rows strictly below).
 
-    Columns: by..., value, cnt, cum_before, total. Runs one small sketch job to
-    choose the cut points; the counts themselves are exact for any cuts.
+    Columns: by..., value, cnt, cum_before, total. Cut points are sketched per group, so that a group is cut
+    evenly wherever its values lie; the counts themselves are exact for any cuts.
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
-    cuts = _cuts(present, value, _bucket_count(df))
+    buckets = _buckets(df)
+    sketch = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(1000, 10 * buckets)).alias("_cuts")
     counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    cut_array = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
-    counts = counts.withColumn(
-        "_bucket", F.size(F.filter(cut_array, lambda c: c < F.col(value)))
-    )
+    if by:
+        counts = counts.join(present.groupBy(*by).agg(sketch), by)
+    else:
+        counts = counts.withColumn("_cuts", present.agg(sketch).scalar())
+    counts = counts.withColumn("_bucket", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
     per_bucket = counts.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_n"))
     run = W.partitionBy(*by).orderBy("_bucket")
     offsets = per_bucket.select(

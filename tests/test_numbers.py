@@ -198,3 +198,15 @@ def test_array_functions(spark):
     assert row["i"] == pytest.approx(np.interp(0.4, np.linspace(0, 1, 4), v))
     assert list(row["g"]) == pytest.approx(np.gradient(v)) and list(row["d"]) == [3.0, -2.0, 6.0]
     assert row["q"] == pytest.approx(np.quantile(v, 0.3)) and list(row["r"]) == [1]
+
+
+def test_quantiles_of_groups_far_apart(spark):
+    """Each group has its own cut points, so its quantiles are exact wherever its values lie."""
+    rng = np.random.default_rng(21)
+    groups = {"small": rng.uniform(0, 1, 3000), "large": 1e6 + rng.pareto(1.0, 500), "one": np.array([5.0])}
+    frame = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "metric string, value double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for r in R.quantile_table(frame, "value", probs, ["metric"]).collect():
+        assert [r[f"q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(groups[r.metric], probs)))
+    counts = R.ordered_counts(frame, "value", ["metric"])
+    assert {r.metric: r.total for r in counts.select("metric", "total").distinct().collect()} == {k: len(v) for k, v in groups.items()}
