@@ -45,7 +45,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, offsets, round_trip)``: ids and their byte offsets in the text as little-endian unsigned 32-bit integers, and whether decoding gives the text back."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, offsets="offsets"), path)
+    coded = byte_bpe.encode(docs.select("doc_id", "text"), path, offsets="offsets", decoded="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "offsets", same.alias("round_trip"))
 

@@ -13,6 +13,7 @@ import base64
 import heapq
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +107,13 @@ def _entry_states(kinds: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T).ravel()[: len(kinds)]
 
 
-def pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Pieces of all texts in a row, and where each text's pieces begin and end in that list."""
+def cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All texts in a row, the bytes at which pieces begin there (and the end), and which piece each text begins with (and the end)."""
     joined = b"".join(texts)
     points = np.frombuffer(joined.decode("utf-8").encode("utf-32-le"), np.uint32)
     bounds = np.zeros(len(texts) + 1, np.int64)
     if not len(points):
-        return [], bounds
+        return joined, np.zeros(1, np.int64), bounds
     sizes = np.ones(len(points), np.int64)
     for least in (0x80, 0x800, 0x10000):
         sizes += points >= least
@@ -137,9 +138,26 @@ def pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     kinds[firsts[full]] += _FIRST
     kinds *= 8
     starts = np.flatnonzero(_look(_START, kinds + _entry_states(kinds)))
-    at = np.r_[(ends - sizes)[starts], len(joined)].tolist()
     bounds[1:] = np.searchsorted(starts, stops)
-    return [joined[a:b] for a, b in zip(at, at[1:])], bounds
+    return joined, np.r_[(ends - sizes)[starts], len(joined)], bounds
+
+
+def coded_pieces(texts: list[bytes], ids_of: dict[bytes, bytes]) -> list[bytes]:
+    """Ids of each text: equal pieces are looked up once, their ids laid out by place."""
+    joined, at, bounds = cut(texts)
+    if not joined:
+        return [b""] * len(texts)
+    column = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(joined)]).dictionary_encode()
+    names, edges = column.dictionary.buffers()[2].to_pybytes(), np.frombuffer(column.dictionary.buffers()[1], np.int64, len(column.dictionary) + 1).tolist()
+    found = [ids_of[names[a:b]] for a, b in zip(edges, edges[1:])]
+    sizes = np.array([len(x) // 4 for x in found], np.int64)
+    table, firsts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    index = np.asarray(column.indices)
+    n = sizes[index]
+    ends = np.cumsum(n)
+    ids = table[np.repeat(firsts[index] - ends + n, n) + np.arange(int(n.sum()))].tobytes()
+    cuts = (4 * np.r_[0, ends][bounds]).tolist()
+    return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -189,14 +207,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class PieceCache(dict):
     """Piece -> its ids as little-endian 32-bit integers; emptied when full, so memory stays bounded."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = CACHE):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.encode(piece), "<u4").tobytes()
+        got = self.encode(piece)
+        ids = pack(f"<{len(got)}I", *got)
         if len(piece) <= 64 * LONG:
             self[piece] = ids
         return ids
@@ -221,11 +240,7 @@ def _tokens(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text, little-endian unsigned 32-bit."""
-    found, bounds = pieces(texts)
-    get = _cache(path).__getitem__
-    ids = [get(p) for p in found]
-    ends = bounds.tolist()
-    return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+    return coded_pieces(texts, _cache(path))
 
 
 def decode_ids(ids: bytes, path: str) -> bytes:
@@ -244,18 +259,20 @@ def token_offsets(ids: bytes, path: str) -> np.ndarray:
     return np.r_[0, np.cumsum(_tokens(path)[2][np.frombuffer(ids, "<u4")])]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids", offsets: str | None = None, keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids", offsets: str | None = None, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with the ids of every text as binary (little-endian unsigned 32-bit integers).
 
     ``path``: rank file, present on every node. ``offsets``: also a column with the byte offset of each id, as
-    binary of little-endian unsigned 32-bit integers with the text's length at the end. Null and empty texts give no ids.
+    binary of little-endian unsigned 32-bit integers with the text's length at the end. ``decoded``: also a column with the bytes that
+    the ids stand for, decoded in the same worker. Null and empty texts give no ids.
     """
-    fields = [(column, "binary", pa.binary())] + ([(offsets, "binary", pa.binary())] if offsets else [])
+    fields = [(name, "binary", pa.binary()) for name in (column, offsets, decoded) if name]
 
     def make():
         def run(texts):
             ids = encode_texts(texts, path)
-            return [ids] + ([[token_offsets(x, path).astype("<u4").tobytes() for x in ids]] if offsets else [])
+            starts = [[token_offsets(x, path).astype("<u4").tobytes() for x in ids]] if offsets else []
+            return [ids, *starts, *([[decode_ids(x, path) for x in ids]] if decoded else [])]
 
         return run
 

@@ -21,20 +21,31 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..session import drop_path, scratch_path
-from .byte_bpe import STEP, PieceCache, pieces
+from .byte_bpe import STEP, PieceCache, coded_pieces
 from .text import fresh, map_texts, steps
 
 #: Longest code in bits; ids between two checkpoints; ids after which a block is closed.
 LIMIT, CHECK, BLOCK = 20, 64, 1 << 16
+#: Pieces whose ids a worker keeps.
+PIECES = 1_200_000
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 @lru_cache(2)
 def _cache(path: str) -> PieceCache:
     """Piece -> ids by the tokenizers library. A byte-level tokenizer cuts a text into pieces before it merges,
     so encoding each distinct piece once gives what encoding the whole text gives."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return PieceCache(lambda piece: tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+    merges = Tokenizer.from_file(path).model
+    return PieceCache(lambda piece: [t.id for t in merges.tokenize(piece.decode("latin-1").translate(_BYTE_SIGNS))], PIECES)
 
 
 def token_ids(docs: DataFrame, path: str, end: int, text: str = "text", column: str = "ids") -> DataFrame:
@@ -46,11 +57,7 @@ def token_ids(docs: DataFrame, path: str, end: int, text: str = "text", column:
 
     def make():
         def run(texts: list[bytes]) -> list:
-            found, bounds = pieces(texts)
-            get = _cache(path).__getitem__
-            ids = [get(p) for p in found]
-            ends = bounds.tolist()
-            return [[b"".join([*ids[a:b], stop]) for a, b in zip(ends, ends[1:])]]
+            return [[ids + stop for ids in coded_pieces(texts, _cache(path))]]
 
         return run
 
@@ -171,11 +178,11 @@ def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids",
     book = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths) if n], "id int, length int")
     book.coalesce(1).write.parquet(f"{path}/codes")
     parts = parts or max(1, coded.rdd.getNumPartitions())
-    cuts = coded.agg(F.percentile_approx(doc_id, [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = coded.agg(F.percentile_approx(doc_id, shares, max(10_000, 20 * parts))).first()[0] if shares else None
+    bounds = spark.sparkContext.broadcast(np.array(sorted(set(cuts or []))))
     kind = coded.schema[doc_id].dataType
-    streams = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.IntegerType()), T.StructField("stream", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
+    streams = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.IntegerType()), T.StructField("stream", T.BinaryType()), T.StructField("offsets", T.BinaryType()), T.StructField("part", T.IntegerType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Book(known.value)
@@ -183,6 +190,8 @@ def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids",
             rows = [np.frombuffer(raw, "<u4") for raw in batch.column(1).to_pylist()]
             made = [book.encode(r) for r in rows]
             columns = [batch.column(0), pa.array([len(r) for r in rows], pa.int32()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())]
+            parts_of = [0 if i is None else int(np.searchsorted(bounds.value, i)) for i in batch.column(0).to_pylist()]
+            columns.append(pa.array(parts_of, pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=streams.fieldNames())
 
     blocks = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("begin", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("checkpoints", T.BinaryType()), T.StructField("stream", T.BinaryType())])
@@ -214,7 +223,7 @@ def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids",
         if docs:
             yield close()
 
-    rows = coded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(encode, streams).withColumn("part", part)
+    rows = coded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(encode, streams)
     ordered = rows.repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "stream")
     ordered.mapInArrow(pack, blocks).write.parquet(f"{path}/blocks")
     totals = spark.read.schema(blocks).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_ids"))

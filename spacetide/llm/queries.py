@@ -69,8 +69,7 @@ def _(spark, sf_dir):
 @query("op8_byte_level_bpe")
 def _(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
-    read = byte_bpe.decode(coded, path)
+    read = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded", keep_text=False)
     return read.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

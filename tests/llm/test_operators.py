@@ -56,6 +56,7 @@ def test_clashing_columns_are_replaced(spark, odd_dir, odd_docs):
         toxicity.score(odd_docs, toxicity.fit([b"a b", b"c d"], [0, 1])),
         suffix_tree.scored(odd_docs, odd_docs),
         byte_bpe.encode(odd_docs, public_tokenizers.path("byte_bpe_50k.tiktoken")),
+        byte_bpe.decode(byte_bpe.encode(odd_docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.path("byte_bpe_50k.tiktoken")),
         huffman_ids.round_trip(odd_docs, public_tokenizers.path("byte_bpe_50k.json")),
         shards.sharded(odd_docs),
     ]
