@@ -24,7 +24,7 @@ SAMPLE, SAMPLE_CHARS = 2000, 50_000
 #: A toxic word or stem: surroundings in toxic texts, how much likelier there than elsewhere, bytes of a stem.
 SURROUNDINGS, RATIO, STEM = 4, 20.0, 6
 #: Hashed weights a feature kind; passes over the sample, documents at once, step, pull towards zero.
-BITS, PASSES, BATCH, RATE, PULL = 16, 6, 200, 0.4, 1e-4
+BITS, PASSES, BATCH, RATE, PULL = 16, 8, 50, 0.4, 1e-4
 #: A span's tokens have at least this marginal; words a worker keeps features of.
 SPAN, CACHE = 0.5, 300_000
 _RUN = re.compile(rb"[^\x20\x09-\x0D]+")
