@@ -1,33 +1,42 @@
 """Language-model scores from a probabilistic suffix tree over words, beside a word-count baseline.
 
 Tokens are the words of a text, A-Z lower-cased, and an end mark. All training texts are counted. Contexts of one to DEPTH
-words are found level by level: a context and its next word count only if the run of words makes up a given share of all
-tokens, which bounds every level by 1 / share runs however large the corpus. A context is retained if its
-next-word distribution diverges from that of the context without its oldest word, weighted by its count. Distributions are smoothed
-towards that shorter context, which also covers the next words that were not counted. A token is scored in the
+words are found level by level: every run of words that occurs at least LEAST times is counted, at any size of the corpus. A context is
+retained if its next-word distribution diverges from that of the context without its oldest word, weighted by its count. Distributions
+are smoothed towards that shorter context, which also covers the next words that were not counted. A token is scored in the
 state of the longest retained context before it.
+
+Runs are known by 64-bit hashes and held in tables, level by level. A text's score is a sum over its runs, each of which adds what it
+changes against the run without its oldest word, so texts and runs meet in one join. Only the runs above SHARE of all tokens, which
+would be hot keys of that join, are sent to the tasks.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_path, scratch_path
 from .text import map_texts, raw_texts, steps
 
-#: Longest context in words, least share of all tokens of a counted run, least divergence in nats, weight of the shorter context.
+#: Longest context in words, share of all tokens above which a run goes to the tasks, least divergence in nats, weight of the shorter context.
 DEPTH, SHARE, DIVERGENCE, PRIOR = 3, 2e-5, 10.0, 16.0
+#: Least count of a run.
+LEAST = 2
 #: Words of at most so many bytes, the most frequent so many, whose counts are sent to the tasks; all others are joined.
 HEAD_BYTES, HEAD_WORDS = 128, 100_000
 #: Entries a task gathers before it passes them on; text bytes it splits into words at once.
 FLUSH, STEP = 1 << 18, 1 << 20
+#: Runs a task gathers before it passes them on; words whose hashes a worker keeps; most 64-bit words of a filter (a full one only lets more through).
+RUNS, HASHES, FILTER = 1 << 20, 500_000, 1 << 24
 #: Words have no white space, so these marks are none.
 _START, _END = b"\t", b"\n"
 
@@ -71,18 +80,237 @@ def _codes(run: np.ndarray, word: np.ndarray, frequent: int) -> np.ndarray:
     return np.r_[-1, np.where(ok, (run[:-1] << 17) | word[1:], -1)]
 
 
-def _count_runs(texts: list[bytes], number: dict, frequent: int, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of runs one word longer than the last of ``levels``."""
-    _, word, _ = _numbers(texts, number)
-    run = np.where(word < frequent, word, -1)
-    for codes in levels:
-        run = _find(codes, _codes(run, word, frequent))
-    code = _codes(run, word, frequent)
-    return np.unique(code[code >= 0], return_counts=True)
+class _Hashes(dict):
+    """Word -> its hash, as Spark's ``xxhash64`` has it; emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HASHES:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+def _join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of runs by those of the runs without their last and without their first word: Spark's ``xxhash64(a, b)``."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    out = np.full(len(a), 42, np.uint64)
+    for x in (a, b):
+        out = out + five + np.uint64(8)
+        out ^= turn(x * two, 31) * one
+        out = turn(out, 27) * one + four
+        out = (out ^ out >> np.uint64(33)) * two
+        out = (out ^ out >> np.uint64(29)) * three
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _keys(rows: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and mark, and its place in its text."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    n = int(sizes.sum())
+    return np.fromiter(map(hashes.__getitem__, chain.from_iterable(rows)), np.uint64, n), np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _bits(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word of a filter of ``width`` words (a power of two) and the bits in it, by key."""
+    one = np.uint64(1)
+    return (keys >> np.uint64(65 - width.bit_length())).astype(np.int64), one << (keys & np.uint64(63)) | one << (keys >> np.uint64(6) & np.uint64(63))
+
+
+def _passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    at, bits = _bits(keys, len(filter_))
+    return filter_[at] & bits == bits
+
+
+def _filter(keys: DataFrame, width: int) -> np.ndarray:
+    """Filter over the longs in the first column, which lie together by their upper bits, so that tasks send about ``width`` words in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
+        if found:
+            at, bits = _bits(np.sort(np.concatenate(found)), width)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])[: len(at)]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(np.bitwise_or.reduceat(bits, first).view(np.int64))], names=["at", "bits"])
+
+    got = keys.mapInArrow(run, "at long, bits long").toArrow()
+    out = np.zeros(width, np.uint64)
+    np.bitwise_or.at(out, got["at"].to_numpy(), got["bits"].to_numpy().view(np.uint64))
+    return out
+
+
+def _freed(spark) -> None:
+    """Let Spark delete the shuffle files of finished stages, which it does when its own handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _dealt(key: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Columns of sorted keys as one row a bucket: equal keys have equal buckets, and a bucket is a range of keys."""
+    bucket = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    cut = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64)).tolist()
+    full = [i for i in range(parts) if cut[i + 1] > cut[i]]
+    blobs = [pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for c in columns]
+    for i in range(0, len(full), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32())[i : i + 64], *[b[i : i + 64] for b in blobs]], names=["bucket", *[f"c{k}" for k in range(len(blobs))]])
+
+
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sum of each one's ``n``."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+    return key[first], order[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def _runs(train: DataFrame, text: str, order: int, shorter, parts: int) -> DataFrame:
+    """``(key, prefix, suffix, n)`` of all runs of ``order`` words that occur LEAST times; ``shorter``: filter over the counted runs
+    of a word less, which only saves runs that cannot occur so often."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _Hashes(), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            before, after, n = (np.concatenate(x) for x in zip(*held))
+            key, place, n = _sums(_join_keys(before, after), n)
+            return _dealt(key, [before[place], after[place], n.astype("<u4")], parts)  # the key follows from the two
+
+        for part in chain.from_iterable(steps(b, 0, STEP) for b in batches):
+            rows = [[_START, *raw.lower().split(), _END] for raw in raw_texts(part.column(0))]
+            key, place = _keys(rows, hashes)
+            for _ in range(order - 2):
+                key = np.r_[np.uint64(0), _join_keys(key[:-1], key[1:])]
+            ok = place >= order - 1
+            if shorter is not None:
+                passed = _passes(shorter.value, key)
+                ok &= passed & np.r_[False, passed[:-1]]
+            at = np.flatnonzero(ok)
+            held.append((key[at - 1], key[at], np.ones(len(at), np.int64)))
+            size += len(at)
+            if size > RUNS:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for bucket, *blobs in zip(*[c.to_pylist() for c in b.columns]):
+                held.setdefault(bucket, []).append(blobs)
+        for bucket in sorted(held):
+            before, after, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held.pop(bucket)), ("<u8", "<u8", "<u4")))
+            key, place, n = _sums(_join_keys(before, after), n.astype(np.int64))
+            often = n >= LEAST
+            place = place[often]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key[often], before[place], after[place], n[often])], names=["key", "prefix", "suffix", "n"])
+
+    counted = train.select(text).mapInArrow(count, "bucket int, c0 binary, c1 binary, c2 binary")
+    return counted.repartition(parts, "bucket").mapInArrow(add, "key long, prefix long, suffix long, n long")
+
+
+def _level(runs: DataFrame, below: DataFrame, into: str) -> None:
+    """Write to ``into`` ``(key, n, of, prefix, q, p, back)`` of ``runs``: count, context's count and key, probability in the shorter context and in its
+    own; back: log10 of what its context leaves for other words against the shorter one, null if that is not retained.
+    ``below``: ``(key, n, p)`` of all runs of a word less."""
+    before = below.select(F.col("key").alias("prefix"), F.col("n").alias("of"))
+    after = below.select(F.col("key").alias("suffix"), F.col("p").alias("q"))
+    path = scratch_path(runs.sparkSession, "runs-in-context")
+    runs.join(before, "prefix").join(after, "suffix").drop("suffix").write.parquet(path)
+    placed = runs.sparkSession.read.parquet(path)
+    n, of, q = (F.col(c).cast("double") for c in ("n", "of", "q"))
+    rest_n, rest_q = F.greatest(F.max("of") - F.sum("n"), F.lit(0)), F.greatest(1 - F.sum("q"), F.lit(1e-9))
+    contexts = placed.groupBy("prefix").agg(F.max("of").alias("of_"), rest_n.alias("rest_n"), rest_q.alias("rest_q"), F.sum(n * F.log(n / of / q)).alias("seen"))
+    rest = F.when(F.col("rest_n") > 0, F.col("rest_n") * F.log(F.col("rest_n") / F.col("of_") / F.col("rest_q"))).otherwise(0.0)
+    back = F.log10((F.col("rest_n") + PRIOR * F.col("rest_q")) / (F.col("of_") + PRIOR) / F.col("rest_q"))
+    kept = contexts.filter(F.col("seen") + rest >= DIVERGENCE).select("prefix", back.alias("back"))
+    own = F.when(F.col("back").isNull(), q).otherwise((n + PRIOR * q) / (of + PRIOR))
+    _freed(runs.sparkSession)
+    placed.join(kept, "prefix", "left").select("key", "n", "of", "prefix", "q", own.alias("p"), "back").write.parquet(into)
+    drop_path(runs.sparkSession, path)
+
+
+def _tree(train: DataFrame, text: str, words: DataFrame, n_texts: int, discount: float, total: int, parts: int) -> DataFrame:
+    """``(run_order, key, n, value)``: what each occurrence of a run adds to the log10 probability of a text, beside the words' own. A key may
+    have two rows, as a run that ends in its context's next word and as a context."""
+    spark = train.sparkSession
+    width = min(FILTER, 1 << max(10, (total // 64).bit_length()))
+    p = F.greatest(F.col("n") - discount, F.lit(1e-9)) / max(total, 1)
+    start = spark.range(1).select(F.xxhash64(F.lit(bytes(_START))).alias("key"), F.lit(n_texts).cast("long").alias("n"), F.lit(1.0).alias("p"))
+    below = words.filter(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), "n", p.alias("p")).union(start)
+    shorter, path, stages = None, scratch_path(spark, "values"), []
+    bucket = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * parts, 32).cast("int")
+    for order in range(2, DEPTH + 2):
+        stages.append(scratch_path(spark, "runs"))
+        _runs(train, text, order, shorter, parts).write.parquet(stages[-1])
+        runs = spark.read.parquet(stages[-1])
+        _freed(spark)
+        if order <= DEPTH:
+            shorter = spark.sparkContext.broadcast(_filter(runs.select("key"), width))
+        stages.append(scratch_path(spark, "level"))
+        _level(runs, below, stages[-1])
+        level = spark.read.parquet(stages[-1])
+        for stage in stages[:-1]:
+            drop_path(spark, stage)
+        stages = stages[-1:]
+        held = level.filter(F.col("back").isNotNull())
+        gain = held.select(F.lit(order).alias("run_order"), "key", "n", (F.log10("p") - F.log10("q") - F.col("back")).alias("value"))
+        context = held.groupBy("prefix").agg(F.max("of").alias("n"), F.max("back").alias("value")).select(F.lit(order - 1).alias("run_order"), F.col("prefix").alias("key"), "n", "value")
+        values = gain.union(context).withColumn("bucket", bucket)
+        values.repartition(parts, "bucket").write.mode("append").parquet(path)
+        _freed(spark)
+        below = level.select("key", "n", "p")
+    drop_path(spark, stages[-1])
+    return spark.read.schema(values.schema).parquet(path)
+
+
+def _looked_up(asked: DataFrame, values: DataFrame, parts: int) -> DataFrame:
+    """``(row, tree)``: sum of the values of the keys in the binary column 1 of ``asked``; rows without any are left out."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            row, key = (np.concatenate(x) for x in zip(*held))
+            order, base = np.argsort(key), int(row.min())
+            for b in _dealt(key[order], [key[order], (row - base)[order].astype("<u4")], parts):
+                yield b.append_column("base", pa.array(np.full(b.num_rows, base)))
+
+        for b in batches:
+            for row, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key = np.frombuffer(blob, "<u8")
+                if held and abs(row - int(held[0][0][0])) >= 1 << 31:
+                    yield from out()
+                    held, size = [], 0
+                if not len(key):
+                    continue
+                held.append((np.full(len(key), row), key))
+                size += len(key)
+                if size > RUNS:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    def find(asked: pa.Table, known: pa.Table) -> pa.Table:
+        key = np.frombuffer(b"".join(asked["c0"].to_pylist()), "<u8")
+        row = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<u4") + np.int64(base) for x, base in zip(asked["c1"].to_pylist(), asked["base"].to_pylist())]])
+        codes, _, value = _sums(known["key"].to_numpy().view(np.uint64), known["value"].to_numpy())
+        at = _find(codes, key)
+        key, row = value[at[at >= 0]], row[at >= 0]
+        rows, at = np.unique(row, return_inverse=True)
+        return pa.table({"row": pa.array(rows, pa.int64()), "tree": pa.array(np.bincount(at, key, len(rows)), pa.float64())})
+
+    dealt = asked.mapInArrow(deal, "bucket int, c0 binary, c1 binary, base long")
+    parts_ = dealt.groupBy("bucket").cogroup(values.select("bucket", "key", "value").groupBy("bucket")).applyInArrow(find, "row long, tree double")
+    return parts_.groupBy("row").agg(F.sum("tree").alias("tree"))
 
 
 class Tree:
-    """Root probabilities of the head words, and for each level the runs' probabilities and their contexts' backing off."""
+    """The same model of few runs in memory: root probabilities of the head words, and for each level the runs' probabilities and
+    their contexts' backing off. Tests hold the tables to it."""
 
     def __init__(self, counts: np.ndarray, frequent: int, total: int, kinds: int, once: int, levels: list[np.ndarray], sizes: list[np.ndarray]):
         self.frequent, self.levels = frequent, levels
@@ -131,47 +359,40 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
     Null and empty texts have one token, the end. Repeated rows are scored alike. With no training text every word is
     unknown, and unknown words have probability 1. ``score`` is the tree's log10 probability of the tokens.
 
-    Counts of the most frequent words go to the tasks (HEAD_WORDS of at most HEAD_BYTES each); a text's other words, none of
-    which can be frequent unless it is long, are joined with the counts of all words.
+    Counts of the most frequent words go to the tasks (HEAD_WORDS of at most HEAD_BYTES each), and so do the runs above SHARE; a text's
+    other words and runs are joined with the tables of all words and runs.
     """
     spark = docs.sparkSession
     words = train.select(train_text).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = cut_lineage(words, "word-counts")
     total, kinds, once, n_texts = (x or 0 for x in words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.max(F.when(F.col("word") == F.lit(_END), F.col("n")))).first())
-    least = SHARE * total
     short = words.filter((F.length("word") <= HEAD_BYTES) & (F.col("word") != F.lit(_END)))
     head = short.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
     number = {_START: 0, _END: 1} | {bytes(r.word): i for i, r in enumerate(head, 2)}
     counts = np.array([n_texts, n_texts, *[r.n for r in head]], np.int64)
-    frequent = 2 + int((counts[2:] >= least).sum())
+    edge = int(head[-1].n) if len(head) == HEAD_WORDS else 0  # all shorter words above it are in the head
     number_ = spark.sparkContext.broadcast(number)
-    levels, sizes = [], []
-    for _ in range(DEPTH):
-        known = spark.sparkContext.broadcast(list(levels))
-
-        def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            codes, n = np.empty(0, np.int64), np.empty(0, np.int64)
-            for part in chain.from_iterable(steps(b, 0, STEP) for b in batches):
-                new, more = _count_runs(raw_texts(part.column(0)), number_.value, frequent, known.value)
-                codes, back = np.unique(np.r_[codes, new], return_inverse=True)
-                n = np.bincount(back, np.r_[n, more], len(codes)).astype(np.int64)
-                if len(codes) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-                    codes, n = np.empty(0, np.int64), np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
-
-        runs = train.select(train_text).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        found = runs.filter(F.col("n") >= max(least, 2)).orderBy("code").toPandas()  # at most 1 / SHARE rows
-        levels.append(found["code"].to_numpy(np.int64))
-        sizes.append(found["n"].to_numpy(np.int64))
-    tree = Tree(counts, frequent, total, kinds, once, levels, sizes)
-    model = spark.sparkContext.broadcast((tree, np.log10(counts + 1.0)))
+    # an unknown word is one event, as in the baseline; it gets what a constant discount takes from all counts
+    discount = min(0.9, max(once, 1) / kinds) if kinds else 0.0
+    unknown = discount * kinds / total if total else 1.0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = _tree(train, train_text, words, n_texts, discount, total, parts)
+    hot = values.filter(F.when(F.col("run_order") == 1, F.col("n") >= max(edge, 1)).otherwise(F.col("n") >= max(SHARE * total, LEAST))).select("key", "value").toArrow()
+    hot_keys, _, hot_values = _sums(hot["key"].to_numpy().view(np.uint64), hot["value"].to_numpy())
+    at = _find(hot_keys, np.array([xxhash.xxh64_intdigest(w, 42) for w in number], np.uint64))
+    backs = np.where(at >= 0, hot_values[at], 0.0) if len(hot_keys) else np.zeros(len(number))
+    _freed(spark)
+    filter_ = _filter(values.select("key"), min(FILTER, 1 << max(10, (total // 16).bit_length())))
+    root = np.log10(np.maximum(counts - discount, 1e-9) / max(total, 1))
+    model = spark.sparkContext.broadcast((root, np.log10(counts + 1.0), backs, filter_, hot_keys, hot_values))
     list_kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-    fields = [("own_tokens", "bigint", pa.int64()), ("own_known", "bigint", pa.int64()), ("own_logs", "double", pa.float64()), ("own_rest", "array<struct<word:binary,k:bigint>>", list_kind), ("own_score", "double", pa.float64())]
+    fields = [("own_tokens", "bigint", pa.int64()), ("own_known", "bigint", pa.int64()), ("own_logs", "double", pa.float64()), ("own_rest", "array<struct<word:binary,k:bigint>>", list_kind), ("own_score", "double", pa.float64()), ("own_runs", "binary", pa.binary())]
 
     def make():
+        hashes = _Hashes()
+
         def run(texts: list[bytes]) -> list:
-            tree, logs = model.value
+            root, logs, backs, filter_, hot_keys, hot_values = model.value
             rows, word, firsts = _numbers(texts, number_.value)
             token = np.ones(len(word), bool)
             token[firsts] = False  # the start mark is a context, no token
@@ -185,7 +406,24 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
                 out = np.flatnonzero(word[first : first + len(row)] < 0)
                 rest.append([{"word": w, "k": k} for w, k in Counter(row[i] for i in out).items()])
             base = np.where(token_known, logs[word], 0.0)
-            return [by_text(1), by_text(token_known), by_text(base), rest, by_text(tree.token_logs(word) if total else np.zeros(len(word)))]
+            scores = np.where(token & (word >= 0), root[word], 0.0) if total else np.zeros(len(word))
+            scores += np.where(word >= 0, backs[word], 0.0)
+            key, place = _keys(rows, hashes)
+            asked = []
+            for order in range(1, DEPTH + 2):
+                if order > 1:
+                    key = np.r_[np.uint64(0), _join_keys(key[:-1], key[1:])]
+                at = np.flatnonzero(place >= order - 1 if order > 1 else word < 0)
+                at = at[_passes(filter_, key[at])]
+                known = _find(hot_keys, key[at])
+                scores[at[known >= 0]] += hot_values[known[known >= 0]]
+                asked.append((at[known < 0], key[at[known < 0]]))
+            at, key = (np.concatenate(x) for x in zip(*asked))
+            order = np.argsort(at, kind="stable")
+            cuts = np.searchsorted(at[order], np.r_[firsts, len(word)])
+            key = key[order]
+            blobs = [key[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            return [by_text(1), by_text(token_known), by_text(base), rest, np.add.reduceat(scores, firsts), blobs]
 
         return run
 
@@ -193,17 +431,17 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
     rows = docs.select(F.monotonically_increasing_id().alias("row"), *named, F.col(text).alias("t"))
     rows = cut_lineage(map_texts(rows, "t", fields, make, keep_text=False, most=STEP), "scored")
     rest = rows.select("row", F.explode("own_rest").alias("x")).select("row", "x.word", "x.k")
-    edge = int(head[-1].n) if len(head) == HEAD_WORDS else 0  # all shorter words above it are in the head
     rare = words.filter((F.length("word") > HEAD_BYTES) | (F.col("n") <= edge))
-    part = F.log10((F.col("n") - tree.discount) / max(total, 1))
+    part = F.log10((F.col("n") - discount) / max(total, 1))
     sums = rest.join(rare, "word").groupBy("row").agg(F.sum("k").alias("known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"), F.sum(F.col("k") * part).alias("part"))
-    size, unknown = float(np.log10(total + kinds + 1)), float(np.log10(tree.unknown))
+    size, unknown = float(np.log10(total + kinds + 1)), float(np.log10(unknown))
     n_known = F.col("own_known") + F.coalesce("known", F.lit(0))
-    return rows.join(sums, "row", "left").select(
+    tree = _looked_up(rows.select("row", "own_runs"), values, parts)
+    return rows.drop("own_rest", "own_runs").join(sums, "row", "left").join(tree, "row", "left").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
         F.col("own_tokens").alias("n_tokens"),
         n_known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("own_logs") + F.coalesce("logs", F.lit(0.0)) - F.col("own_tokens") * size).alias("base_score"),
-        (F.col("own_score") + F.coalesce("part", F.lit(0.0)) + (F.col("own_tokens") - n_known) * unknown).alias("score"),
+        (F.col("own_score") + F.coalesce("part", F.lit(0.0)) + F.coalesce("tree", F.lit(0.0)) + (F.col("own_tokens") - n_known) * unknown).alias("score"),
     )

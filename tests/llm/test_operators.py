@@ -404,6 +404,40 @@ def test_tree_uses_contexts(spark, monkeypatch):
     assert s[1] - s[2] > s[3] - s[4] + 0.5  # w15 follows w5 in the training texts, w30 does not
 
 
+def test_tree_counts_runs_below_the_share(spark, monkeypatch):
+    """Rare phrases are scored by their contexts whatever SHARE is, and as a tree of all runs in memory scores them."""
+    monkeypatch.setattr(suffix_tree, "DIVERGENCE", 2.0)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)))) for _ in range(200)] + ["rare fox jumps over it " + str(rng.choice(words)) for _ in range(8)]
+    asked = [*texts[::7], "a rare fox jumps over it", "fox jumps never", "rare w1 w2 it", "", None]
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    lists = [["\t", *t.split(), "\n"] for t in texts]
+    ones = Counter(w for t in lists for w in t)
+    often = ["\t", "\n", *sorted(w for w, n in ones.items() if n >= 2 and w not in "\t\n")]
+    names = [*often, *(w for w, n in ones.items() if n == 1)]
+    codes, levels, sizes = {(w,): i for i, w in enumerate(often)}, [], []
+    for k in range(2, 5):
+        runs = Counter(tuple(t[i : i + k]) for t in lists for i in range(len(t) - k + 1))
+        of = {(codes[r[:-1]] << 17) | often.index(r[-1]): (r, n) for r, n in runs.items() if n >= 2}
+        levels.append(np.array(sorted(of), np.int64))
+        sizes.append(np.array([of[c][1] for c in levels[-1]], np.int64))
+        codes = {of[c][0]: i for i, c in enumerate(levels[-1])}
+    total = sum(ones.values()) - len(lists)
+    counts = np.array([ones[w] for w in names])
+    tree = suffix_tree.Tree(counts, len(often), total, len(names) - 1, sum(n == 1 for n in ones.values()), levels, sizes)
+    want = []
+    for t in asked:
+        at = np.array([0, *[names.index(w) if w in names else -1 for w in (t or "").split()], 1])
+        want.append(tree.token_logs(at)[1:].sum() + (at < 0).sum() * math.log10(tree.unknown))
+    for share, head_words in ((2e-5, 100_000), (0.05, 10)):
+        monkeypatch.setattr(suffix_tree, "SHARE", share)
+        monkeypatch.setattr(suffix_tree, "HEAD_WORDS", head_words)
+        found = {r.doc_id: r.score for r in suffix_tree.scored(docs, train).collect()}
+        assert [found[i] for i in range(len(asked))] == pytest.approx(want, rel=1e-9)
+
+
 def test_tree_sums_to_one():
     """A tree of made-up counts: over all known words, the end and the unknown word, after a context."""
     counts = np.array([10, 10, 40, 30, 20, 5, 1])  # start, end, then words 2 to 6
