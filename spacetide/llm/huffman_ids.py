@@ -8,6 +8,8 @@ in ascending order of their id over the parts.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -48,6 +50,34 @@ def _cache(path: str) -> PieceCache:
     return PieceCache(lambda piece: [t.id for t in merges.tokenize(piece.decode("latin-1").translate(_BYTE_SIGNS))], PIECES)
 
 
+@lru_cache(2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[bytes, bytes]]:
+    """What finds the file's added tokens in a text, the longest first, and their ids as bytes. They are found in the text as it is."""
+    with open(path, "rb") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
+    ids = {t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in tokens}
+    pattern = b"|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True))
+    return (re.compile(b"(" + pattern + b")") if ids else None), ids
+
+
+def text_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of each text (little-endian unsigned 32-bit) as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them: a text is split at
+    the added tokens, which have ids of their own, and what stands between is cut into pieces."""
+    pattern, added = _added(path)
+    holders = {i: pattern.split(t) for i, t in enumerate(texts) if pattern and pattern.search(t)}
+    if not holders:
+        return coded_pieces(texts, _cache(path))
+    spans, places = [], []
+    for i, text in enumerate(texts):
+        parts = holders.get(i, [text])
+        spans += parts[::2]
+        places.append(parts[1::2])
+    coded = iter(coded_pieces(spans, _cache(path)))
+    return [b"".join([next(coded), *chain.from_iterable((added[t], next(coded)) for t in marks)]) for marks in places]
+
+
 def token_ids(docs: DataFrame, path: str, end: int, text: str = "text", column: str = "ids") -> DataFrame:
     """``docs`` without its text but with the ids and the end id (little-endian unsigned 32-bit) in ``column``.
 
@@ -57,7 +87,7 @@ def token_ids(docs: DataFrame, path: str, end: int, text: str = "text", column:
 
     def make():
         def run(texts: list[bytes]) -> list:
-            return [[ids + stop for ids in coded_pieces(texts, _cache(path))]]
+            return [[ids + stop for ids in text_ids(texts, path)]]
 
         return run
 

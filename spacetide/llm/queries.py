@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, huffman_ids, quality, secret_scan, shards, simhash, suffix_tree, toxicity, urls
+from . import byte_bpe, decontaminate, huffman_ids, packing, prefix_trie, quality, secret_scan, shards, simhash, suffix_tree, toxicity, urls, whitening
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,59 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = huffman_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_OP11_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT DISTINCT c, c - c % 5 AS b,
+    xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda a, y: xor(t[xor(a % 256, y) + 1], a >> 8), 4294967295::BIGINT)) % 9 AS h
+  FROM own, crc),
+lent AS (SELECT v.c, v.h, count(o.c) AS n FROM convs v LEFT JOIN own o ON o.c = v.b AND o.p <= v.h GROUP BY ALL),
+rebuilt AS (
+  SELECT v.c, o.p AS d, o.r, o.x FROM convs v JOIN own o ON o.c = v.b AND o.p <= v.h
+  UNION ALL
+  SELECT l.c, l.n + o.p - l.h, o.r, o.x FROM lent l JOIN own o ON o.c = l.c AND o.p > l.h),
+prefixes AS (
+  SELECT c, d, list({'r': r, 'x': x}) OVER (PARTITION BY c ORDER BY d) AS k, strlen(x) AS z FROM rebuilt
+  UNION ALL
+  SELECT c, 0, [], 0 FROM convs),
+turns AS (SELECT c, max(d) AS n FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT k, d, min(c) AS conv, count(*) AS n_convs, any_value(z) AS z, list_sort(list(c) FILTER (d = n)) AS ends
+  FROM prefixes JOIN turns USING (c) GROUP BY k, d),
+members AS (SELECT p.c, n.* FROM nodes n JOIN prefixes p USING (k)),
+parents AS (SELECT n.conv, n.d, m.conv AS parent FROM nodes n JOIN members m ON m.c = n.conv AND m.d = n.d - 1),
+children AS (SELECT parent AS conv, d - 1 AS d, count(*) AS n FROM parents GROUP BY ALL),
+below AS (SELECT DISTINCT a.conv, a.d, m.conv AS low_conv, m.d AS low_d, (m.n_convs - 1) * m.z AS saved FROM members a JOIN members m ON m.c = a.c AND m.d >= a.d),
+sums AS (
+  SELECT b.conv, b.d, count(*) FILTER (x.n IS NULL) AS n_leaves, sum(b.saved) AS saved
+  FROM below b LEFT JOIN children x ON x.conv = b.low_conv AND x.d = b.low_d GROUP BY ALL)
+SELECT n.conv::BIGINT AS conv_id, n.d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, coalesce(x.n, 0)::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(array_to_string(ends, ','), '')) AS ends_sha256
+FROM nodes n JOIN sums USING (conv, d) LEFT JOIN parents USING (conv, d) LEFT JOIN children x ON x.conv = n.conv AND x.d = n.d"""
+
+
+@query("op11_conversation_prefix_trie", _OP11_SQL)
+def _(spark, sf_dir):
+    crc = lambda c: F.crc32(c.cast("string").cast("binary"))
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 5, head=lambda c: crc(c) % 9, most=8)
+
+
+@query("op12_embedding_whitening")
+def _(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip(F.col("whitened"), F.col("explained"))).alias("i", "c")
+    rows = found.select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "identity_error", each)
+    return rows.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+@query("op13_packing")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), checksums=True)
