@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour join in a low-dimensional feature space.
+"""Exact k-nearest-neighbour join in a feature space; up to TREE_AXES columns by the tree below, beyond by ``vectors``.
 
 Equal coordinates are merged first (a population can hold millions of identical
 points), the rest is cut into leaves of a split tree. The tree comes from a
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite
 from ..session import cut_lineage
+from .vectors import pivot_join
 
+TREE_AXES = 6
 LEAF_POINTS = 4096
 SAMPLE_PER_LEAF = 16
 MAX_LEAVES = 1 << 17
@@ -128,13 +130,15 @@ def _merged_points(df: DataFrame, cols: Sequence[str], id_col: str, keep: int) -
     return second.where(F.col("_r") <= keep).groupBy(*cols).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
 
 
-def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str], *, id_col: str = "id", exclude_self: bool = True) -> DataFrame:
+def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str] | str, *, id_col: str = "id", exclude_self: bool = True) -> DataFrame:
     """k nearest targets of every query: query_id, neighbor_id, distance, rank (1-based).
 
-    Distances are rounded to 9 digits; ties go to the smaller id. Starts three
+    ``cols``: the coordinates' columns, or one array column of them. Distances are rounded to 9 digits; ties go to the smaller id. Starts three
     bounded jobs: a count, a sample for the tree, and the step that is cut.
     """
     spark = targets.sparkSession
+    if isinstance(cols, str) or len(cols) > TREE_AXES:
+        return pivot_join(targets, queries, k, cols, id_col=id_col, exclude_self=exclude_self)
     cols = list(cols)
     extra = k + 1 if exclude_self else k
     id_type = dict(targets.dtypes)[id_col]

@@ -210,14 +210,12 @@ def nearest_to_targets(df: DataFrame, value: str, targets: Sequence[float], key:
     return rows.groupBy("t.target_order").agg(F.min_by(key, F.struct(d, F.col(key))).alias(key))
 
 
-def class_examples(df: DataFrame, label: str, axes: Sequence[str], key: str = "fire_id") -> DataFrame:
-    """Per class the row nearest to the class's median point."""
-    out = df
-    for c in axes:
-        med = quantile_table(df, c, [0.5], [label]).withColumnRenamed("q0", f"_m_{c}")
-        out = out.join(med, label)
-    sq = sum((F.pow(F.col(c) - F.col(f"_m_{c}"), F.lit(2.0)) for c in axes), F.lit(0.0))
-    return out.groupBy(label).agg(F.min_by(key, F.struct(F.round(F.sqrt(sq), 9), F.col(key))).alias(key))
+def class_examples(df: DataFrame, label: str, vector: str, key: str = "fire_id") -> DataFrame:
+    """Per class the row nearest to the class's median point; the medians of all coordinates come from one pass."""
+    long = df.select(label, F.posexplode(vector).alias("_i", "_v"))
+    mid = quantile_table(long, "_v", [0.5], [label, "_i"]).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q0"))), lambda s: s["q0"]).alias("_m"))
+    sq = F.aggregate(F.zip_with(vector, "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    return df.join(mid, label).groupBy(label).agg(F.min_by(key, F.struct(F.round(F.sqrt(sq), 9), F.col(key))).alias(key))
 
 
 def story_event(df: DataFrame, condition: Column, score: str, key: str = "fire_id", ascending: bool = False) -> DataFrame:

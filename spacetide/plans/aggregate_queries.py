@@ -25,7 +25,7 @@ from .inputs import (
     table,
     traits,
 )
-from .join_queries import feature_points
+from .join_queries import POINTS, feature_points
 from .registry import query
 
 
@@ -337,29 +337,27 @@ def _(spark, d):
     return P.extreme_pairs_in_bins(traits(spark, d), "total_area_km2", "duration_hours")
 
 
-_POINTS = "pt AS (SELECT vec_id AS fire_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)"
-
-
 @query(
     "class_shape_examples",
     "6.05",
-    f"""WITH {_POINTS}, m AS (SELECT label, quantile_cont(a, 0.5) ma, quantile_cont(b, 0.5) mb, quantile_cont(c, 0.5) mc FROM pt GROUP BY 1)
-    SELECT label, arg_min(fire_id, (round(sqrt(pow(a - ma, 2) + pow(b - mb, 2) + pow(c - mc, 2)), 9), fire_id)) AS fire_id FROM pt JOIN m USING (label) GROUP BY 1""",
+    f"""WITH {POINTS}, e AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pt), m AS (SELECT label, i, quantile_cont(x, 0.5) AS m FROM e GROUP BY ALL),
+    c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1) SELECT label, arg_min(id, (round(list_distance(v, c), 9), id)) AS fire_id FROM pt JOIN c USING (label) GROUP BY 1""",
 )
 def _(spark, d):
-    return P.class_examples(feature_points(spark, d).withColumnRenamed("id", "fire_id"), "label", ["a", "b", "c"])
+    return P.class_examples(feature_points(spark, d).withColumnRenamed("id", "fire_id"), "label", "v")
 
 
 @query(
     "transect_examples",
     "6.05",
-    f"""WITH {_POINTS}, q AS (SELECT unnest(generate_series(0, 6)) AS i), t AS (SELECT CAST(i AS INTEGER) AS target_order, (SELECT quantile_cont(a, [0.04, 0.19333333333333333, 0.3466666666666667, 0.5, 0.6533333333333333, 0.8066666666666666, 0.96]) FROM pt)[i + 1] AS target FROM q)
-    SELECT target_order, arg_min(fire_id, (round(abs(a - target), 9), fire_id)) AS fire_id FROM pt, t GROUP BY 1""",
+    f"""WITH {POINTS}, s AS (SELECT id, list_sum(v) AS a FROM pt), q AS (SELECT unnest(generate_series(0, 6)) AS i), t AS (SELECT CAST(i AS INTEGER) AS target_order, (SELECT quantile_cont(a, [0.04, 0.19333333333333333, 0.3466666666666667, 0.5, 0.6533333333333333, 0.8066666666666666, 0.96]) FROM s)[i + 1] AS target FROM q)
+    SELECT target_order, arg_min(id, (round(abs(a - target), 9), id)) AS fire_id FROM s, t GROUP BY 1""",
 )
 def _(spark, d):
-    p = feature_points(spark, d).withColumnRenamed("id", "fire_id")
-    targets = quantiles(p, "a", [0.04 + i * 0.92 / 6 for i in range(7)])
-    return P.nearest_to_targets(p, "a", targets)
+    # along the diagonal of the space: the sum of all coordinates
+    p = feature_points(spark, d).select(F.col("id").alias("fire_id"), F.aggregate("v", F.lit(0.0), lambda t, x: t + x).alias("along"))
+    targets = quantiles(p, "along", [0.04 + i * 0.92 / 6 for i in range(7)])
+    return P.nearest_to_targets(p, "along", targets)
 
 
 @query(

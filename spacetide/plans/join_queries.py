@@ -259,23 +259,30 @@ def _(spark, d):
     return rounded(J.align_join(a, b, how="exact"), "left_value", "right_value", digits=5)
 
 
-_POINTS = "pt AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)"
+#: All dimensions of the embeddings, and the same in SQL: ``v`` is the vector, the distance has nine digits.
+AXES = [f"e{i:02d}" for i in range(64)]
+POINTS = "pt AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 
 def feature_points(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("abc")])
+    """id, label and the whole vector ``v``."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def by_axis(points):
+    """The vector's coordinates as columns AXES, for operators that work on columns."""
+    return points.select(*[c for c in points.columns if c != "v"], *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(AXES)])
 
 
 @query(
     "feature_space_neighbors",
     "3.12",
-    f"""WITH {_POINTS}, o AS (SELECT s.id AS query_id, t.id AS neighbor_id, round(sqrt(pow(s.a - t.a, 2) + pow(s.b - t.b, 2) + pow(s.c - t.c, 2)), 9) AS dd FROM pt s JOIN pt t ON s.id <> t.id),
+    f"""WITH {POINTS}, o AS (SELECT s.id AS query_id, t.id AS neighbor_id, round(list_distance(s.v, t.v), 9) AS dd FROM pt s JOIN pt t ON s.id <> t.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dd, neighbor_id) AS rank FROM o) SELECT query_id, neighbor_id, dd AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
 def _(spark, d):
     p = feature_points(spark, d)
-    return neighbors.knn_join(p, p, 5, ["a", "b", "c"])
+    return neighbors.knn_join(p, p, 5, "v")
 
 
 @query(

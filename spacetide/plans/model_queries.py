@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import models as M
 from ..session import cut_lineage
 from .inputs import RINGS, TRAITS, rounded, slices, table, traits
-from .join_queries import feature_points
+from .join_queries import AXES, POINTS, by_axis, feature_points
 from .registry import query
 from .trajectory_queries import features, trait_inputs
 
-AXES = ["a", "b", "c"]
-VEC = [f"e{i:02d}" for i in range(12)]
+NEAR, FAR = AXES[:32], AXES[32:]
 
 
 def _space(spark, d):
@@ -20,8 +19,7 @@ def _space(spark, d):
 
 
 def _vectors(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").cast("string").alias("fire_id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(VEC)])
+    return by_axis(feature_points(spark, d)).withColumn("id", F.col("id").cast("string")).withColumnRenamed("id", "fire_id")
 
 
 @query(
@@ -49,7 +47,7 @@ def _(spark, d):
 @query("mean_centred_components", "11.14")
 def _(spark, d):
     v = _vectors(spark, d)
-    return rounded(M.pca(v, VEC, "mean").scores(v, 2, "pc").select("fire_id", "pc1", "pc2"), "pc1", "pc2")
+    return rounded(M.pca(v, AXES, "mean").scores(v, 2, "pc").select("fire_id", "pc1", "pc2"), "pc1", "pc2")
 
 
 @query("component_top_loadings", "6.03 11.15")
@@ -151,54 +149,104 @@ def _(spark, d):
     return f.limit(1).select(F.lit("entropy and timing").alias("model"), F.round(F.lit(r2).cast("double"), 6).alias("r2"))
 
 
-@query("farthest_point_representatives", "11.23")
+#: Clipped and standardised vectors, the distinct ones at four digits and the farthest-point choice: a row a round, ``ch`` the points chosen so far.
+_REPS = f"""{POINTS}, e AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pt),
+    q AS (SELECT i, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM e GROUP BY 1), c AS (SELECT id, i, least(greatest(x, lo), hi) AS x FROM e JOIN q USING (i)),
+    s AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1 END AS sd FROM c GROUP BY 1), z AS (SELECT id, list((x - m) / sd ORDER BY i) AS v FROM c JOIN s USING (i) GROUP BY 1),
+    ds AS (SELECT list_transform(v, lambda x: round(x, 4)) AS v, min(id) AS id FROM z GROUP BY 1), md AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, quantile_cont(x, 0.5) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM ds) GROUP BY 1)),
+    sq AS (SELECT id, v, round(list_sum(list_transform(list_zip(v, m), lambda p: pow(p[1] - p[2], 2))), 9) AS d FROM ds, md),
+    r AS (SELECT 1 AS n, list_value((SELECT arg_max(v, (-d, id)) FROM sq)) AS ch, list_value((SELECT max((-d, id)) FROM sq)[2]) AS ids
+      UNION ALL SELECT n + 1, list_append(ch, arg_max(v, (t, id))), list_append(ids, arg_max(id, (t, id))) FROM (SELECT n, ch, ids, ds.id, ds.v, list_min(list_transform(ch, lambda o: round(pow(list_distance(o, ds.v), 2), 9))) AS t FROM r, ds WHERE n < 36) GROUP BY n, ch, ids),
+    ch AS (SELECT unnest(ch) AS v, unnest(ids) AS id, generate_subscripts(ids, 1) AS n FROM r WHERE n = (SELECT max(n) FROM r))"""
+
+
+@query(
+    "farthest_point_representatives",
+    "11.23",
+    f"""WITH RECURSIVE {_REPS}, k AS (SELECT arg_min(ch.n, (round(list_distance(z.v, ch.v), 9), ch.n)) AS n FROM z, ch GROUP BY z.id), cn AS (SELECT n, count(*) AS c FROM k GROUP BY 1),
+    nb AS (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.v, b.v), 9), b.id) AS rk FROM z a JOIN z b ON a.id <> b.id WHERE a.id IN (SELECT id FROM ch))
+    SELECT 'M' || lpad(CAST(n AS VARCHAR), 2, '0') AS representative_id, id AS fire_id, c AS represented_fire_count, (SELECT string_agg(CAST(other AS VARCHAR), ',' ORDER BY rk) FROM nb WHERE nb.id = ch.id AND rk <= 6) AS neighbor_ids, round(list_sum(v), 6) AS sum_of_axes FROM ch LEFT JOIN cn USING (n)""",
+)
 def _(spark, d):
-    p = feature_points(spark, d).withColumnRenamed("id", "fire_id")
-    return rounded(M.representatives(p, AXES, k=6, neighbors=4), *AXES)
+    p = by_axis(feature_points(spark, d)).withColumnRenamed("id", "fire_id")
+    found = M.representatives(p, AXES, k=36, neighbors=6)
+    along = F.aggregate(F.array(*AXES), F.lit(0.0), lambda t, v: t + v)
+    return found.select("representative_id", "fire_id", "represented_fire_count", "neighbor_ids", F.round(along, 6).alias("sum_of_axes"))
 
 
-@query("matched_pairs", "11.24")
+_SPACE = f"""{POINTS}, e AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pt), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM e GROUP BY 1),
+    z AS (SELECT CAST(id AS VARCHAR) AS id, list((x - m) / sd ORDER BY i) FILTER (i <= 32) AS n, list((x - m) / sd ORDER BY i) FILTER (i > 32) AS f FROM e JOIN s USING (i) GROUP BY 1)"""
+
+
+@query(
+    "matched_pairs",
+    "11.24",
+    f"""WITH {_SPACE}, p AS (SELECT a.id AS x, b.id AS y, round(list_distance(a.n, b.n), 9) AS dn, round(list_distance(a.f, b.f), 9) AS df FROM z a JOIN z b ON a.id <> b.id), k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY dn, y) AS rk FROM p),
+    b AS (SELECT x AS fire_id_a, arg_max(y, (df, -rk)) AS fire_id_b, arg_max(dn, (df, -rk)) AS near_distance, max(df) AS far_distance FROM k WHERE rk <= 29 GROUP BY 1)
+    SELECT fire_id_a, fire_id_b, round(near_distance, 6) AS near_distance, round(far_distance, 6) AS far_distance FROM b ORDER BY b.far_distance DESC, b.near_distance DESC, fire_id_a LIMIT 8""",
+)
 def _(spark, d):
-    return rounded(M.matched_pairs(_vectors(spark, d), VEC[:3], VEC[3:6], k=29, n_pairs=8), "near_distance", "far_distance")
+    return rounded(M.matched_pairs(_vectors(spark, d), NEAR, FAR, k=29, n_pairs=8), "near_distance", "far_distance")
 
 
-@query("matched_population_effect", "11.24")
+def _effect_sql(label: str, near: str, far: str) -> str:
+    return f"""SELECT '{label}' AS matching_basis, (SELECT count(*) FROM w WHERE id <> o) AS n_pairs, round(dn, 6) AS near_distance_median, round(pd, 6) AS other_distance_median, round(rd, 6) AS random_distance_median, round((pd - rd) / sd, 6) AS standardized_effect
+      FROM (SELECT quantile_cont(d, 0.5) AS dn, quantile_cont(o, 0.5) AS pd FROM (SELECT arg_min(round(list_distance(a.{near}, b.{near}), 9), (round(list_distance(a.{near}, b.{near}), 9), b.id)) AS d,
+          arg_min(round(list_distance(a.{far}, b.{far}), 9), (round(list_distance(a.{near}, b.{near}), 9), b.id)) AS o FROM z a JOIN z b ON a.id <> b.id GROUP BY a.id)),
+        (SELECT quantile_cont(d, 0.5) AS rd, stddev_pop(d) AS sd FROM (SELECT round(list_distance(a.{far}, b.{far}), 9) AS d FROM w JOIN z a ON a.id = w.id JOIN z b ON b.id = w.o WHERE w.id <> w.o))"""
+
+
+@query(
+    "matched_population_effect",
+    "11.24",
+    f"""WITH {_SPACE}, h AS (SELECT id, row_number() OVER (ORDER BY substr(md5(id), 1, 13)) AS r FROM z), w AS (SELECT a.id, b.id AS o FROM h a JOIN h b ON b.r = a.r % (SELECT count(*) FROM h) + 1)
+    {_effect_sql("similar morphology", "n", "f")} UNION ALL {_effect_sql("similar climate", "f", "n")}""",
+)
 def _(spark, d):
     v = _vectors(spark, d)
-    a = M.matched_population(v, VEC[:3], VEC[3:6], "similar morphology")
-    return a.unionByName(M.matched_population(v, VEC[3:6], VEC[:3], "similar climate"))
+    a = M.matched_population(v, NEAR, FAR, "similar morphology")
+    out = a.unionByName(M.matched_population(v, FAR, NEAR, "similar climate"))
+    return rounded(out, "near_distance_median", "other_distance_median", "random_distance_median", "standardized_effect")
 
 
 @query(
     "label_purity_of_neighbors",
     "11.25",
-    """WITH pt AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
-    o AS (SELECT s.id, s.label, t.label AS tl, row_number() OVER (PARTITION BY s.id ORDER BY round(sqrt(pow(s.a - t.a, 2) + pow(s.b - t.b, 2) + pow(s.c - t.c, 2)), 9), t.id) AS rk FROM pt s JOIN pt t ON s.id <> t.id), n AS (SELECT * FROM o WHERE rk <= 15),
+    f"""WITH {POINTS}, o AS (SELECT s.id, s.label, t.label AS tl, row_number() OVER (PARTITION BY s.id ORDER BY round(list_distance(s.v, t.v), 9), t.id) AS rk FROM pt s JOIN pt t ON s.id <> t.id), n AS (SELECT * FROM o WHERE rk <= 15),
     pu AS (SELECT id, avg(CAST(label = tl AS INTEGER)) AS p FROM n GROUP BY 1), cn AS (SELECT id, tl, count(*) AS c FROM n GROUP BY ALL), ls AS (SELECT id, list(c ORDER BY c DESC) AS c FROM cn GROUP BY 1), mg AS (SELECT avg(CASE WHEN len(c) > 1 THEN (c[1] - c[2]) / 15.0 ELSE 1 END) AS m FROM ls),
     ch AS (SELECT sum(c * c) / pow(sum(c), 2) AS h FROM (SELECT count(*) AS c FROM pt GROUP BY label)) SELECT round((SELECT avg(p) FROM pu), 6) AS mean_purity, round(m, 6) AS mean_margin, round(h, 6) AS chance FROM mg, ch""",
 )
 def _(spark, d):
-    return rounded(M.category_overlap(feature_points(spark, d), AXES, "label", 15), "mean_purity", "mean_margin", "chance")
+    return rounded(M.category_overlap(feature_points(spark, d), "v", "label", 15), "mean_purity", "mean_margin", "chance")
 
 
 @query(
     "medoid_coverage",
     "11.25",
-    """WITH pt AS (SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), m AS (SELECT * FROM (VALUES (1, 0.0, 0.0, 0.0), (2, 0.2, 0.0, 0.1), (3, -0.2, 0.1, 0.0), (4, 0.0, -0.2, -0.1)) v(i, x, y, z)), k AS (SELECT unnest([2, 4]) AS n),
-    d AS (SELECT n, a, b, c, round(sqrt(min(pow(a - x, 2) + pow(b - y, 2) + pow(c - z, 2))), 9) AS d FROM pt, m, k WHERE i <= n GROUP BY ALL)
-    SELECT n AS n_medoids, round(quantile_cont(d, 0.5), 6) AS median_nearest_distance, round(quantile_cont(d, 0.9), 6) AS p90_nearest_distance, round(avg(CAST(d <= 1 AS INTEGER)), 6) AS mass_within_1 FROM d GROUP BY 1""",
+    f"""WITH RECURSIVE {_REPS}, k AS (SELECT unnest([4, 8, 12, 16, 24, 30, 36]) AS k), d AS (SELECT k.k, z.id, round(min(list_distance(z.v, ch.v)), 9) AS d FROM z, ch, k WHERE ch.n <= k.k GROUP BY ALL)
+    SELECT CAST(k AS INTEGER) AS n_medoids, round(quantile_cont(d, 0.5), 6) AS median_nearest_distance, round(quantile_cont(d, 0.9), 6) AS p90_nearest_distance, round(avg(CAST(d <= 1 AS INTEGER)), 6) AS mass_within_1 FROM d GROUP BY 1""",
 )
 def _(spark, d):
-    centres = [(0.0, 0.0, 0.0), (0.2, 0.0, 0.1), (-0.2, 0.1, 0.0), (0.0, -0.2, -0.1)]
-    out = M.medoid_coverage(feature_points(spark, d), centres, AXES, [2, 4])
+    p = by_axis(feature_points(spark, d)).withColumnRenamed("id", "fire_id")
+    found = M.representatives(p, AXES, k=36, neighbors=1).orderBy("representative_id").collect()  # 36 rows
+    z = M.representative_space(p, AXES)
+    out = M.medoid_coverage(z, [[r[a] for a in AXES] for r in found], "v", [4, 8, 12, 16, 24, 30, 36])
     return rounded(out, "median_nearest_distance", "p90_nearest_distance", "mass_within_1")
 
 
-@query("support_distances", "3.12")
+def _support_sql(leg: str, side: str, other: str) -> str:
+    return f"SELECT '{leg}' AS leg, round(quantile_cont(d, 0.5), 6) AS median_distance FROM (SELECT min(round(list_distance(a.v, b.v), 9)) AS d FROM pt a JOIN pt b ON a.id <> b.id AND a.id % 2 = {side} AND b.id % 2 = {other} GROUP BY a.id)"
+
+
+@query(
+    "support_distances",
+    "3.12",
+    f"WITH {POINTS} " + " UNION ALL ".join(_support_sql(*x) for x in (("observed_nn", 0, 0), ("synthetic_nn", 1, 1), ("observed_to_synthetic", 0, 1), ("synthetic_to_observed", 1, 0))),
+)
 def _(spark, d):
     p = feature_points(spark, d)
     half = F.col("id") % 2
-    return rounded(M.support_distances(p.where(half == 0), p.where(half == 1), AXES), "median_distance")
+    return rounded(M.support_distances(p.where(half == 0), p.where(half == 1), "v"), "median_distance")
 
 
 @query("trait_clusters", "11.26")
