@@ -24,10 +24,12 @@ from tokenizers import Tokenizer
 
 from ..session import drop_path, scratch_path
 from .byte_bpe import STEP, PieceCache, coded_pieces
-from .text import fresh, map_texts, steps
+from .text import fresh, map_texts, raw_texts, steps
 
 #: Longest code in bits; ids between two checkpoints; ids after which a block is closed.
 LIMIT, CHECK, BLOCK = 20, 64, 1 << 16
+#: Ids of a part.
+PART = 1 << 22
 #: Pieces whose ids a worker keeps.
 PIECES = 1_200_000
 
@@ -146,20 +148,30 @@ class Book:
         self.table = np.zeros(1 << LIMIT, np.uint32)  # id * 32 + length for every possible next LIMIT bits
         self.table[: int(spans.sum())] = np.repeat((order << 5 | self.lengths[order]).astype(np.uint32), spans)
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bit stream, padded to whole bytes, and the bit offset of every CHECK ids."""
+    def encode_all(self, rows: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
+        """Per row its bit stream, padded to whole bytes, and the bit offset of every CHECK ids; all rows are laid out at once."""
+        many = np.array([len(r) for r in rows], np.int64)
+        ids = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         size = self.lengths[ids]
         if len(ids) and not size.all():
             raise ValueError("an id has no code")
-        ends = np.cumsum(size)
-        starts = ends - size
-        total = int(ends[-1]) if len(ids) else 0
-        out = np.zeros(-(-total // 8) + 4)
+        ends, stops = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(many)]
+        first_bits = ends[stops]
+        edges = np.r_[0, np.cumsum(-(-np.diff(first_bits) // 8))]  # every row begins at a byte
+        at = ends[:-1] - np.repeat(first_bits[:-1], many)
+        starts = at + np.repeat(8 * edges[:-1], many)
+        out = np.zeros(int(edges[-1]) + 4)
         window = self.codes[ids] << (32 - (starts & 7) - size).astype(np.uint64)  # the code within the four bytes it may touch
         for k in range(4):
             part = (window >> np.uint64(24 - 8 * k)) & np.uint64(255)
             out += np.bincount((starts >> 3) + k, part, len(out))
-        return out[: -(-total // 8)].astype(np.uint8).tobytes(), starts[::CHECK].astype(np.uint32)
+        stream, at = out.astype(np.uint8).tobytes(), at.astype(np.uint32)
+        cuts, places = edges.tolist(), stops.tolist()
+        return [(stream[a:b], at[i:j:CHECK]) for a, b, i, j in zip(cuts, cuts[1:], places, places[1:])]
+
+    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Bit stream of one row, padded to whole bytes, and the bit offset of every CHECK ids."""
+        return self.encode_all([ids])[0]
 
     def decode(self, stream: bytes, checkpoints: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """All ids; ``counts``: how many follow each checkpoint."""
@@ -176,38 +188,66 @@ class Book:
         return out.T[np.arange(CHECK) < counts[:, None]]
 
 
-def count_ids(coded: DataFrame, ids: str = "ids") -> np.ndarray:
-    """Counts by id over all rows; combined in the tasks, and no more rows than the vocabulary has ids."""
+def _added_up(tables: DataFrame, column: str) -> np.ndarray:
+    """Sum of the tables (little-endian 64-bit counts by id) of all rows; no more rows are shuffled than a task's tables have ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(raw, "<u4"))
-                if len(own) > len(n):
-                    own, n = n, own
-                n[: len(own)] += own
+                n = _plus(n, np.frombuffer(raw, "<i8"))
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["id", "n"])
 
-    rows = coded.select(ids).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tables.select(column).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"]
     return out
 
 
-def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", parts: int | None = None) -> None:
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    out = a.astype(np.int64)
+    out[: len(b)] += b
+    return out
+
+
+def coded_and_counted(docs: DataFrame, path: str, end: int, doc_id: str, text: str, names: tuple[str, str]) -> DataFrame:
+    """``(doc_id, ids, counts)``: a row for each document, and one of counts by id for each task (its other columns are null)."""
+    stop = np.array([end], "<u4").tobytes()
+    chosen = docs.select(doc_id, text)
+    schema = T.StructType([chosen.schema[0], T.StructField(names[0], T.BinaryType()), T.StructField(names[1], T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, kind = np.zeros(0, np.int64), None
+        for batch in chain.from_iterable(steps(b, 1, STEP) for b in batches):
+            kind = batch.column(0).type
+            made = [ids + stop for ids in text_ids(raw_texts(batch.column(1)), path)]
+            n = _plus(n, np.bincount(np.frombuffer(b"".join(made), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.nulls(len(made), pa.binary())], names=schema.fieldNames())
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=schema.fieldNames())
+
+    return chosen.mapInArrow(run, schema)
+
+
+def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids", parts: int | None = None, counts: np.ndarray | None = None) -> None:
     """Write ``(doc_id, ids)`` rows to the folder ``path``; doc_id must be a number.
 
     Rows with a null id come first; rows of equal ids follow each other in order of their ids' bytes. Bounds between parts are
-    quantiles of the doc_ids, and only coded streams are shuffled. ``coded`` is read twice, so it should be a stored table.
+    quantiles of the doc_ids, and only coded streams are shuffled. ``coded`` is read more than once, so it should be a stored table.
+    ``counts``: how often each id occurs, counted here if not known. ``parts``: files, by default one for each PART ids.
     """
     spark = coded.sparkSession
-    lengths = code_lengths(count_ids(coded, ids))
+    if counts is None:
+        counted = lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")).astype("<i8").tobytes()], pa.binary())], names=["counts"]) for b in batches if b.num_rows)
+        counts = _added_up(coded.select(ids).mapInArrow(counted, "counts binary"), "counts")
+    lengths = code_lengths(counts)
     known = spark.sparkContext.broadcast(lengths)
     book = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths) if n], "id int, length int")
     book.coalesce(1).write.parquet(f"{path}/codes")
-    parts = parts or max(1, coded.rdd.getNumPartitions())
+    parts = parts or int(counts.sum()) // PART + 1
     shares = [k / parts for k in range(1, parts)]
     cuts = coded.agg(F.percentile_approx(doc_id, shares, max(10_000, 20 * parts))).first()[0] if shares else None
     bounds = spark.sparkContext.broadcast(np.array(sorted(set(cuts or []))))
@@ -218,7 +258,7 @@ def write(coded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids",
         book = Book(known.value)
         for batch in chain.from_iterable(steps(b, 1) for b in batches):
             rows = [np.frombuffer(raw, "<u4") for raw in batch.column(1).to_pylist()]
-            made = [book.encode(r) for r in rows]
+            made = book.encode_all(rows)
             columns = [batch.column(0), pa.array([len(r) for r in rows], pa.int32()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())]
             parts_of = [0 if i is None else int(np.searchsorted(bounds.value, i)) for i in batch.column(0).to_pylist()]
             columns.append(pa.array(parts_of, pa.int32()))
@@ -295,9 +335,11 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     """Tokenize, write to ``path`` (a new folder in the shared folder by default) and read back."""
     spark = docs.sparkSession
     path, stage = path or scratch_path(spark, "token-ids"), scratch_path(spark, "ids")
-    (ids,) = fresh(docs.select(doc_id), "ids")
-    coded = token_ids(docs.select(doc_id, text), tokenizer, end, text, ids)
+    ids, counts = fresh(docs.select(doc_id), "ids", "counts")
+    coded = coded_and_counted(docs, tokenizer, end, doc_id, text, (ids, counts))
     coded.write.option("compression", "zstd").parquet(stage)
-    write(spark.read.schema(coded.schema).parquet(stage), path, doc_id, ids)
+    stored = spark.read.schema(coded.schema).parquet(stage)
+    known = _added_up(stored.where(F.col(counts).isNotNull()), counts)
+    write(stored.where(F.col(ids).isNotNull()).select(doc_id, ids), path, doc_id, ids, counts=known)
     drop_path(spark, stage)
     return read(spark, path)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .byte_bpe import STEP
 from .huffman_ids import text_ids
 from .text import map_texts
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0, do
     result = ["doc_id", "start", "length", name, F.col("n").alias("doc_tokens"), "sequence_id", "offset"]
     start = F.col("n") - F.col("source") + F.col("begin")
     placed = placed.withColumn("start", start)
-    cut = placed if not checksums else placed.filter("length < source")
+    cut = placed if not checksums else cut_lineage(placed.filter("length < source"), "cut")  # few: their size decides how rests find them
     own = F.expr("substring(rest, cast(4 * begin + 1 AS int), cast(4 * length AS int))")
     pieces = cut.join(stage.select("part", "row", "rest"), ["part", "row"]).withColumn(name, F.crc32(own) if checksums else own).select(*result)
     if checksums:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_path, scratch_path
+from ..session import cut_lineage, drop_path, scratch_path
 
 #: The fields (largest primes below 2^31) and how many ids a piece of an end list holds.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], np.uint64)
@@ -197,7 +197,7 @@ def _differ(turns: DataFrame, nodes: DataFrame, seed: int) -> bool:
     if nodes.filter("low <> high").limit(1).count():
         return True
     texts = turns.select("conv", "role", "text", *_hashes(F.col("role"), F.col("text"), seed))
-    several = nodes.filter("first_place <> last_place").select(F.col("low.h1").alias("h1"), F.col("low.h2").alias("h2")).distinct()
+    several = cut_lineage(nodes.filter("first_place <> last_place").select(F.col("low.h1").alias("h1"), F.col("low.h2").alias("h2")).distinct(), "several")  # its size decides how texts find it
     pair = F.struct("role", "text")
     held = texts.join(several, ["h1", "h2"], "left_semi").groupBy("h1", "h2", F.pmod("conv", F.lit(997)).alias("salt")).agg(F.min(pair).alias("low"), F.max(pair).alias("high"))
     return held.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").limit(1).count() > 0

@@ -483,7 +483,6 @@ def test_bpe_on_random_mixtures():
 def test_token_files(spark, case):
     path, docs = case
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     coded = [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for d, t in docs]
     found = rows(spark, "op10_token_id_output", path)
     assert multiset(found, "doc_id", "n_tokens", "ids_crc32") == Counter((d, len(b) // 4, zlib.crc32(b)) for d, b in coded)
