@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words, beside a word-count baseline.
 
 Tokens are the words of a text, A-Z lower-cased, and an end mark. All training texts are counted. Contexts of one to DEPTH
-words are found level by level: every run of words that occurs at least LEAST times is counted, at any size of the corpus. A context is
-retained if its next-word distribution diverges from that of the context without its oldest word, weighted by its count. Distributions
+words are found level by level: a run of words is a context if it occurs CONTEXT times or more, and what follows it counts if
+it follows LEAST times or more, both at any size of the corpus. A context is retained if its next-word distribution diverges from that of the context without its oldest word, weighted by its count. Distributions
 are smoothed towards that shorter context, which also covers the next words that were not counted. A token is scored in the
 state of the longest retained context before it.
 
@@ -13,7 +13,6 @@ would be hot keys of that join, are sent to the tasks.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -29,8 +28,10 @@ from .text import map_texts, raw_texts, steps
 
 #: Longest context in words, share of all tokens above which a run goes to the tasks, least divergence in nats, weight of the shorter context.
 DEPTH, SHARE, DIVERGENCE, PRIOR = 3, 2e-5, 10.0, 16.0
-#: Least count of a run.
-LEAST = 2
+#: Least count of a run in its context, and of a context.
+LEAST, CONTEXT = 2, 8
+#: Tokens for each bucket of the run tables, at least.
+BUCKET = 1 << 22
 #: Words of at most so many bytes, the most frequent so many, whose counts are sent to the tasks; all others are joined.
 HEAD_BYTES, HEAD_WORDS = 128, 100_000
 #: Entries a task gathers before it passes them on; text bytes it splits into words at once.
@@ -74,12 +75,6 @@ def _find(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(codes[at] == wanted, at, -1)
 
 
-def _codes(run: np.ndarray, word: np.ndarray, frequent: int) -> np.ndarray:
-    """Code of a counted run followed by a frequent word, -1 for none; a start mark follows nothing."""
-    ok = (run[:-1] >= 0) & (word[1:] > 0) & (word[1:] < frequent)
-    return np.r_[-1, np.where(ok, (run[:-1] << 17) | word[1:], -1)]
-
-
 class _Hashes(dict):
     """Word -> its hash, as Spark's ``xxhash64`` has it; emptied when full."""
 
@@ -141,12 +136,6 @@ def _filter(keys: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _freed(spark) -> None:
-    """Let Spark delete the shuffle files of finished stages, which it does when its own handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _dealt(key: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     """Columns of sorted keys as one row a bucket: equal keys have equal buckets, and a bucket is a range of keys."""
     bucket = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
@@ -165,9 +154,9 @@ def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return key[first], order[first], np.add.reduceat(n[order], first) if len(key) else n
 
 
-def _runs(train: DataFrame, text: str, order: int, shorter, parts: int) -> DataFrame:
-    """``(key, prefix, suffix, n)`` of all runs of ``order`` words that occur LEAST times; ``shorter``: filter over the counted runs
-    of a word less, which only saves runs that cannot occur so often."""
+def _runs(train: DataFrame, text: str, order: int, contexts, parts: int) -> DataFrame:
+    """``(key, prefix, suffix, n)`` of all runs of ``order`` words that occur LEAST times; ``contexts``: filter over the runs of a word
+    less that occur CONTEXT times, which have to come first (what else it lets through is dropped by a join later)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = _Hashes(), [], 0
@@ -182,11 +171,7 @@ def _runs(train: DataFrame, text: str, order: int, shorter, parts: int) -> DataF
             key, place = _keys(rows, hashes)
             for _ in range(order - 2):
                 key = np.r_[np.uint64(0), _join_keys(key[:-1], key[1:])]
-            ok = place >= order - 1
-            if shorter is not None:
-                passed = _passes(shorter.value, key)
-                ok &= passed & np.r_[False, passed[:-1]]
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero((place >= order - 1) & np.r_[False, _passes(contexts.value, key[:-1])])
             held.append((key[at - 1], key[at], np.ones(len(at), np.int64)))
             size += len(at)
             if size > RUNS:
@@ -215,7 +200,7 @@ def _level(runs: DataFrame, below: DataFrame, into: str) -> None:
     """Write to ``into`` ``(key, n, of, prefix, q, p, back)`` of ``runs``: count, context's count and key, probability in the shorter context and in its
     own; back: log10 of what its context leaves for other words against the shorter one, null if that is not retained.
     ``below``: ``(key, n, p)`` of all runs of a word less."""
-    before = below.select(F.col("key").alias("prefix"), F.col("n").alias("of"))
+    before = below.filter(F.col("n") >= CONTEXT).select(F.col("key").alias("prefix"), F.col("n").alias("of"))
     after = below.select(F.col("key").alias("suffix"), F.col("p").alias("q"))
     path = scratch_path(runs.sparkSession, "runs-in-context")
     runs.join(before, "prefix").join(after, "suffix").drop("suffix").write.parquet(path)
@@ -227,7 +212,6 @@ def _level(runs: DataFrame, below: DataFrame, into: str) -> None:
     back = F.log10((F.col("rest_n") + PRIOR * F.col("rest_q")) / (F.col("of_") + PRIOR) / F.col("rest_q"))
     kept = contexts.filter(F.col("seen") + rest >= DIVERGENCE).select("prefix", back.alias("back"))
     own = F.when(F.col("back").isNull(), q).otherwise((n + PRIOR * q) / (of + PRIOR))
-    _freed(runs.sparkSession)
     placed.join(kept, "prefix", "left").select("key", "n", "of", "prefix", "q", own.alias("p"), "back").write.parquet(into)
     drop_path(runs.sparkSession, path)
 
@@ -240,15 +224,15 @@ def _tree(train: DataFrame, text: str, words: DataFrame, n_texts: int, discount:
     p = F.greatest(F.col("n") - discount, F.lit(1e-9)) / max(total, 1)
     start = spark.range(1).select(F.xxhash64(F.lit(bytes(_START))).alias("key"), F.lit(n_texts).cast("long").alias("n"), F.lit(1.0).alias("p"))
     below = words.filter(F.col("n") >= LEAST).select(F.xxhash64("word").alias("key"), "n", p.alias("p")).union(start)
-    shorter, path, stages = None, scratch_path(spark, "values"), []
+    path, stages = scratch_path(spark, "values"), []
+    contexts = spark.sparkContext.broadcast(_filter(below.filter(F.col("n") >= CONTEXT).select("key"), width))
     bucket = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * parts, 32).cast("int")
     for order in range(2, DEPTH + 2):
         stages.append(scratch_path(spark, "runs"))
-        _runs(train, text, order, shorter, parts).write.parquet(stages[-1])
+        _runs(train, text, order, contexts, parts).write.parquet(stages[-1])
         runs = spark.read.parquet(stages[-1])
-        _freed(spark)
         if order <= DEPTH:
-            shorter = spark.sparkContext.broadcast(_filter(runs.select("key"), width))
+            contexts = spark.sparkContext.broadcast(_filter(runs.filter(F.col("n") >= CONTEXT).select("key"), width))
         stages.append(scratch_path(spark, "level"))
         _level(runs, below, stages[-1])
         level = spark.read.parquet(stages[-1])
@@ -260,7 +244,6 @@ def _tree(train: DataFrame, text: str, words: DataFrame, n_texts: int, discount:
         context = held.groupBy("prefix").agg(F.max("of").alias("n"), F.max("back").alias("value")).select(F.lit(order - 1).alias("run_order"), F.col("prefix").alias("key"), "n", "value")
         values = gain.union(context).withColumn("bucket", bucket)
         values.repartition(parts, "bucket").write.mode("append").parquet(path)
-        _freed(spark)
         below = level.select("key", "n", "p")
     drop_path(spark, stages[-1])
     return spark.read.schema(values.schema).parquet(path)
@@ -308,51 +291,6 @@ def _looked_up(asked: DataFrame, values: DataFrame, parts: int) -> DataFrame:
     return parts_.groupBy("row").agg(F.sum("tree").alias("tree"))
 
 
-class Tree:
-    """The same model of few runs in memory: root probabilities of the head words, and for each level the runs' probabilities and
-    their contexts' backing off. Tests hold the tables to it."""
-
-    def __init__(self, counts: np.ndarray, frequent: int, total: int, kinds: int, once: int, levels: list[np.ndarray], sizes: list[np.ndarray]):
-        self.frequent, self.levels = frequent, levels
-        # an unknown word is one event, as in the baseline; it gets what a constant discount takes from all counts
-        self.discount = min(0.9, max(once, 1) / kinds) if kinds else 0.0
-        self.unknown = self.discount * kinds / total if total else 1.0
-        self.total = total
-        root = np.maximum(counts - self.discount, 1e-9) / max(total, 1)
-        self.root = np.log10(root)
-        below, runs = root[:frequent], counts[:frequent].astype(float)  # probability and count by run of the level above
-        shorter = np.zeros(frequent, np.int64)  # the run without its oldest word, on the level above
-        self.logs, self.back = [], []
-        for level, (codes, n) in enumerate(zip(levels, sizes)):
-            context, word = codes >> 17, codes & 0x1FFFF
-            if not level:
-                suffix = word
-            else:
-                suffix = _find(levels[level - 1], (shorter[context] << 17) | word)
-            q, of = below[suffix], runs[context]
-            width = len(runs)
-            rest_n = np.maximum(runs - np.bincount(context, n, width), 0)
-            rest_q = np.maximum(1 - np.bincount(context, q, width), 1e-9)
-            seen = np.bincount(context, n * np.log(n / of / q), width).astype(float)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                seen += np.where(rest_n > 0, rest_n * np.log(rest_n / runs / rest_q), 0)
-            kept = seen >= DIVERGENCE
-            p = np.where(kept[context], (n + PRIOR * q) / (of + PRIOR), q)
-            self.back.append(np.log10(np.where(kept, (rest_n + PRIOR * rest_q) / (runs + PRIOR) / rest_q, 1.0)))
-            self.logs.append(np.log10(p))
-            below, runs, shorter = p, n.astype(float), suffix
-
-    def token_logs(self, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the tokens before it; where a word has no number, less its root part."""
-        out = np.where(word >= 0, self.root[word], 0.0)
-        run = np.where(word < self.frequent, word, -1)
-        for codes, logs, back in zip(self.levels, self.logs, self.back):
-            before = np.r_[-1, run[:-1]]
-            run = _find(codes, _codes(run, word, self.frequent))
-            out = np.where(run >= 0, logs[run] if len(logs) else 0.0, out + np.where(before >= 0, back[before], 0.0))
-        return out
-
-
 def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of ``docs`` plus n_tokens, n_known, train_tokens, base_score and score, learnt from all texts of ``train``.
 
@@ -375,13 +313,12 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
     # an unknown word is one event, as in the baseline; it gets what a constant discount takes from all counts
     discount = min(0.9, max(once, 1) / kinds) if kinds else 0.0
     unknown = discount * kinds / total if total else 1.0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     values = _tree(train, train_text, words, n_texts, discount, total, parts)
     hot = values.filter(F.when(F.col("run_order") == 1, F.col("n") >= max(edge, 1)).otherwise(F.col("n") >= max(SHARE * total, LEAST))).select("key", "value").toArrow()
     hot_keys, _, hot_values = _sums(hot["key"].to_numpy().view(np.uint64), hot["value"].to_numpy())
     at = _find(hot_keys, np.array([xxhash.xxh64_intdigest(w, 42) for w in number], np.uint64))
     backs = np.where(at >= 0, hot_values[at], 0.0) if len(hot_keys) else np.zeros(len(number))
-    _freed(spark)
     filter_ = _filter(values.select("key"), min(FILTER, 1 << max(10, (total // 16).bit_length())))
     root = np.log10(np.maximum(counts - discount, 1e-9) / max(total, 1))
     model = spark.sparkContext.broadcast((root, np.log10(counts + 1.0), backs, filter_, hot_keys, hot_values))

@@ -404,53 +404,65 @@ def test_tree_uses_contexts(spark, monkeypatch):
     assert s[1] - s[2] > s[3] - s[4] + 0.5  # w15 follows w5 in the training texts, w30 does not
 
 
-def test_tree_counts_runs_below_the_share(spark, monkeypatch):
-    """Rare phrases are scored by their contexts whatever SHARE is, and as a tree of all runs in memory scores them."""
+class PlainTree:
+    """The suffix tree from its definition, over dictionaries."""
+
+    def __init__(self, texts, divergence, prior, least=2, context=8, depth=3):
+        lists = [["\t", *t.split(), "\n"] for t in texts]
+        self.n = Counter(tuple(t[i : i + k]) for t in lists for k in range(1, depth + 2) for i in range(len(t) - k + 1))
+        self.after = defaultdict(list)
+        for run, n in self.n.items():
+            if len(run) > 1 and n >= least:
+                self.after[run[:-1]].append(run[-1])
+        ones = {r[0]: n for r, n in self.n.items() if len(r) == 1 and r != ("\t",)}
+        self.total, self.discount = sum(ones.values()), min(0.9, max(sum(n == 1 for n in ones.values()), 1) / len(ones))
+        self.unknown = self.discount * len(ones) / self.total
+        self.prior, self.depth = prior, depth
+        self.back = {}  # contexts that stay: what they leave for other words, and those that do not: None
+        for size in range(1, depth + 1):
+            for c, words in self.after.items():
+                if len(c) == size and self.n[c] >= context:
+                    of, n = self.n[c], [self.n[(*c, w)] for w in words]
+                    q = [self.chance(c[1:], w) for w in words]
+                    rest_n, rest_q = max(of - sum(n), 0), max(1 - sum(q), 1e-9)
+                    gain = sum(a * math.log(a / of / b) for a, b in zip(n, q)) + (rest_n * math.log(rest_n / of / rest_q) if rest_n else 0)
+                    if gain >= divergence:
+                        self.back[c] = (rest_n + prior * rest_q) / (of + prior) / rest_q
+
+    def chance(self, c, w):
+        if not c:
+            return max(self.n[(w,)] - self.discount, 1e-9) / self.total if self.n[(w,)] else self.unknown
+        q = self.chance(c[1:], w)
+        if c not in self.back:
+            return q
+        return (self.n[(*c, w)] + self.prior * q) / (self.n[c] + self.prior) if w in self.after[c] else q * self.back[c]
+
+    def score(self, text):
+        t = ["\t", *text.split(), "\n"]
+        return sum(math.log10(self.chance(tuple(t[max(0, i - self.depth) : i]), t[i])) for i in range(1, len(t)))
+
+
+def test_tree_equals_its_definition(spark, monkeypatch):
+    """Rare phrases are scored by their contexts whatever SHARE is; contexts below the least count are none."""
     monkeypatch.setattr(suffix_tree, "DIVERGENCE", 2.0)
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(60)]
-    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)))) for _ in range(200)] + ["rare fox jumps over it " + str(rng.choice(words)) for _ in range(8)]
-    asked = [*texts[::7], "a rare fox jumps over it", "fox jumps never", "rare w1 w2 it", "", None]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)))) for _ in range(200)] + ["rare fox jumps over it " + str(rng.choice(words)) for _ in range(8)] + ["seldom seen again"] * 7
+    asked = [*texts[::7], "a rare fox jumps over it", "fox jumps never", "rare w1 w2 it", "seldom seen again", "", None]
     train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
-    lists = [["\t", *t.split(), "\n"] for t in texts]
-    ones = Counter(w for t in lists for w in t)
-    often = ["\t", "\n", *sorted(w for w, n in ones.items() if n >= 2 and w not in "\t\n")]
-    names = [*often, *(w for w, n in ones.items() if n == 1)]
-    codes, levels, sizes = {(w,): i for i, w in enumerate(often)}, [], []
-    for k in range(2, 5):
-        runs = Counter(tuple(t[i : i + k]) for t in lists for i in range(len(t) - k + 1))
-        of = {(codes[r[:-1]] << 17) | often.index(r[-1]): (r, n) for r, n in runs.items() if n >= 2}
-        levels.append(np.array(sorted(of), np.int64))
-        sizes.append(np.array([of[c][1] for c in levels[-1]], np.int64))
-        codes = {of[c][0]: i for i, c in enumerate(levels[-1])}
-    total = sum(ones.values()) - len(lists)
-    counts = np.array([ones[w] for w in names])
-    tree = suffix_tree.Tree(counts, len(often), total, len(names) - 1, sum(n == 1 for n in ones.values()), levels, sizes)
-    want = []
-    for t in asked:
-        at = np.array([0, *[names.index(w) if w in names else -1 for w in (t or "").split()], 1])
-        want.append(tree.token_logs(at)[1:].sum() + (at < 0).sum() * math.log10(tree.unknown))
+    tree = PlainTree(texts, 2.0, suffix_tree.PRIOR)
+    assert any(len(c) == 3 for c in tree.back) and ("seldom",) not in tree.back
+    want = [tree.score(t or "") for t in asked]
     for share, head_words in ((2e-5, 100_000), (0.05, 10)):
         monkeypatch.setattr(suffix_tree, "SHARE", share)
         monkeypatch.setattr(suffix_tree, "HEAD_WORDS", head_words)
         found = {r.doc_id: r.score for r in suffix_tree.scored(docs, train).collect()}
         assert [found[i] for i in range(len(asked))] == pytest.approx(want, rel=1e-9)
+    for before in ((), ("rare",), ("w1",), ("rare", "fox", "jumps")):
+        assert sum(tree.chance(before, w) for (w,) in [r for r in tree.n if len(r) == 1 and r != ("\t",)]) + tree.chance(before, "never") == pytest.approx(1.0, abs=1e-6)
 
 
-def test_tree_sums_to_one():
-    """A tree of made-up counts: over all known words, the end and the unknown word, after a context."""
-    counts = np.array([10, 10, 40, 30, 20, 5, 1])  # start, end, then words 2 to 6
-    levels = [np.array([(0 << 17) | 2, (2 << 17) | 3, (2 << 17) | 4]), np.array([(0 << 17) | 3])]
-    sizes = [np.array([9, 28, 8]), np.array([8])]
-    tree = suffix_tree.Tree(counts, 5, int(counts[1:].sum()), 6, 1, levels, sizes)
-    for before in ([0], [0, 2], [0, 3], [0, 2, 2]):
-        total = 0.0
-        for w in range(1, 7):
-            total += 10 ** tree.token_logs(np.array([*before, w]))[-1]
-        total += 10 ** (tree.token_logs(np.array([*before, -1]))[-1] + math.log10(tree.unknown))
-        assert total == pytest.approx(1.0, abs=1e-9)
-
 
 def test_bpe(spark, case):
     path, docs = case

@@ -29,7 +29,7 @@ def test_empty_tables(spark, empty_dir):
 
 @pytest.fixture(scope="module")
 def stages(spark, sf_dir, tmp_path_factory):
-    """Each stage's input and result on the driver's tables."""
+    """Each stage's input and result, one stage after the other on the driver's smallest tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = {}
     for k, (name, f) in enumerate(corpus_pipeline.STAGES):
