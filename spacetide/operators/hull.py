@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.arrays import let
+from ..session import cut_lineage
 from . import geometry as G
 from .joins import as_of_join
 
@@ -291,26 +292,44 @@ def zone_areas(zones: DataFrame, cell: float = 1000.0) -> DataFrame:
     return zones.groupBy(*by).agg((F.count(F.lit(1)) * cell * cell / 1e6).alias("exposure_area_km2"))
 
 
+def row_spans(edge_list: Column, y: Column, eps: float = 1e-9) -> tuple[Column, Column]:
+    """Where the horizontal line at ``y`` runs strictly inside a ring: sorted crossings taken two by two, and the stretches that lie on the ring itself."""
+    crossed = F.filter(edge_list, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    xs = F.array_sort(F.transform(crossed, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(xs) / 2).cast("int")), lambda k: F.struct(F.get(xs, 2 * k - 2).alias("x0"), F.get(xs, 2 * k - 1).alias("x1")))
+    level = lambda p: F.abs(p["y"] - y) <= eps
+    far = lambda e: F.when(level(e["b"]), e["b"]["x"]).otherwise(e["a"]["x"])
+    touched = F.transform(F.filter(edge_list, lambda e: level(e["a"])), lambda e: F.struct(F.least(e["a"]["x"], far(e)).alias("x0"), F.greatest(e["a"]["x"], far(e)).alias("x1")))
+    return F.when(F.size(xs) > 1, pairs).otherwise(F.array().cast("array<struct<x0:double,x1:double>>")), touched
+
+
 def zonal_cells(zones: DataFrame, keys: Sequence[str], *, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int, ring: str = "ring") -> DataFrame:
     """Grid cells of each zone with the way they were found.
 
     Cells whose centre lies strictly inside; else the cell nearest to a
     representative point (``fallback_nearest_cell_to_zone``); a zone whose padded
     box misses the grid gives one row without a cell (``outside_grid``).
+
+    A scanline: each grid row of a zone is a row of its own, its crossings with the zone's edges give spans of cells. The
+    cost is rows times edges, and a large zone's rows spread over tasks.
     """
-    keys = list(keys)
+    keys, eps = list(keys), 1e-9
     box = G.extent(F.col(ring))
     index = lambda v, o, s: F.round((v - o) / s, 9)
     lo = {"x": F.greatest(F.ceil(index(box["x0"] - dx, x0, dx)), F.lit(0)), "y": F.greatest(F.ceil(index(box["y0"] - dy, y0, dy)), F.lit(0))}
     hi = {"x": F.least(F.floor(index(box["x1"] + dx, x0, dx)), F.lit(nx - 1)), "y": F.least(F.floor(index(box["y1"] + dy, y0, dy)), F.lit(ny - 1))}
-    ex = {"bx0": box["x0"], "bx1": box["x1"], "by0": box["y0"], "by1": box["y1"]}
-    z = zones.select(*keys, ring, G.edges(F.col(ring)).alias("_e"), *[c.alias(n) for n, c in ex.items()]).withColumns({f"_{s}{a}": c[a].cast("int") for s, c in (("lo", lo), ("hi", hi)) for a in "xy"})
+    z = zones.select(*keys, ring, G.edges(F.col(ring)).alias("_e"), *[c[a].cast("int").alias(f"_{s}{a}") for s, c in (("lo", lo), ("hi", hi)) for a in "xy"])
+    z = cut_lineage(z, "zones")
     on_grid = (F.col("_lox") <= F.col("_hix")) & (F.col("_loy") <= F.col("_hiy"))
-    cand = z.where(on_grid).withColumn("ix", F.explode(F.sequence("_lox", "_hix"))).withColumn("iy", F.explode(F.sequence("_loy", "_hiy")))
-    cx, cy = F.col("ix") * dx + x0, F.col("iy") * dy + y0
-    # the cheap box test runs first, the edge folds only on what is left
-    boxed = (cx > F.col("bx0")) & (cx < F.col("bx1")) & (cy > F.col("by0")) & (cy < F.col("by1"))
-    inside = cand.where(boxed).where(G.in_edges(F.col("_e"), cx, cy) & ~G.on_edges(F.col("_e"), cx, cy)).select(*keys, "ix", "iy", F.lit("grid_cells_inside_zone").alias("sample_method"))
+    lines = z.where(on_grid).select(*keys, "_e", "_lox", "_hix", F.explode(F.sequence("_loy", "_hiy")).alias("iy"))
+    spans, touched = row_spans(F.col("_e"), F.col("iy") * dy + y0, eps)
+    lines = lines.select(*keys, "_lox", "_hix", "iy", spans.alias("_s"), touched.alias("_t")).select("*", F.explode("_s").alias("s"))
+    first, last = F.ceil(index(F.col("s.x0"), x0, dx)), F.floor(index(F.col("s.x1"), x0, dx))
+    run = lines.withColumns({"_i0": F.greatest(first, F.col("_lox")).cast("int"), "_i1": F.least(last, F.col("_hix")).cast("int")}).where("_i0 <= _i1")
+    cells = run.select(*keys, "iy", "s", "_t", F.explode(F.sequence("_i0", "_i1")).alias("ix"))
+    cx = F.col("ix") * dx + x0
+    strict = (cx > F.col("s.x0") + eps) & (cx < F.col("s.x1") - eps) & ~F.exists("_t", lambda t: (cx >= t["x0"] - eps) & (cx <= t["x1"] + eps))
+    inside = cut_lineage(cells.where(strict).select(*keys, "ix", "iy", F.lit("grid_cells_inside_zone").alias("sample_method")), "zone-cells")
     rest = z.join(inside.select(*keys).distinct(), keys, "left_anti")
     rest = rest.withColumn("_p", G.representative_point(F.col(ring)))
     px, py = F.col("_p.x"), F.col("_p.y")

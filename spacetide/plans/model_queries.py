@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranking import qcut
 from ..operators import models as M
 from ..session import cut_lineage
 from .inputs import RINGS, TRAITS, rounded, slices, table, traits
@@ -71,19 +72,21 @@ def _(spark, d):
 @query("component_duration_sensitivity", "11.15")
 def _(spark, d):
     f = _space(spark, d)
-    return M.duration_sensitivity(f, M.morphospace_columns(), (0, 10, 500), least=50)
+    return M.duration_sensitivity(f, M.morphospace_columns(), (0, 2, 4, 8, 10), least=50)
 
 
 @query("component_bootstrap", "11.16")
 def _(spark, d):
-    f = _space(spark, d).withColumn("year_part", F.col("year") % 2)
-    return M.pca_bootstrap(f, M.morphospace_columns(), ["region", "year_part"], reps=8)
+    f = _space(spark, d)
+    for value, name in (("duration_days", "duration_bin"), ("final_area_km2", "area_bin"), ("year", "year_bin")):
+        f = qcut(f, value, 4, name)
+    return M.pca_bootstrap(f, M.morphospace_columns(), ["duration_bin", "area_bin", "year_bin", "region"], reps=60)
 
 
 @query("null_model_spectra", "11.17")
 def _(spark, d):
-    f = _space(spark, d)
-    return M.null_model_summary(f, slices(spark, d), trait_inputs(spark, d), M.morphospace_columns(), reps=1)
+    found = M.null_replicates(_space(spark, d), slices(spark, d), trait_inputs(spark, d), M.morphospace_columns(), reps=24)
+    return found.join(M.null_model_summary(found), "null_model", "left")
 
 
 @query("correlated_feature_clusters", "11.18")
@@ -91,7 +94,7 @@ def _(spark, d):
     f = _space(spark, d)
     chosen = M.correlated_clusters(f, M.morphospace_columns())
     names = F.array(*[F.lit(c) for c in chosen])
-    return f.limit(1).select(F.posexplode(names).alias("position", "feature"))
+    return spark.range(1).select(F.posexplode(names).alias("position", "feature"))
 
 
 @query(
@@ -133,7 +136,7 @@ def _(spark, d):
 def _(spark, d):
     f = _space(spark, d)
     sets = {"climate means": ["mean_maximum_temperature_c", "mean_vpd_kpa", "mean_wind_speed_m_s"], "shape": ["peak_timing", "growth_entropy", "observation_count"]}
-    return rounded(M.ridge_table(f, sets, ["final_area_km2", "front_loaded_fraction"], ["random_fire", "region_block"]), "r2")
+    return rounded(M.ridge_table(f, sets, ["final_area_km2", "front_loaded_fraction"], ["random_fire", "region_block", "region_year_hash", "year_block"]), "r2")
 
 
 @query("ols_fold_scores", "11.22")
@@ -146,7 +149,7 @@ def _(spark, d):
 def _(spark, d):
     f = _space(spark, d)
     r2 = M.ols_split_r2(f, ["peak_timing", "growth_entropy"], "developmental_velocity")
-    return f.limit(1).select(F.lit("entropy and timing").alias("model"), F.round(F.lit(r2).cast("double"), 6).alias("r2"))
+    return spark.range(1).select(F.lit("entropy and timing").alias("model"), F.round(F.lit(r2).cast("double"), 6).alias("r2"))
 
 
 #: Clipped and standardised vectors, the distinct ones at four digits and the farthest-point choice: a row a round, ``ch`` the points chosen so far.
