@@ -217,7 +217,19 @@ def _(spark, d):
     return rounded(out, "severity_synchrony", "source_mean_magnitude", "target_mean_magnitude", "mean_absolute_magnitude_difference")
 
 
-@query("matched_events", "3.10")
+#: Candidates within four days in the order in which a greedy match takes them; a fold keeps those whose two events are both free.
+_MATCH = f"""{_EVENTS}, {_PAIRS}, cs AS (SELECT y_idx * nx + x_idx AS space, event_id, start, duration FROM cat, nn), cnt AS (SELECT space, count(*) AS n FROM cs GROUP BY 1),
+cand AS (SELECT source, target, s.event_id AS s, t.event_id AS t, CAST(date_diff('day', s.start, t.start) AS DOUBLE) AS lag, CAST(s.duration AS DOUBLE) AS sd, CAST(t.duration AS DOUBLE) AS td FROM pr JOIN cs s ON s.space = source JOIN cs t ON t.space = target AND abs(date_diff('day', s.start, t.start)) <= 4),
+gl AS (SELECT source, target, list([{{'s': s, 't': t, 'lag': lag, 'sd': sd, 'td': td}}] ORDER BY abs(lag), s, t) AS l FROM cand GROUP BY ALL),
+kept AS (SELECT source, target, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda e: e.s = x[1].s OR e.t = x[1].t)) > 0 THEN a ELSE list_concat(a, x) END)) AS m FROM gl),
+mt AS (SELECT source, target, m.s AS s, m.t AS t, m.lag AS lag, abs(m.lag) AS al, m.sd AS sd, m.td AS td FROM kept)"""
+_LAGS = "CAST(count(*) AS BIGINT) AS n, avg(lag) AS ml, quantile_cont(al, 0.5) AS md"
+_SIDES = "FROM pr LEFT JOIN sc ON sc.source = pr.source AND sc.target = pr.target LEFT JOIN cnt a ON a.space = pr.source LEFT JOIN cnt b ON b.space = pr.target"
+_SHARED = """pr.source, pr.target, round(distance, 5) AS distance, coalesce(n, 0) AS matched_event_count, round(ml, 6) AS mean_lag, md AS median_absolute_lag,
+  CAST(greatest(coalesce(a.n, 0) - coalesce(sc.n, 0), 0) AS BIGINT) AS source_unmatched_event_count, CAST(greatest(coalesce(b.n, 0) - coalesce(sc.n, 0), 0) AS BIGINT) AS target_unmatched_event_count""".replace("coalesce(n, 0)", "coalesce(sc.n, 0)")
+
+
+@query("matched_events", "3.10", f"WITH {_MATCH} SELECT source, target, s AS source_event_id, t AS target_event_id, lag AS lag_days FROM mt")
 def _(spark, d):
     st = _states(spark, d)
     cat = E.detect_events(st, min_duration=2, max_gap=1)
@@ -230,24 +242,36 @@ def _catalog(spark, d):
     return st, E.with_space(E.detect_events(st, min_duration=2, max_gap=1), V.grid_width(st))
 
 
-@query("timing_synchrony_edges", "9.08")
+@query("timing_synchrony_edges", "9.08", f"WITH {_MATCH}, sc AS (SELECT source, target, {_LAGS}, avg(exp(-al / 3)) AS v FROM mt GROUP BY ALL) SELECT {_SHARED}, round(v, 6) AS timing_synchrony {_SIDES}")
 def _(spark, d):
     st, cat = _catalog(spark, d)
-    return rounded(Y.timing_synchrony(cat, _pairs(st), tolerance="4D"), "timing_synchrony", "mean_lag", "distance")
+    out = rounded(Y.timing_synchrony(cat, _pairs(st), tolerance="4D"), "timing_synchrony", "mean_lag")
+    return rounded(out, "distance", digits=5)
 
 
-@query("timing_synchrony_map", "9.08 4.10")
+@query(
+    "timing_synchrony_map",
+    "9.08 4.10",
+    f"""WITH {_MATCH}, sc AS (SELECT source, target, count(*) AS n, avg(1 / (1 + al)) AS v FROM mt GROUP BY ALL), ed AS (SELECT pr.source, pr.target, v, coalesce(n, 0) AS n FROM pr LEFT JOIN sc ON sc.source = pr.source AND sc.target = pr.target)
+    SELECT space, round(avg(v), 6) AS timing_synchrony, round(avg(n), 6) AS matched_event_count FROM (SELECT source AS space, v, n FROM ed UNION ALL SELECT target, v, n FROM ed) GROUP BY 1""",
+)
 def _(spark, d):
     st, cat = _catalog(spark, d)
     edges = Y.timing_synchrony(cat, _pairs(st), tolerance="4D", score="inverse")
     return rounded(Y.edge_to_map(edges, ["timing_synchrony", "matched_event_count"]), "timing_synchrony", "matched_event_count")
 
 
-@query("duration_synchrony_edges", "9.09")
+@query(
+    "duration_synchrony_edges",
+    "9.09",
+    f"""WITH {_MATCH}, rk AS (SELECT *, rank() OVER (PARTITION BY source, target ORDER BY sd) + (count(*) OVER (PARTITION BY source, target, sd) - 1) / 2.0 AS u, rank() OVER (PARTITION BY source, target ORDER BY td) + (count(*) OVER (PARTITION BY source, target, td) - 1) / 2.0 AS w FROM mt),
+    sc AS (SELECT source, target, {_LAGS}, CASE WHEN count(*) >= 3 AND sqrt(var_pop(u) * var_pop(w)) > 1e-12 THEN covar_pop(u, w) / sqrt(var_pop(u) * var_pop(w)) END AS v, avg(1 - abs(sd - td) / greatest(sd, td, 1)) AS sim, avg(sd - td) AS diff FROM rk GROUP BY ALL)
+    SELECT {_SHARED}, round(v, 6) AS duration_synchrony, round(sim, 6) AS duration_similarity, round(diff, 6) AS mean_duration_difference {_SIDES}""",
+)
 def _(spark, d):
     st, cat = _catalog(spark, d)
     out = Y.duration_synchrony(cat, _pairs(st), tolerance="4D", min_matched_events=3)
-    return rounded(out, "duration_synchrony", "duration_similarity", "mean_duration_difference", "mean_lag", "distance")
+    return rounded(rounded(out, "duration_synchrony", "duration_similarity", "mean_duration_difference", "mean_lag"), "distance", digits=5)
 
 
 @query(
