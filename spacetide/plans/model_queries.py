@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import qcut
 from ..operators import models as M
+from ..operators import trajectory as T
 from ..session import cut_lineage
-from .inputs import RINGS, TRAITS, rounded, slices, table, traits
+from .inputs import CLIMATE, RINGS, TRAITS, rounded, slices, table, traits
 from .join_queries import AXES, POINTS, by_axis, feature_points
 from .registry import query
 from .trajectory_queries import features, trait_inputs
@@ -152,6 +153,19 @@ def _(spark, d):
     return spark.range(1).select(F.lit("entropy and timing").alias("model"), F.round(F.lit(r2).cast("double"), 6).alias("r2"))
 
 
+@query("next_day_growth_models", "11.21 5.14")
+def _(spark, d):
+    state = T.state_model_table(slices(spark, d)).join(traits(spark, d).select("fire_id", "region"), "fire_id", "left")
+    return rounded(M.next_day_models(state, CLIMATE[:3], CLIMATE), "r2")
+
+
+@query("early_stage_models", "11.22 5.13")
+def _(spark, d):
+    f = _space(spark, d)
+    targets = M.pca(f, M.morphospace_columns()).scores(f, 3).select("fire_id", "region", "year", "morph_pc1", "morph_pc2", "morph_pc3")
+    return rounded(M.stage_models(T.safe_stage_table(slices(spark, d), targets), ["morph_pc1", "morph_pc2", "morph_pc3"], least=200), "r2")
+
+
 #: Clipped and standardised vectors, the distinct ones at four digits and the farthest-point choice: a row a round, ``ch`` the points chosen so far.
 _REPS = f"""{POINTS}, e AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pt),
     q AS (SELECT i, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM e GROUP BY 1), c AS (SELECT id, i, least(greatest(x, lo), hi) AS x FROM e JOIN q USING (i)),
