@@ -7,7 +7,7 @@ are smoothed towards that shorter context, which also covers the next words that
 state of the longest retained context before it.
 
 Runs are known by 64-bit hashes and held in tables, level by level. A text's score is a sum over its runs, each of which adds what it
-changes against the run without its oldest word, so texts and runs meet in one join. Only the runs above SHARE of all tokens, which
+changes against the run without its oldest word, so texts and runs meet in one join. Only the HOT most frequent runs, which
 would be hot keys of that join, are sent to the tasks.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, drop_path, scratch_path
 from .text import map_texts, raw_texts, steps
 
-#: Longest context in words, share of all tokens above which a run goes to the tasks, least divergence in nats, weight of the shorter context.
-DEPTH, SHARE, DIVERGENCE, PRIOR = 3, 2e-5, 10.0, 16.0
+#: Longest context in words, most runs whose values go to the tasks (16 bytes each), least divergence in nats, weight of the shorter context.
+DEPTH, HOT, DIVERGENCE, PRIOR = 3, 1 << 19, 10.0, 16.0
 #: Least count of a run in its context, and of a context.
 LEAST, CONTEXT = 2, 8
 #: Tokens for each bucket of the run tables, at least.
@@ -37,7 +37,7 @@ HEAD_BYTES, HEAD_WORDS = 128, 100_000
 #: Entries a task gathers before it passes them on; text bytes it splits into words at once.
 FLUSH, STEP = 1 << 18, 1 << 20
 #: Runs a task gathers before it passes them on; words whose hashes a worker keeps; most 64-bit words of a filter (a full one only lets more through).
-RUNS, HASHES, FILTER = 1 << 20, 500_000, 1 << 24
+RUNS, HASHES, FILTER = 1 << 22, 500_000, 1 << 24
 #: Words have no white space, so these marks are none.
 _START, _END = b"\t", b"\n"
 
@@ -297,7 +297,7 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
     Null and empty texts have one token, the end. Repeated rows are scored alike. With no training text every word is
     unknown, and unknown words have probability 1. ``score`` is the tree's log10 probability of the tokens.
 
-    Counts of the most frequent words go to the tasks (HEAD_WORDS of at most HEAD_BYTES each), and so do the runs above SHARE; a text's
+    Counts of the most frequent words go to the tasks (HEAD_WORDS of at most HEAD_BYTES each), and so do the HOT most frequent runs; a text's
     other words and runs are joined with the tables of all words and runs.
     """
     spark = docs.sparkSession
@@ -315,7 +315,10 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
     unknown = discount * kinds / total if total else 1.0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     values = _tree(train, train_text, words, n_texts, discount, total, parts)
-    hot = values.filter(F.when(F.col("run_order") == 1, F.col("n") >= max(edge, 1)).otherwise(F.col("n") >= max(SHARE * total, LEAST))).select("key", "value").toArrow()
+    longer = values.filter("run_order > 1 OR n >= " + str(max(edge, 1)))
+    last = longer.select("n").orderBy(F.desc("n")).offset(HOT).limit(1).collect()
+    most = F.when(F.col("run_order") == 1, F.col("n") >= max(edge, 1)).otherwise(F.col("n") > (last[0]["n"] if last else 0))
+    hot = values.filter(most).select("key", "value").toArrow()
     hot_keys, _, hot_values = _sums(hot["key"].to_numpy().view(np.uint64), hot["value"].to_numpy())
     at = _find(hot_keys, np.array([xxhash.xxh64_intdigest(w, 42) for w in number], np.uint64))
     backs = np.where(at >= 0, hot_values[at], 0.0) if len(hot_keys) else np.zeros(len(number))

@@ -382,7 +382,7 @@ def test_base_scores(spark, case, monkeypatch):
 
 def test_tree_uses_contexts(spark, monkeypatch):
     """A word that follows another in the training texts gains by it; any context and unknown words have finite scores."""
-    for name, value in (("SHARE", 0.002), ("DIVERGENCE", 1.0)):
+    for name, value in (("HOT", 100), ("DIVERGENCE", 1.0)):
         monkeypatch.setattr(suffix_tree, name, value)
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(40)]
@@ -443,7 +443,7 @@ class PlainTree:
 
 
 def test_tree_equals_its_definition(spark, monkeypatch):
-    """Rare phrases are scored by their contexts whatever SHARE is; contexts below the least count are none."""
+    """Rare phrases are scored by their contexts whatever HOT is; contexts below the least count are none."""
     monkeypatch.setattr(suffix_tree, "DIVERGENCE", 2.0)
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(60)]
@@ -454,8 +454,8 @@ def test_tree_equals_its_definition(spark, monkeypatch):
     tree = PlainTree(texts, 2.0, suffix_tree.PRIOR)
     assert any(len(c) == 3 for c in tree.back) and ("seldom",) not in tree.back
     want = [tree.score(t or "") for t in asked]
-    for share, head_words in ((2e-5, 100_000), (0.05, 10)):
-        monkeypatch.setattr(suffix_tree, "SHARE", share)
+    for hot, head_words in ((1 << 19, 100_000), (20, 10)):
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
         monkeypatch.setattr(suffix_tree, "HEAD_WORDS", head_words)
         found = {r.doc_id: r.score for r in suffix_tree.scored(docs, train).collect()}
         assert [found[i] for i in range(len(asked))] == pytest.approx(want, rel=1e-9)
