@@ -9,9 +9,7 @@ from .inputs import rounded, table
 from .registry import query
 
 
-def _stream(spark, d):
-    schema = table(spark, d, "events").schema
-    s = S.file_stream(spark, d, schema, "events.parquet")
+def _typed(s):
     # event time in the session's zone; only its calendar fields are used below
     return s.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
@@ -19,6 +17,16 @@ def _stream(spark, d):
     )
 
 
+def _stream(spark, d):
+    return _typed(S.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet"))
+
+
+def _arriving(spark, d):
+    """The whole table as arrivals in the order of their time, several micro-batches, and the end of time."""
+    events = table(spark, d, "events")
+    return _typed(S.arrivals(spark, S.replay(events, "ts"), events.schema))
+
+
 _E = "e AS (SELECT *, CAST(user_id // 10 AS BIGINT) AS y_idx, CAST(user_id % 10 AS BIGINT) AS x_idx FROM events)"
 
 
@@ -28,7 +36,7 @@ _E = "e AS (SELECT *, CAST(user_id // 10 AS BIGINT) AS y_idx, CAST(user_id % 10
     f"WITH {_E} SELECT y_idx, x_idx, CAST(count(value) AS BIGINT) AS n, round(avg(value), 8) AS mean, round(var_pop(value), 6) AS variance FROM e GROUP BY ALL",
 )
 def _(spark, d):
-    out = S.drain(S.stream_cube_stats(_stream(spark, d)), "stats", "complete")
+    out = S.drain(S.stream_cube_stats(_arriving(spark, d).where("event_id IS NOT NULL")), "stats", "update", ["y_idx", "x_idx"])
     return rounded(rounded(out, "variance"), "mean", digits=8)
 
 
@@ -38,7 +46,7 @@ def _(spark, d):
     "SELECT CAST(ts AS DATE) AS day, event_type, round(avg(value), 8) AS value, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL",
 )
 def _(spark, d):
-    out = S.drain(S.stream_window_means(_stream(spark, d), "ts", "1 day", by=["event_type"]), "tumbling", "complete")
+    out = S.drain(S.stream_window_means(_arriving(spark, d), "ts", "1 day", by=["event_type"]), "tumbling")
     # epoch-aligned day windows start at midnight of the session zone when that zone is UTC
     return rounded(out.select(F.col("window_start").cast("date").alias("day"), "event_type", "value", "n"), "value", digits=8)
 
@@ -50,7 +58,7 @@ def _(spark, d):
     SELECT start, round(avg(value), 6) AS value, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1""",
 )
 def _(spark, d):
-    out = S.drain(S.stream_window_means(_stream(spark, d), "ts", "4 days", "2 days"), "hopping", "complete")
+    out = S.drain(S.stream_window_means(_arriving(spark, d), "ts", "4 days", "2 days"), "hopping")
     return rounded(out.select(F.col("window_start").cast("date").alias("start"), "value", "n"), "value")
 
 
@@ -61,8 +69,8 @@ def _(spark, d):
     SELECT user_id, CAST(min(ts) AS DATE) AS start, CAST(max(ts) AS DATE) AS "end", CAST(count(*) AS BIGINT) AS n_active FROM r GROUP BY user_id, g HAVING count(*) >= 2""",
 )
 def _(spark, d):
-    active = _stream(spark, d).where("value >= 30")
-    out = S.drain(S.stream_events(active, "ts", ["user_id"], max_gap_days=0, min_rows=2), "sessions", "complete")
+    active = _arriving(spark, d).where("value >= 30 OR event_id IS NULL")
+    out = S.drain(S.stream_events(active, "ts", ["user_id"], max_gap_days=0, min_rows=2), "sessions")
     return out.select("user_id", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"), "n_active")
 
 

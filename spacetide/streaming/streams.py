@@ -3,6 +3,13 @@
 Each function takes and returns a streaming DataFrame; :func:`drain` runs one to
 the end of the data that is there now and gives its result as a table in the
 shared folder, so a batch and a stream over the same input can be compared.
+:func:`replay` lays a table out as files that arrive one after the other.
+
+State lives across micro-batches. Windows and runs of active days are given out
+once, when the watermark has passed them (append); a row that comes later than
+that is dropped, and one that comes in time joins its window or merges the runs
+it lies between. Cell statistics have no end: each batch appends the cells it
+changed (update), and the latest row of a cell counts.
 """
 
 from __future__ import annotations
@@ -21,21 +28,55 @@ def file_stream(spark: SparkSession, root: str, schema, glob: str = "*.parquet",
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def replay(df: DataFrame, time: str, batches: int = 4, name: str = "arrivals", until: str = "366 days") -> str:
+    """Write ``df`` as ``batches`` arrivals in the order of ``time`` and two more: one row moves the clock by ``until``, and one, a day later,
+    makes the batch in which what that closed is given out; the folder.
+
+    The two rows have no values but their time: they lie in windows of their own, which stay open.
+    """
+    spark = df.sparkSession
+    root = scratch_path(spark, name)
+    seconds = F.unix_micros(F.col(time).cast("timestamp"))
+    lo, hi = df.agg(F.min(seconds), F.max(seconds)).first()
+    if lo is None:
+        df.write.parquet(f"{root}/part=0")
+        return root
+    edges = [lo + (hi - lo + 1) * i // batches for i in range(batches + 1)]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        df.where((seconds >= a) & (seconds < b)).write.parquet(f"{root}/part={i}")
+    kind = df.schema[time].dataType
+    for i in (0, 1):
+        late = df.agg(F.max(F.col(time)).alias(time)).withColumn(time, (F.col(time) + F.expr(f"INTERVAL {until}") + F.expr(f"INTERVAL {i} days")).cast(kind))
+        late.select(*[F.col(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]).coalesce(1).write.parquet(f"{root}/part={batches + i}")
+    return root
+
+
+def arrivals(spark: SparkSession, root: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """The files of :func:`replay` in their order, a few in each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(root)
+
+
+def drain(stream: DataFrame, name: str, mode: str = "append", keys=()) -> DataFrame:
     """Run until the available input is used up; return the sink's table.
 
-    append goes to a parquet sink (exactly once); complete rewrites a snapshot
-    per batch, which suits results bounded by the grid, not by the input.
+    append goes to a parquet sink (exactly once); update appends each batch's changed rows under its number, and the latest row
+    of each of ``keys`` is the result. A batch that runs again after a failure replaces its own rows.
     """
     spark = stream.sparkSession
     path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").start(path)
-    else:
-        query = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(path)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+        writer.format("parquet").start(path).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    if mode != "update":
+        raise ValueError("mode must be append or update")
+    keys = list(keys)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+    writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.option("basePath", path).parquet(path)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch").cast("long")).alias("_l"))
+    return latest.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])
 
 
 def stream_cube_stats(stream: DataFrame, by=CELL, value: str = "value") -> DataFrame:
