@@ -208,8 +208,6 @@ def whiten(vectors: DataFrame, vector: str = "embedding", components: int = COMP
     values, directions = leading(covariance, min(components, dimensions)) if trace > 0 else (np.zeros(0), np.zeros((dimensions, 0)))
     real = values > FLAT * trace
     values, directions = values[real], directions[:, real]
-    project = directions / np.sqrt(values)
-
     taken = {x.lower() for x in (*names, vector)}
     stay = [c for c in rows.columns if c.lower() not in taken]
     chosen = rows.select(*stay, F.col(vector).cast("array<double>").alias(kept))
@@ -229,7 +227,7 @@ def whiten(vectors: DataFrame, vector: str = "embedding", components: int = COMP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, x in _blocks(batch, place):
-                made = ((x - whole) - rest) @ project
+                made = ((x - whole) - rest) @ directions
                 arrays = pa.ListArray.from_arrays(np.arange(0, made.size + 1, max(1, made.shape[1]))[: len(x) + 1] if made.shape[1] else np.zeros(len(x) + 1, np.int32), made.ravel())
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(begin, len(x)) for i in range(place)], arrays, pa.array(deviations(x), pa.decimal128(38, 0))], names=schema.fieldNames())
 
@@ -244,9 +242,12 @@ def whiten(vectors: DataFrame, vector: str = "embedding", components: int = COMP
 
     error = 0.0
     if k:
-        means = stage.agg(*[F.avg(F.element_at(column, i + 1)) for i in range(k)]).first()
-        centre = np.array(means, float)
-        error = float(np.abs(_second_moments(stage.select(column), made, n, k) - np.eye(k)).max())
+        centre = np.array(stage.agg(*[F.avg(F.element_at(column, i + 1)) for i in range(k)]).first(), float)
+        spread = _second_moments(stage.select(column), made, n, k)
+        values = np.diag(spread)  # the variances as measured: small ones keep all their digits beside large ones
+        error = float(np.abs(spread / np.sqrt(np.outer(values, values)) - np.eye(k)).max())
     shares = F.array(*[F.lit(float(v / trace)) for v in values]) if k else F.array().cast("array<double>")
-    out = stage.withColumns({"n": F.lit(n).cast("long"), "explained": shares, "identity_error": F.lit(error)})
+    scales = F.array(*[F.lit(float(np.sqrt(v))) for v in values])
+    white = F.zip_with(column, scales, lambda y, s: y / s) if k else F.col(column)
+    out = stage.withColumns({column: white, "n": F.lit(n).cast("long"), "explained": shares, "identity_error": F.lit(error)})
     return out
