@@ -40,17 +40,34 @@ def stages(spark, sf_dir, tmp_path_factory):
     return out
 
 
-def test_each_stage_by_its_operator(spark, sf_dir, stages):
-    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_every_stage_ran(stages):
+    """Its time is that of the five stages, one after the other."""
+    assert list(stages) == [name for name, _ in corpus_pipeline.STAGES]
+
+
+def test_quality_stage_by_its_operator(spark, sf_dir, stages):
     before, after = stages["quality rules"]
     kept = quality.judged(before, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept")
     assert ids(after) == ids(kept) and after.columns == before.columns
+
+
+def test_near_duplicate_stage_by_its_operator(stages):
     before, after = stages["simhash near-duplicates"]
     groups = simhash.near_duplicates(before)
     assert ids(after) == sorted(r.component_id for r in groups.select("component_id").distinct().collect())
+
+
+def test_decontamination_stage_by_its_operator(spark, sf_dir, stages):
     before, after = stages["benchmark decontamination"]
     bad = decontaminate.contamination(before, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
     assert ids(after) == sorted(set(ids(before)) - set(ids(bad)))
+
+
+def test_secrets_are_gone(stages):
     before, after = stages["secret scans"]
     assert ids(after) == ids(before) and after.filter(F.length("text") != F.col("n_chars")).count() == 0
     assert after.filter(F.col("text").rlike("[0-9a-f]{24}")).count() == 0
