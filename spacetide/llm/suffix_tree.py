@@ -27,7 +27,7 @@ from ..session import cut_lineage, drop_path, scratch_path
 from .text import map_texts, raw_texts, steps
 
 #: Longest context in words, most runs whose values go to the tasks (16 bytes each), least divergence in nats, weight of the shorter context.
-DEPTH, HOT, DIVERGENCE, PRIOR = 3, 1 << 19, 10.0, 16.0
+DEPTH, HOT, DIVERGENCE, PRIOR = 3, 1 << 17, 10.0, 16.0
 #: Least count of a run in its context, and of a context.
 LEAST, CONTEXT = 2, 8
 #: Tokens for each bucket of the run tables, at least.
