@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -292,6 +294,62 @@ def zone_areas(zones: DataFrame, cell: float = 1000.0) -> DataFrame:
     return zones.groupBy(*by).agg((F.count(F.lit(1)) * cell * cell / 1e6).alias("exposure_area_km2"))
 
 
+def exposure_areas(daily: DataFrame, distances: Sequence[float], cell: float = 1000.0, ring: str = "ring", day: str = "date") -> DataFrame:
+    """Area of every zone of :func:`exposure_zones` per event and day, without its cells or a row for each cell and day.
+
+    Cells of one row that burn first on one day are a span. A disk around a span is a wider span in each of the rows it
+    reaches, so a buffer costs spans times rows of the disk; a row's spans say when each of its cells comes within reach. Areas
+    are running sums over those days: what is within reach and has not burnt is the extension.
+    """
+    active = G.ring_cells(daily, [KEY, day], ring, cell)
+    active = cut_lineage(active.distinct(), "active-cells")
+    km2 = cell * cell / 1e6
+    first = active.groupBy(KEY, "cx", "cy").agg(F.min(day).alias("_since"))
+    along = W.partitionBy(KEY, "cy", "_since").orderBy("cx")
+    spans = first.withColumn("_g", F.col("cx") - F.row_number().over(along)).groupBy(KEY, "cy", "_since", "_g").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"))
+    spans = cut_lineage(spans.drop("_g"), "spans")
+    days = daily.select(KEY, day).distinct()
+    so_far = W.partitionBy(KEY).orderBy(day)
+
+    def running(counts: DataFrame, name: str) -> DataFrame:
+        """Cells that were counted on this or an earlier day, for every day of the event."""
+        return days.join(counts, [KEY, day], "left").select(KEY, day, F.sum(F.coalesce(name, F.lit(0))).over(so_far).alias(name))
+
+    burnt = running(spans.groupBy(KEY, F.col("_since").alias(day)).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")), "n")
+    tag = lambda df, zone, d, n: df.where(n > 0).select(KEY, day, F.lit(zone).alias("exposure_zone"), F.lit(float(d)).alias("extension_distance_m"), (n * km2).alias("exposure_area_km2"))
+    out = tag(active.groupBy(KEY, day).agg(F.count(F.lit(1)).alias("n")), "active", 0, F.col("n")).unionByName(tag(burnt, "cumulative", 0, F.col("n")))
+
+    @F.pandas_udf("array<struct<near:int,n:bigint>>")
+    def reached(lows: pd.Series, highs: pd.Series, since: pd.Series) -> pd.Series:
+        """Of one row of cells: how many come within reach on each day."""
+        made = []
+        for lo, hi, when in zip(lows, highs, since):
+            lo, hi, when = np.asarray(lo, np.int64), np.asarray(hi, np.int64) + 1, np.asarray(when, np.int64)
+            edges = np.unique(np.r_[lo, hi])
+            near = np.full(len(edges) - 1, np.iinfo(np.int64).max)
+            begin, end = np.searchsorted(edges, lo), np.searchsorted(edges, hi)
+            for i in np.argsort(-when, kind="stable").tolist():  # earlier days overwrite later ones
+                near[begin[i] : end[i]] = when[i]
+            hit = near < np.iinfo(np.int64).max
+            got, at = np.unique(near[hit], return_inverse=True)
+            n = np.bincount(at, np.diff(edges)[hit], len(got))
+            made.append([{"near": int(a), "n": int(b)} for a, b in zip(got, n)])
+        return pd.Series(made)
+
+    for d in distances:
+        h = int(d // cell)
+        steps = [(j, int(math.sqrt((d / cell) ** 2 - j * j) + 1e-9)) for j in range(-h, h + 1)]
+        disk = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w")) for j, w in steps]))
+        wide = spans.select(KEY, "cy", "x0", "x1", F.datediff("_since", F.lit("1970-01-01").cast("date")).alias("s"), disk.alias("o"))
+        lines = wide.groupBy(KEY, (F.col("cy") + F.col("o.j")).alias("cy")).agg(F.collect_list(F.struct((F.col("x0") - F.col("o.w")).alias("a"), (F.col("x1") + F.col("o.w")).alias("b"), "s")).alias("r"))  # spans that reach one row of an event
+        part = lambda f: F.transform("r", lambda x: x[f])
+        found = lines.select(KEY, F.explode(reached(part("a"), part("b"), part("s"))).alias("x"))
+        counts = found.groupBy(KEY, F.date_add(F.lit("1970-01-01").cast("date"), F.col("x.near")).alias(day)).agg(F.sum("x.n").alias("near"))
+        both = running(counts, "near").join(burnt, [KEY, day])
+        out = out.unionByName(tag(both, "extension", d, F.col("near") - F.col("n")))
+    return out
+
+
 def row_spans(edge_list: Column, y: Column, eps: float = 1e-9) -> tuple[Column, Column]:
     """Where the horizontal line at ``y`` runs strictly inside a ring: sorted crossings taken two by two, and the stretches that lie on the ring itself."""
     crossed = F.filter(edge_list, lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))

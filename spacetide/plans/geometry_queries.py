@@ -235,7 +235,7 @@ def _(spark, d):
 @query("exposure_zone_areas", "10.17")
 def _(spark, d):
     p = perimeters(spark, d).select("fire_id", "date", "ring")
-    return H.zone_areas(H.exposure_zones(p, [5000.0, 10000.0], cell=5000.0))
+    return H.exposure_areas(p, [5000.0, 10000.0, 25000.0], cell=1000.0)
 
 
 _GRID = {"x0": -126000.0, "dx": 3000.0, "nx": 20, "y0": 22000.0, "dy": 3000.0, "ny": 11}

@@ -115,3 +115,18 @@ def test_partners_in_hash_order_are_one_cycle(spark):
     df = spark.range(300).withColumnRenamed("id", "k")
     placed = rows(M.hash_order(df, "k", "place"), "place", "k")
     assert [p for p, _ in placed] == list(range(300)) and [k for _, k in placed] != list(range(300))
+
+
+def test_exposure_areas_equal_counted_cells(spark):
+    import datetime as dt
+
+    from spacetide.operators import geometry as G
+
+    rng = np.random.default_rng(8)
+    data = [(f"f{i % 4}", dt.date(2020, 1, 1) + dt.timedelta(days=int(rng.integers(0, 6))), *rng.uniform(0, 30_000, 2).tolist(), float(rng.uniform(500, 6_000))) for i in range(40)]
+    df = spark.createDataFrame(data, "fire_id string, date date, x double, y double, r double")
+    df = df.select("fire_id", "date", G.regular_ring(F.col("x"), F.col("y"), F.col("r"), 9).alias("ring"))
+    cols = ["fire_id", "date", "exposure_zone", "extension_distance_m", "exposure_area_km2"]
+    for distances, cell in (([2000.0, 5500.0], 1000.0), ([1500.0], 2000.0)):
+        cells = hull.exposure_zones(df, distances, cell).distinct()
+        assert rows(hull.exposure_areas(df, distances, cell), *cols) == rows(hull.zone_areas(cells, cell), *cols)
