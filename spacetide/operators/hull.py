@@ -294,20 +294,59 @@ def zone_areas(zones: DataFrame, cell: float = 1000.0) -> DataFrame:
     return zones.groupBy(*by).agg((F.count(F.lit(1)) * cell * cell / 1e6).alias("exposure_area_km2"))
 
 
+def _first_runs(lows: pd.Series, highs: pd.Series, days: pd.Series) -> pd.Series:
+    """Of the spans of one row of cells: stretches of cells that are first covered on one day, in order."""
+    made = []
+    for lo, hi, when in zip(lows, highs, days):
+        lo, hi, when = np.asarray(lo, np.int64), np.asarray(hi, np.int64) + 1, np.asarray(when, np.int64)
+        edges = np.unique(np.r_[lo, hi])
+        none = np.iinfo(np.int64).max
+        first = np.full(len(edges) - 1, none)
+        begin, end = np.searchsorted(edges, lo), np.searchsorted(edges, hi)
+        for i in np.argsort(-when, kind="stable").tolist():  # earlier days overwrite later ones
+            first[begin[i] : end[i]] = when[i]
+        starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+        stops = np.r_[starts[1:], len(first)]
+        made.append([{"x0": int(edges[i]), "x1": int(edges[j]) - 1, "s": int(first[i])} for i, j in zip(starts, stops) if first[i] != none])
+    return pd.Series(made)
+
+
+def covered_spans(df: DataFrame, keys: Sequence[str], cell: float, ring: str = "ring") -> DataFrame:
+    """keys, cy, x0, x1: stretches of cells in one row whose centres a ring covers, by a scanline (rows times edges)."""
+    box = G.extent(F.col(ring))
+    at = lambda v: F.round(v / cell - 0.5, 9)
+    rows_ = df.select(*keys, G.edges(F.col(ring)).alias("_e"), F.ceil(at(box["y0"])).alias("_lo"), F.floor(at(box["y1"])).alias("_hi")).where("_lo <= _hi")
+    lines = rows_.select(*keys, "_e", F.explode(F.sequence("_lo", "_hi")).alias("cy"))
+    inside, touched = row_spans(F.col("_e"), (F.col("cy") + 0.5) * cell)
+    spans = lines.select(*keys, "cy", F.explode(F.concat(inside, touched)).alias("s"))
+    return spans.select(*keys, "cy", F.ceil(at(F.col("s.x0"))).alias("x0"), F.floor(at(F.col("s.x1"))).alias("x1")).where("x0 <= x1")
+
+
 def exposure_areas(daily: DataFrame, distances: Sequence[float], cell: float = 1000.0, ring: str = "ring", day: str = "date") -> DataFrame:
     """Area of every zone of :func:`exposure_zones` per event and day, without its cells or a row for each cell and day.
 
-    Cells of one row that burn first on one day are a span. A disk around a span is a wider span in each of the rows it
-    reaches, so a buffer costs spans times rows of the disk; a row's spans say when each of its cells comes within reach. Areas
-    are running sums over those days: what is within reach and has not burnt is the extension.
+    A perimeter is one or a few spans in each row of cells. Cells of a row that burn first on one day are a span again, and a
+    disk around a span is a wider span in each of the rows it reaches, so a buffer costs spans times rows of the disk. A row's
+    spans say when each of its cells comes within reach. Areas are running sums over those days: what is within reach and
+    has not burnt is the extension.
     """
-    active = G.ring_cells(daily, [KEY, day], ring, cell)
-    active = cut_lineage(active.distinct(), "active-cells")
-    km2 = cell * cell / 1e6
-    first = active.groupBy(KEY, "cx", "cy").agg(F.min(day).alias("_since"))
-    along = W.partitionBy(KEY, "cy", "_since").orderBy("cx")
-    spans = first.withColumn("_g", F.col("cx") - F.row_number().over(along)).groupBy(KEY, "cy", "_since", "_g").agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"))
-    spans = cut_lineage(spans.drop("_g"), "spans")
+    km2, epoch = cell * cell / 1e6, F.lit("1970-01-01").cast("date")
+    since = F.datediff(day, epoch).alias("s")
+    active = cut_lineage(covered_spans(daily, [KEY, day], cell, ring), "active-spans")
+    entries = lambda lo, hi: F.collect_list(F.struct(lo.alias("a"), hi.alias("b"), F.col("s"))).alias("r")
+    part = lambda f: F.transform("r", lambda x: x[f])
+    swept = F.pandas_udf(_first_runs, "array<struct<x0:bigint,x1:bigint,s:int>>")
+    runs = F.explode(swept(part("a"), part("b"), part("s"))).alias("x")
+    length = (F.col("x.x1") - F.col("x.x0") + 1).alias("n")
+
+    def gathered(spans: DataFrame, lo: Column, hi: Column, *by) -> DataFrame:
+        """First days of the cells of each row; a row meets the spans of its event's days that reach it."""
+        return spans.groupBy(*by).agg(entries(lo, hi)).select(*[b if isinstance(b, str) else "cy" for b in by], runs)
+
+    x0, x1 = F.col("x0"), F.col("x1")
+    per_day = gathered(active.select(KEY, day, "cy", "x0", "x1", since), x0, x1, KEY, day, "cy").groupBy(KEY, day).agg(F.sum(length).alias("n"))
+    first = gathered(active.select(KEY, "cy", "x0", "x1", since), x0, x1, KEY, "cy").select(KEY, "cy", "x.x0", "x.x1", "x.s")
+    first = cut_lineage(first, "first-spans")
     days = daily.select(KEY, day).distinct()
     so_far = W.partitionBy(KEY).orderBy(day)
 
@@ -315,38 +354,18 @@ def exposure_areas(daily: DataFrame, distances: Sequence[float], cell: float = 1
         """Cells that were counted on this or an earlier day, for every day of the event."""
         return days.join(counts, [KEY, day], "left").select(KEY, day, F.sum(F.coalesce(name, F.lit(0))).over(so_far).alias(name))
 
-    burnt = running(spans.groupBy(KEY, F.col("_since").alias(day)).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")), "n")
+    on = lambda s: F.date_add(epoch, s).alias(day)
+    burnt = running(first.groupBy(KEY, on(F.col("s"))).agg(F.sum(x1 - x0 + 1).alias("n")), "n")
     tag = lambda df, zone, d, n: df.where(n > 0).select(KEY, day, F.lit(zone).alias("exposure_zone"), F.lit(float(d)).alias("extension_distance_m"), (n * km2).alias("exposure_area_km2"))
-    out = tag(active.groupBy(KEY, day).agg(F.count(F.lit(1)).alias("n")), "active", 0, F.col("n")).unionByName(tag(burnt, "cumulative", 0, F.col("n")))
-
-    @F.pandas_udf("array<struct<near:int,n:bigint>>")
-    def reached(lows: pd.Series, highs: pd.Series, since: pd.Series) -> pd.Series:
-        """Of one row of cells: how many come within reach on each day."""
-        made = []
-        for lo, hi, when in zip(lows, highs, since):
-            lo, hi, when = np.asarray(lo, np.int64), np.asarray(hi, np.int64) + 1, np.asarray(when, np.int64)
-            edges = np.unique(np.r_[lo, hi])
-            near = np.full(len(edges) - 1, np.iinfo(np.int64).max)
-            begin, end = np.searchsorted(edges, lo), np.searchsorted(edges, hi)
-            for i in np.argsort(-when, kind="stable").tolist():  # earlier days overwrite later ones
-                near[begin[i] : end[i]] = when[i]
-            hit = near < np.iinfo(np.int64).max
-            got, at = np.unique(near[hit], return_inverse=True)
-            n = np.bincount(at, np.diff(edges)[hit], len(got))
-            made.append([{"near": int(a), "n": int(b)} for a, b in zip(got, n)])
-        return pd.Series(made)
-
+    out = tag(per_day, "active", 0, F.col("n")).unionByName(tag(burnt, "cumulative", 0, F.col("n")))
     for d in distances:
         h = int(d // cell)
         steps = [(j, int(math.sqrt((d / cell) ** 2 - j * j) + 1e-9)) for j in range(-h, h + 1)]
-        disk = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w")) for j, w in steps]))
-        wide = spans.select(KEY, "cy", "x0", "x1", F.datediff("_since", F.lit("1970-01-01").cast("date")).alias("s"), disk.alias("o"))
-        lines = wide.groupBy(KEY, (F.col("cy") + F.col("o.j")).alias("cy")).agg(F.collect_list(F.struct((F.col("x0") - F.col("o.w")).alias("a"), (F.col("x1") + F.col("o.w")).alias("b"), "s")).alias("r"))  # spans that reach one row of an event
-        part = lambda f: F.transform("r", lambda x: x[f])
-        found = lines.select(KEY, F.explode(reached(part("a"), part("b"), part("s"))).alias("x"))
-        counts = found.groupBy(KEY, F.date_add(F.lit("1970-01-01").cast("date"), F.col("x.near")).alias(day)).agg(F.sum("x.n").alias("near"))
-        both = running(counts, "near").join(burnt, [KEY, day])
-        out = out.unionByName(tag(both, "extension", d, F.col("near") - F.col("n")))
+        disk = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(w).alias("w")) for j, w in steps])).alias("o")
+        wide = first.select(KEY, "cy", "x0", "x1", "s", disk)
+        found = gathered(wide, x0 - F.col("o.w"), x1 + F.col("o.w"), KEY, (F.col("cy") + F.col("o.j")).alias("cy"))
+        near = found.groupBy(KEY, on(F.col("x.s"))).agg(F.sum(length).alias("near"))
+        out = out.unionByName(tag(running(near, "near").join(burnt, [KEY, day]), "extension", d, F.col("near") - F.col("n")))
     return out
 
 
