@@ -245,9 +245,8 @@ def _(spark, d):
 )
 def _(spark, d):
     p = by_axis(feature_points(spark, d)).withColumnRenamed("id", "fire_id")
-    found = M.representatives(p, AXES, k=36, neighbors=1).orderBy("representative_id").collect()  # 36 rows
     z = M.representative_space(p, AXES)
-    out = M.medoid_coverage(z, [[r[a] for a in AXES] for r in found], "v", [4, 8, 12, 16, 24, 30, 36])
+    out = M.medoid_coverage(z, [v for _, v in M.chosen_points(z, AXES, 36)], "v", [4, 8, 12, 16, 24, 30, 36])
     return rounded(out, "median_nearest_distance", "p90_nearest_distance", "mass_within_1")
 
 
