@@ -210,3 +210,15 @@ def test_quantiles_of_groups_far_apart(spark):
         assert [r[f"q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(groups[r.metric], probs)))
     counts = R.ordered_counts(frame, "value", ["metric"])
     assert {r.metric: r.total for r in counts.select("metric", "total").distinct().collect()} == {k: len(v) for k, v in groups.items()}
+
+
+def test_cuts_depend_on_values_alone(spark):
+    """A sketch merged in another order cuts elsewhere, and the two sides of a join then disagree on the buckets."""
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") % 2).alias("g"), (F.abs(F.xxhash64("id")) % 1_000_003).cast("double").alias("v"))
+    turned = df.repartition(7, F.hash("v")).unionByName(df.limit(100))
+    cuts = [{r["g"]: r["_cuts"] for r in R.cut_points(rows_, "v", ["g"], 8).collect()} for rows_ in (df, turned)]
+    assert cuts[0] == cuts[1] and all(4 <= len(c) < 8 and c == sorted(c) for c in cuts[0].values())
+    pdf = df.toPandas()
+    table = {r["g"]: r["q0"] for r in R.quantile_table(turned.where("g = 1"), "v", [0.5], ["g"]).collect()}
+    extra = turned.toPandas()
+    assert table[1] == pytest.approx(np.median(extra["v"][extra["g"] == 1]), abs=1e-9) and len(extra) == len(pdf) + 100
