@@ -222,3 +222,41 @@ def test_cuts_depend_on_values_alone(spark):
     table = {r["g"]: r["q0"] for r in R.quantile_table(turned.where("g = 1"), "v", [0.5], ["g"]).collect()}
     extra = turned.toPandas()
     assert table[1] == pytest.approx(np.median(extra["v"][extra["g"] == 1]), abs=1e-9) and len(extra) == len(pdf) + 100
+
+
+def test_matches_of_many_pairs_at_once():
+    """All pairs of a batch are matched together, as a walk through each pair's candidates matches them."""
+    from spacetide.operators.events import greedy_matches
+
+    rng = np.random.default_rng(8)
+    ns, nt = rng.integers(0, 9, 300), rng.integers(0, 9, 300)
+
+    def side(n, base):
+        ids = iter(range(base, base + int(n.sum())))
+        return np.array([[d, next(ids), d, d + 1, 2] for k in n for d in np.sort(rng.integers(0, 25, k))], np.int64)
+
+    s, t = side(ns, 0), side(nt, 5_000)
+    got = list(zip(*(x.tolist() for x in greedy_matches(s, ns, t, nt, 4))))
+    want = []
+    for p, (a, b) in enumerate(zip(np.cumsum(ns) - ns, np.cumsum(nt) - nt)):
+        ways = sorted((abs(t[j, 0] - s[i, 0]), s[i, 1], t[j, 1], i, j) for i in range(a, a + ns[p]) for j in range(b, b + nt[p]) if abs(t[j, 0] - s[i, 0]) <= 4)
+        used = set()
+        for _, u, v, i, j in ways:
+            if u not in used and v not in used:
+                used |= {u, v}
+                want.append((p, i, j))
+    assert got == want and len(got) > 300
+
+
+def test_group_ranks_and_correlation():
+    from spacetide.operators.synchrony import group_correlation, group_ranks
+
+    rng = np.random.default_rng(3)
+    at, x, y = rng.integers(0, 40, 400), rng.integers(0, 6, 400).astype(float), rng.normal(size=400)
+    n = np.bincount(at, minlength=41)
+    u, v = group_ranks(at, x), group_ranks(at, y)
+    r = group_correlation(at, n, u, v)
+    frame = pd.DataFrame({"g": at, "x": x, "y": y})
+    assert u.tolist() == frame.groupby("g")["x"].rank().tolist() and np.isnan(r[40])
+    for g, part in frame.groupby("g"):
+        assert r[g] == pytest.approx(part["x"].rank().corr(part["y"].rank()), nan_ok=True)
