@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ordered_counts
 from ..session import cut_lineage
 from .text import SPACES, ascii_lower, fold, fresh, split_words, without
 
 #: Buckets for unigrams and as many for bigrams; added to each bucket's count (raw counts scaled to the trusted total).
 BUCKETS, ADDED = 1 << 14, 4.0
-#: Most trusted documents that are counted or set the threshold (a bounded sample in order of a hash of the id).
-TRUSTED = 50_000
 #: One trusted document in so many sets the threshold and is not counted as trusted text.
 HELD_OUT = 5
 #: Share of the held-out trusted documents that lies below the threshold.
@@ -97,16 +96,16 @@ def mean_ratio(words: str, table: Column, buckets: int = BUCKETS) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept (named with ``prefix``; columns of these names are replaced).
 
-    ``labels``: (doc_id, quality); a document is trusted if any of its labels has quality 1; ``TRUSTED`` ids at most are
-    taken, so they can be broadcast and no text is shuffled. The raw counts cover all documents. ``kept``: not
+    ``labels``: (doc_id, quality); a document is trusted if any of its labels has quality 1; all of them count, and where their
+    ids are few they are broadcast and no text is shuffled. The raw counts cover all documents. ``kept``: not
     base_failed and score at least the threshold (no threshold, so nothing more rejected, where no trusted document is held
     out). Null texts are empty and fail the base rules; repeated rows are judged alike; null ids are never trusted.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     docs = without(docs, [prefix + n for n in names], text)
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
-    good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(TRUSTED)
-    marked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(good), F.col("i") == F.col("good_id"), "left")
+    good = cut_lineage(good, "trusted")  # stored first, so that the join is planned by their real size
+    marked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(good, F.col("i") == F.col("good_id"), "left")
     held = fold(F.col("i"), HELD_OUT) == 0
     counts = cut_lineage(gram_counts(marked, F.col("good_id").isNotNull() & ~held, "t"), "grams")
     table = cut_lineage(weights(counts), "weights")
@@ -118,7 +117,8 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return lowered.withColumn(out, mean_ratio(low, F.col(at))).drop(low, at)
 
     sure = marked.filter(F.col("good_id").isNotNull() & held).select(split_words(F.col("t")).alias("w"))
-    cut = cut_lineage(scored(sure, "w", "score").agg(F.percentile_approx("score", LOST, 10_000).alias("least")), "threshold").first()["least"]
+    ranks = ordered_counts(cut_lineage(scored(sure, "w", "score").select("score"), "threshold"), "score")
+    cut = ranks.filter(F.col("cum_before") + F.col("cnt") >= F.ceil(F.col("total") * F.lit(LOST))).agg(F.min("score").alias("least")).first()["least"]
     words = fresh(docs, "words")[0]
     df = scored(with_base(docs, text, [words, *[prefix + n for n in names[:6]]]), words, prefix + "score").drop(words)
     passed = F.lit(True) if cut is None else F.col(prefix + "score") >= F.lit(cut)

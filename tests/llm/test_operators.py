@@ -248,6 +248,21 @@ def test_quality_overlapping_windows(spark):
     assert quality.with_base(df, "text", names).first().r == 12
 
 
+def test_quality_counts_every_trusted_document(spark, monkeypatch):
+    """No cap on trusted documents: each of them changes the scores, and the threshold is an exact order statistic of those held out."""
+    docs = spark.createDataFrame([(i, f"alpha w{i % 7} w{i % 11} beta" + " gamma" * (i % 3)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    whole = {r.doc_id: (r.score, r.kept) for r in quality.judged(docs, labels).collect()}
+    monkeypatch.setattr(quality, "TRUSTED", 5, raising=False)
+    assert {r.doc_id: (r.score, r.kept) for r in quality.judged(docs, labels).collect()} == whole
+    monkeypatch.setattr(quality, "LEAST_WORDS", 0)
+    monkeypatch.setattr(quality, "LOST", 0.5)
+    found = quality.judged(docs, labels).collect()
+    held = sorted(r.score for r in found if r.doc_id < 50 and zlib.crc32(str(r.doc_id).encode()) % quality.HELD_OUT == 0)
+    cut = held[math.ceil(len(held) * 0.5) - 1]
+    assert len(held) > 3 and all(r.kept == (r.score >= cut and not r.base_failed) for r in found)
+
+
 def test_quality_ratio_matches_plain_counts(spark):
     """The score, and the threshold from held-out trusted documents, recomputed from the bucket counts."""
     good = ["the old house by the sea stood alone and quiet while the rain fell on the roof all night long " + f"n{i}" for i in range(60)]
