@@ -260,3 +260,11 @@ def test_group_ranks_and_correlation():
     assert u.tolist() == frame.groupby("g")["x"].rank().tolist() and np.isnan(r[40])
     for g, part in frame.groupby("g"):
         assert r[g] == pytest.approx(part["x"].rank().corr(part["y"].rank()), nan_ok=True)
+
+
+def test_number_below_halves(spark):
+    """Places among ascending cuts, for every count of cuts and with the number of steps that a table of 200 buckets needs."""
+    cuts = [[float(2 * i) for i in range(n)] for n in range(9)]
+    table = spark.createDataFrame([(c, float(v)) for c in cuts for v in range(-1, 18)], "cuts array<double>, v double")
+    for r in table.withColumn("n", R.number_below("cuts", F.col("v"), 200)).collect():
+        assert r["n"] == sum(c < r["v"] for c in r["cuts"])
