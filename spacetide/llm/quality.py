@@ -21,6 +21,8 @@ BUCKETS, ADDED = 1 << 14, 4.0
 HELD_OUT = 5
 #: Share of the held-out trusted documents that lies below the threshold.
 LOST = 0.005
+#: Longs of 64 slots each that say which hashed ids may be trusted: 2^24 slots, 2 MB whatever the number of ids.
+MARKS = 1 << 18
 #: Fixed values of the base rules: fewest words, highest percentage of words in repeated windows, words in a window.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
@@ -75,6 +77,20 @@ def gram_counts(docs: DataFrame, trusted: Column, text: str = "text", buckets: i
     return grams.filter("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
 
 
+def hashed_marks(ids: DataFrame, name: str, longs: int = MARKS) -> DataFrame:
+    """One row: an array of ``longs`` longs in which the slot of every id is set."""
+    slot = F.pmod(F.xxhash64(name), F.lit(64 * longs))
+    words = ids.groupBy(F.floor(slot / 64).cast("int").alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("v"))
+    every = ids.sparkSession.range(longs).select(F.col("id").cast("int").alias("k")).join(words, "k", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("v", F.lit(0)).alias("v")))), lambda x: x["v"]).alias("marks"))
+
+
+def is_marked(doc_id: Column, marks: Column, longs: int = MARKS) -> Column:
+    """Whether the id's slot is set: true for every marked id and for few others."""
+    slot = F.pmod(F.xxhash64(doc_id), F.lit(64 * longs))
+    return F.getbit(F.get(marks, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
+
+
 def weights(counts: DataFrame, buckets: int = BUCKETS, added: float = ADDED) -> DataFrame:
     """One row: the array of log p_trusted - log p_raw by bucket, of fixed length 2 * buckets (0 where nothing was counted)."""
     spark = counts.sparkSession
@@ -96,18 +112,24 @@ def mean_ratio(words: str, table: Column, buckets: int = BUCKETS) -> Column:
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept (named with ``prefix``; columns of these names are replaced).
 
-    ``labels``: (doc_id, quality); a document is trusted if any of its labels has quality 1; all of them count, and where their
-    ids are few they are broadcast and no text is shuffled. The raw counts cover all documents. ``kept``: not
+    ``labels``: (doc_id, quality); a document is trusted if any of its labels has quality 1; all of them count. Only texts whose
+    hashed id is marked meet the trusted ids in a shuffle join, at every size. The raw counts cover all documents. ``kept``: not
     base_failed and score at least the threshold (no threshold, so nothing more rejected, where no trusted document is held
     out). Null texts are empty and fail the base rules; repeated rows are judged alike; null ids are never trusted.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     docs = without(docs, [prefix + n for n in names], text)
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
-    good = cut_lineage(good, "trusted")  # stored first, so that the join is planned by their real size
-    marked = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(good, F.col("i") == F.col("good_id"), "left")
+    kind = docs.schema[doc_id].dataType
+    good = cut_lineage(good.select(F.col("good_id").cast(kind)), "trusted")
+    marks = cut_lineage(hashed_marks(good, "good_id"), "marks")
+    plain = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
+    maybe = F.coalesce(is_marked(F.col("i"), marks.scalar()) & F.col("i").isNotNull(), F.lit(False))
     held = fold(F.col("i"), HELD_OUT) == 0
-    counts = cut_lineage(gram_counts(marked, F.col("good_id").isNotNull() & ~held, "t"), "grams")
+    met = lambda some: some.join(good.hint("merge"), F.col("i") == F.col("good_id"), "left")
+    counted = met(plain.filter(maybe & ~held)).select("t", F.col("good_id").isNotNull().alias("trusted"))
+    counted = plain.filter(~(maybe & ~held)).select("t", F.lit(False).alias("trusted")).unionByName(counted)
+    counts = cut_lineage(gram_counts(counted, F.col("trusted"), "t"), "grams")
     table = cut_lineage(weights(counts), "weights")
 
     def scored(df: DataFrame, words: str, out: str) -> DataFrame:
@@ -116,7 +138,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         lowered = df.withColumns({low: F.transform(words, ascii_lower), at: table.scalar()})
         return lowered.withColumn(out, mean_ratio(low, F.col(at))).drop(low, at)
 
-    sure = marked.filter(F.col("good_id").isNotNull() & held).select(split_words(F.col("t")).alias("w"))
+    sure = met(plain.filter(maybe & held)).filter(F.col("good_id").isNotNull()).select(split_words(F.col("t")).alias("w"))
     ranks = ordered_counts(cut_lineage(scored(sure, "w", "score").select("score"), "threshold"), "score")
     cut = ranks.filter(F.col("cum_before") + F.col("cnt") >= F.ceil(F.col("total") * F.lit(LOST))).agg(F.min("score").alias("least")).first()["least"]
     words = fresh(docs, "words")[0]

@@ -598,3 +598,21 @@ def test_marginals_match_all_paths():
                 weight[i, y[i]] += w
         assert odds[at : at + n] == pytest.approx(weight[:, 1] / weight[:, 0])
         at += n
+
+
+def test_quality_joins_only_marked_texts(spark, monkeypatch):
+    """Ids that share a slot with trusted ones are sorted out by the join; the marks miss no trusted id."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "good_id")
+    marks = quality.hashed_marks(ids, "good_id", 64).first()["marks"]
+    assert len(marks) == 64
+    table = quality.hashed_marks(ids, "good_id", 64)
+    hit = {r.id for r in spark.range(6000).where(quality.is_marked(F.col("id"), table.scalar(), 64)).collect()}
+    assert set(range(0, 3000, 3)) <= hit and len(hit) < 3000
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(30))) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120, 4)], "doc_id long, quality int")
+    few = {r.doc_id: (r.score, r.kept) for r in quality.judged(docs, labels).collect()}
+    monkeypatch.setattr(quality.hashed_marks, "__defaults__", (1,))
+    monkeypatch.setattr(quality.is_marked, "__defaults__", (1,))
+    assert {r.doc_id: (r.score, r.kept) for r in quality.judged(docs, labels).collect()} == few
