@@ -247,3 +247,24 @@ def test_point_areas_are_widened_and_boxes_checked():
     assert SC.aoi_box(point=(10.0, 20.0)) == pytest.approx((9.95, 19.95, 10.05, 20.05))
     with pytest.raises(ValueError):
         SC.aoi_box(bbox=(1, 0, 1, 5))
+
+
+def test_spans_of_a_day_are_merged_for_all_rows_at_once():
+    """Overlapping spans of one day become one before they are painted, and every cell keeps its first day."""
+    import numpy as np
+    import pandas as pd
+
+    from spacetide.operators import hull
+
+    rng = np.random.default_rng(3)
+    lows = pd.Series([rng.integers(-20, 20, n) for n in (1, 30, 7, 60)])
+    highs = pd.Series([lo + rng.integers(0, 6, len(lo)) for lo in lows])
+    days = pd.Series([rng.integers(1, 5, len(lo)) for lo in lows])
+    row, lo, _, when = hull._merged(lows, highs, days)
+    assert len(lo) < sum(map(len, lows)) and len(set(zip(row, when, lo))) == len(lo)
+    for i, runs in enumerate(hull._first_runs(lows, highs, days)):
+        first = {}
+        for a, b, d in zip(lows[i], highs[i], days[i]):
+            for x in range(a, b + 1):
+                first[x] = min(first.get(x, d), d)
+        assert {x: r["s"] for r in runs for x in range(r["x0"], r["x1"] + 1)} == first
