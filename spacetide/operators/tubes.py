@@ -19,7 +19,8 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Each round is two group-minimum steps and is written to the shared folder;
     the number of rounds grows with the logarithm of the component size. Edges
     of a hub are spread over tasks: the minimum is combined before the shuffle
-    and the join back on the hub is split by AQE.
+    and the join back on the hub is split by AQE. All joins sort and merge: a stage's
+    files are many times smaller than its rows, so their size must not choose a broadcast.
     """
     links = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b").distinct()
     spark = edges.sparkSession
@@ -35,10 +36,10 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         # large star: hang every larger neighbour on the smallest member
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        big = both.join(low.hint("merge"), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         # small star: hang the smaller neighbours and the node itself on the smallest one
         top = big.groupBy("b").agg(F.min("a").alias("m"))
-        small = big.join(top, "b")
+        small = big.join(top.hint("merge"), "b")
         nxt = (
             small.select(F.col("m").alias("a"), F.col("a").alias("b"))
             .unionByName(small.select(F.col("m").alias("a"), "b"))
@@ -51,7 +52,7 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if same:
             break
     labels = links.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "node")
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return nodes.join(labels.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def label_tubes(mask: DataFrame, connectivity: int = 6) -> DataFrame:
@@ -80,10 +81,10 @@ def label_tubes(mask: DataFrame, connectivity: int = 6) -> DataFrame:
     moved = voxels.select(F.col("node").alias("u"), "t_idx", *CELL, shift.alias("o")).select(
         "u", (F.col("t_idx") + F.col("o.dt")).alias("t_idx"), (F.col("y_idx") + F.col("o.dy")).alias("y_idx"), (F.col("x_idx") + F.col("o.dx")).alias("x_idx")
     )
-    edges = moved.join(voxels.select("t_idx", *CELL, F.col("node").alias("v")), ["t_idx", *CELL]).select("u", "v").where("u <> v").distinct()
+    edges = moved.join(voxels.select("t_idx", *CELL, F.col("node").alias("v")).hint("merge"), ["t_idx", *CELL]).select("u", "v").where("u <> v").distinct()
     nodes = voxels.select("node").distinct()
     labels = _components(edges, nodes)
-    return number_tubes(voxels.join(labels, "node").drop("node"))
+    return number_tubes(voxels.join(labels.hint("merge"), "node").drop("node"))
 
 
 def number_tubes(labelled: DataFrame) -> DataFrame:
@@ -101,9 +102,9 @@ def number_tubes(labelled: DataFrame) -> DataFrame:
     )
     offset = coarse.withColumn("_o", F.sum("_n").over(W.partitionBy("_c").orderBy("_slot")) - F.col("_n")).join(base, "_c")
     numbered = slots.withColumn("_k", F.row_number().over(W.partitionBy("_slot").orderBy("label"))).join(
-        offset.select("_slot", (F.col("_o") + F.col("_b")).alias("_o")), "_slot"
+        offset.select("_slot", (F.col("_o") + F.col("_b")).alias("_o")).hint("merge"), "_slot"
     )
-    return labelled.join(numbered.select("label", (F.col("_o") + F.col("_k")).alias("tube_id")), "label").drop("label")
+    return labelled.join(numbered.select("label", (F.col("_o") + F.col("_k")).alias("tube_id")).hint("merge"), "label").drop("label")
 
 
 def tube_metrics(tubes: DataFrame) -> DataFrame:

@@ -193,3 +193,13 @@ def test_tube_hull_of_a_square(spark):
     pts = [(1, D0, float(y), float(x)) for y in range(3) for x in range(3)] + [(2, D0, 0.0, 0.0)]
     got = T.tube_sections(spark.createDataFrame(pts, "tube_id bigint, time date, y double, x double")).collect()
     assert len(got) == 1 and len(got[0]["ring"]) == 4
+
+
+def test_tubes_never_broadcast_their_stages(spark):
+    """Stage files are far smaller than their rows, so file sizes must not choose broadcasts through the driver."""
+    data = spark.createDataFrame([(D0, 0.0, 0.0, 1.0), (D0, 0.0, 1.0, 1.0), (D0, 5.0, 5.0, 1.0)], "time date, y double, x double, value double") \
+        .withColumns({"y_idx": F.col("y").cast("long"), "x_idx": F.col("x").cast("long")})
+    plan = T.label_tubes(index_cube(data).withColumn("mask", F.col("value") > 0), 26)._jdf.queryExecution().executedPlan().toString()
+    hashed = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert plan.count("SortMergeJoin") >= 3
+    assert all("[_c#" in line for line in hashed)  # the base of the numbering: a fourth root of the voxel count
