@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.ranking import ordered_counts, qcut, quantile_table
+from ..functions.ranking import number_below, ordered_counts, qcut, quantile_table
 from ..session import cut_lineage
 
 
@@ -123,14 +123,45 @@ def extreme_pairs_in_bins(df: DataFrame, size: str, score: str, key: str = "fire
 
 
 MEDOID_CELLS = 200_000
-MEDOID_SURVIVORS = 5_000
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        sq += (a[:, d : d + 1] - b[None, :, d]) ** 2
-    return np.sqrt(sq)
+MEDOID_PAIRS = 1 << 20
+
+
+def _cuts_by_spread(spreads: Sequence[float], cells: int) -> list[int]:
+    """Cuts a dimension, their product at most ``cells``, so that all have steps of one length; 1000 at most."""
+    cuts, left, room = [1] * len(spreads), sorted(range(len(spreads)), key=lambda i: spreads[i]), float(cells)
+    while left:
+        widths = [max(spreads[i], 1e-12) for i in left]
+        step = (float(np.prod([w / widths[0] for w in widths])) / room) ** (1 / len(left))
+        n = int(min(1000, max(1, 1 / step)))
+        cuts[left[0]] = n
+        room, left = max(1.0, room / n), left[1:]
+    return cuts
+
+
+def _thinned(values: Sequence[float], n: int) -> list[float]:
+    """At most ``n`` - 1 of ascending values, those nearest below the ends of ``n`` equal steps and all of few."""
+    values = np.unique(np.asarray(values, float))
+    if len(values) < n:
+        return values.tolist()
+    at = np.searchsorted(values, np.linspace(values[0], values[-1], n + 1)[1:-1])
+    return np.unique(values[at]).tolist()
+
+
+def _sum_bounds(p: np.ndarray, n: np.ndarray, m: np.ndarray, h: np.ndarray, c: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each point's distance sum to all cells: ``n`` points each, their mean, largest offsets and summed products of offsets."""
+    every = range(p.shape[1])
+    off = [p[:, i : i + 1] - m[None, :, i] for i in every]
+    d = np.sqrt(sum(o * o for o in off))
+    away = [np.divide(o, d, out=np.zeros_like(d), where=d > 0) for o in off]
+    spread = sum(c[i, i] for i in every)
+    along = sum((1 if i == j else 2) * c[i, j] * away[i] * away[j] for i, j in c)
+    across = np.clip(spread - along, 0, None)
+    reach = sum(np.abs(away[i]) * h[:, i] for i in every)
+    low = d @ n
+    wide = np.sqrt(d * d * n * n + spread * n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        high = np.where(d > reach, np.minimum(wide, n * d + across / (2 * (d - reach))), wide)
+    return low, high.sum(axis=1)
 
 
 def medoid(df: DataFrame, traits: Sequence[str], key: str = "fire_id", by: str | None = None, candidates: int | None = None, cuts: int | None = None) -> DataFrame:
@@ -140,11 +171,13 @@ def medoid(df: DataFrame, traits: Sequence[str], key: str = "fire_id", by: str |
     (count n, mean m, mean squared spread v). For a point p, the sum over a
     cell lies between n|p - m| and n sqrt(|p - m|^2 + v), so one pass bounds
     every point's total, and only points whose lower bound beats the best upper
-    bound are summed exactly. ``candidates`` restricts the cohort to its first
-    rows by key, as the table build does.
+    bound are summed exactly. Where the point lies outside the cell's box, the upper
+    bound is n d + s / 2 (d - r): s sums the squares across the line to the mean, r is
+    the box's half diagonal seen from it. ``candidates`` restricts the cohort to its
+    first rows by key, as the table build does.
 
-    The cells and the survivors are bounded and reach the tasks as arrays; if
-    too many points survive, the grid is made finer.
+    Cells are about as long as wide: a trait gets cuts in proportion to its spread. At
+    most MEDOID_CELLS summaries reach the tasks, which compare MEDOID_PAIRS at a time.
     """
     traits = list(traits)
     spark = df.sparkSession
@@ -155,41 +188,49 @@ def medoid(df: DataFrame, traits: Sequence[str], key: str = "fire_id", by: str |
     # equal vectors are one point with a weight; the smallest key speaks for them
     merged = cut_lineage(pts.groupBy("_c", *traits).agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_key")), "medoid")
     n_cohorts = merged.agg(F.approx_count_distinct("_c")).first()[0]
-    per_dim = cuts or int(max(4, min(64, (MEDOID_CELLS / max(1, n_cohorts)) ** (1 / len(traits)))))
-    probs = [i / per_dim for i in range(1, per_dim)]
-    edges = merged.agg(*[F.percentile_approx(t, probs, 1000).alias(t) for t in traits]).first()
-    slot = lambda t: F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges[t] or [0.0]))]), lambda e: e < F.col(t)))
-    celled = merged.select("*", *[slot(t).alias(f"_s{i}") for i, t in enumerate(traits)])
-    w = F.col("_n")
-    stats = celled.groupBy("_c", *[f"_s{i}" for i in range(len(traits))]).agg(
-        F.sum(w).alias("n"),
-        *[(F.sum(F.col(t) * w) / F.sum(w)).alias(f"m{i}") for i, t in enumerate(traits)],
-        *[F.greatest(F.sum(F.col(t) * F.col(t) * w) / F.sum(w) - F.pow(F.sum(F.col(t) * w) / F.sum(w), F.lit(2.0)), F.lit(0.0)).alias(f"v{i}") for i, t in enumerate(traits)],
-    )
-    cells = stats.toPandas()  # at most MEDOID_CELLS rows of summaries
-    book = {
-        c: (g["n"].to_numpy(float), g[[f"m{i}" for i in range(len(traits))]].to_numpy(float), g[[f"v{i}" for i in range(len(traits))]].sum(axis=1).to_numpy(float))
-        for c, g in cells.groupby("_c")
-    }
-    shared = spark.sparkContext.broadcast(book)
-
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c, g in b.groupby("_c"):
-                n, m, v = shared.value[c]
-                for lo in range(0, len(g), 1024):
-                    part = g.iloc[lo : lo + 1024]
-                    d = _distances(part[traits].to_numpy(float), m)
-                    yield part.assign(low=d @ n, high=np.sqrt(d * d + v) @ n)
-
+    per_cohort = max(16, (cuts or MEDOID_CELLS // max(1, n_cohorts)))
+    thousandths = [i / 1000 for i in range(1, 1000)]
+    spread = merged.agg(*[F.percentile_approx(t, thousandths, 10_000).alias(t) for t in traits]).first()  # 999 numbers a trait
     kind = dict(merged.dtypes)["_key"]
     shape = "_c string, " + ", ".join(f"`{t}` double" for t in traits) + f", _n long, _key {kind}, low double, high double"
-    bounded = cut_lineage(merged.mapInPandas(bounds, shape), "medoid-bounds")
-    best = bounded.groupBy("_c").agg(F.min("high").alias("_best"))
-    alive = bounded.join(best, "_c").where(F.col("low") <= F.col("_best") * (1 + 1e-12) + 1e-9).drop("_best")
-    left = alive.count()
-    if left > MEDOID_SURVIVORS and per_dim < 1024:
-        return medoid(df, traits, key, by, candidates, per_dim * 4)
+
+    def narrowed(left: DataFrame, cells: int) -> DataFrame:
+        """The points of ``left`` that can still win, by a grid of so many cells a cohort."""
+        shares = _cuts_by_spread([(spread[t] or [0.0])[-1] - (spread[t] or [0.0])[0] for t in traits], cells)
+        edges = {t: _thinned(spread[t] or [0.0], n) for t, n in zip(traits, shares)}
+        slot = lambda t: number_below(F.lit(edges[t]), F.col(t), len(edges[t]) + 1)
+        celled = merged.select("*", *[slot(t).alias(f"_s{i}") for i, t in enumerate(traits)])
+        w, dims = F.col("_n"), range(len(traits))
+        mean = [F.sum(F.col(t) * w) / F.sum(w) for t in traits]
+        pairs = [(i, j) for i in dims for j in range(i, len(traits))]
+        middle = celled.groupBy("_c", *[f"_s{i}" for i in dims]).agg(F.sum(w).alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(mean)])
+        off = [F.col(t) - F.col(f"m{i}") for i, t in enumerate(traits)]
+        stats = celled.join(middle, ["_c", *[f"_s{i}" for i in dims]]).groupBy("_c", *[f"_s{i}" for i in dims]).agg(
+            F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in dims], *[F.max(F.abs(off[i])).alias(f"h{i}") for i in dims],
+            *[F.sum(off[i] * off[j] * w).alias(f"c{i}_{j}") for i, j in pairs],
+        )
+        summaries = stats.toPandas()  # at most MEDOID_CELLS rows of summaries
+        book = {
+            c: (g["n"].to_numpy(float), g[[f"m{i}" for i in dims]].to_numpy(float), g[[f"h{i}" for i in dims]].to_numpy(float), {p: g[f"c{p[0]}_{p[1]}"].to_numpy(float) for p in pairs})
+            for c, g in summaries.groupby("_c")
+        }
+        shared = spark.sparkContext.broadcast(book)
+
+        def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for c, g in b.groupby("_c"):
+                    step = max(1, MEDOID_PAIRS // len(shared.value[c][0]))
+                    for lo in range(0, len(g), step):
+                        part = g.iloc[lo : lo + step]
+                        low, high = _sum_bounds(part[traits].to_numpy(float), *shared.value[c])
+                        yield part.assign(low=low, high=high)
+
+        bounded = cut_lineage(left.mapInPandas(bounds, shape), "medoid-bounds")
+        best = bounded.groupBy("_c").agg(F.min("high").alias("_best"))
+        return bounded.join(best, "_c").where(F.col("low") <= F.col("_best") * (1 + 1e-9) + 1e-6).select(*merged.columns)
+
+    # a coarse grid for all points, the fine one for those it leaves
+    alive = narrowed(narrowed(merged, max(16, per_cohort // 32)), per_cohort)
     alive = cut_lineage(alive.select("_c", "_key", *[F.col(t).alias(f"_a_{t}") for t in traits]), "medoid-alive")
     # survivors meet their cohort's points on salted blocks; sums combine before the shuffle
     blocks = 32

@@ -268,3 +268,25 @@ def test_number_below_halves(spark):
     table = spark.createDataFrame([(c, float(v)) for c in cuts for v in range(-1, 18)], "cuts array<double>, v double")
     for r in table.withColumn("n", R.number_below("cuts", F.col("v"), 200)).collect():
         assert r["n"] == sum(c < r["v"] for c in r["cuts"])
+
+
+def test_medoid_bounds_hold_and_stay_narrow_in_long_cells(spark):
+    rng = np.random.default_rng(5)
+    pts = np.round(np.c_[rng.gamma(2.0, 120.0, 3000), 24.0 * rng.integers(1, 2400, 3000)], 6)  # far longer than wide
+    cell = np.minimum(pts[:, 1] // 2400, 23).astype(int)
+    groups = [pts[cell == k] for k in np.unique(cell)]
+    n, m = np.array([len(g) for g in groups], float), np.array([g.mean(axis=0) for g in groups])
+    off = [g - g.mean(axis=0) for g in groups]
+    h = np.array([np.abs(o).max(axis=0) for o in off])
+    c = {(i, j): np.array([(o[:, i] * o[:, j]).sum() for o in off]) for i in range(2) for j in range(i, 2)}
+    low, high = P._sum_bounds(pts[:300], n, m, h, c)
+    true = np.sqrt(((pts[:300, None] - pts[None]) ** 2).sum(axis=2)).sum(axis=1)
+    d = np.sqrt(((pts[:300, None] - m[None]) ** 2).sum(axis=2))
+    plain = np.sqrt(d * d + (c[0, 0] + c[1, 1]) / n) @ n
+    assert (low <= true + 1e-6).all() and (true <= high + 1e-6).all()
+    assert ((high - low) < 0.9 * (plain - low)).all()
+    assert P._cuts_by_spread([500.0, 50_000.0], 10_000) == [10, 1000]
+    df = spark.createDataFrame([(str(i), "ab"[i % 2], float(x), float(y)) for i, (x, y) in enumerate(pts)], "fire_id string, g string, x double, y double")
+    got = rows(P.medoid(df, ["x", "y"], by="g"), "g", "fire_id")
+    full = np.round(np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2)), 12)
+    assert got == [(g, str(min(range(k, 3000, 2), key=lambda i: (round(full[i, k::2].sum(), 6), str(i))))) for k, g in enumerate("ab")]
