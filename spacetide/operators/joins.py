@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.ranking import quantile_table
 from ..model import CELL
+from ..session import cut_lineage
 from .neighbors import knn_join
 
 KM_PER_DEGREE = C.EARTH_RADIUS_KM * math.pi / 180
@@ -262,6 +263,26 @@ def _within_radius(places: DataFrame, radius: float) -> DataFrame:
     return out.where(F.col("distance") <= radius).select("source", "target", "distance")
 
 
+def _near_candidates(places: DataFrame, radius: float, k: int) -> DataFrame:
+    """source, target, distance within ``radius``, both directions: the ``k`` nearest of every place among them.
+
+    Places outside the degree range bring their k nearest by a neighbour search, not everything within the radius, as sources
+    and as targets. Two degree places meet on tiles: their distance is no straight line.
+    """
+    places = cut_lineage(places.select("space", "y", "x"), "places")
+    degrees = F.coalesce((F.abs("x") <= 180) & (F.abs("y") <= 90), F.lit(False))
+    globe, plane, every = places.where(degrees), places.where(~degrees), places
+    near = _within_radius(globe, radius)
+    both = near.unionByName(near.select(F.col("target").alias("source"), F.col("source").alias("target"), "distance"))
+    points = lambda p: p.select(F.col("space").alias("id"), "y", "x")
+    if plane.isEmpty():
+        return both
+    found = knn_join(points(every), points(plane), k, ["y", "x"]).unionByName(knn_join(points(plane), points(globe), k, ["y", "x"]))
+    pairs = found.select(F.col("query_id").alias("source"), F.col("neighbor_id").alias("target"))
+    measured = pairs.join(_ends(places, "source"), "source").join(_ends(places, "target"), "target").withColumn("distance", _distance())
+    return both.unionByName(measured.where(F.col("distance") <= radius).select("source", "target", "distance"))
+
+
 def _nearest_k(places: DataFrame, k: int) -> DataFrame:
     """k nearest of every place, both directions merged to source < target.
 
@@ -328,12 +349,10 @@ def spatial_pairs(places: DataFrame, mode: str = "neighbors", *, radius: float |
         raise ValueError("k must be at least 1")
     if radius is None:
         return _every_pair(places) if k is None else _nearest_k(places, k)
-    near = _within_radius(places, radius)
     if k is None:
-        return near
-    both = near.unionByName(near.select(F.col("target").alias("source"), F.col("source").alias("target"), "distance"))
+        return _within_radius(places, radius)
     order = W.partitionBy("source").orderBy(F.round("distance", 9), "target")
-    kept = both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    kept = _near_candidates(places, radius, k).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     return kept.select(
         F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "distance"
     ).dropDuplicates(["source", "target"])

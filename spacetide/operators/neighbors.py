@@ -102,7 +102,7 @@ class SplitTree:
 
 
 def _best(queries: np.ndarray, targets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and rounded distances of the k nearest targets, in blocks of bounded size."""
+    """Indices and rounded distances of the k nearest targets, earlier ones first on ties, in blocks of bounded size."""
     k = min(k, len(targets))
     rows, dists = [], []
     step = max(1, 4_000_000 // max(1, len(targets)))
@@ -178,6 +178,10 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
             [{"distance": float(x), "ids": ids[j]} for x, j in zip(dr, ir)] for dr, ir in zip(dist, idx)
         ]
 
+    def by_id(mine: pd.DataFrame) -> pd.DataFrame:
+        """Targets by their smallest id, which ties go to."""
+        return mine.iloc[np.argsort(mine["ids"].str[0].to_numpy(), kind="stable")]
+
     none = pd.Series([], dtype=object)
     no_coord = {c: none.astype(float) for c in cols}
 
@@ -188,6 +192,7 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
         radius = np.full(len(asked), np.inf)
         found: list = [[] for _ in range(len(asked))]
         if len(mine):
+            mine = by_id(mine)
             ids = [list(v) for v in mine["ids"]]
             counts = np.array([len(v) for v in ids])
             idx, dist = _best(xy, mine[cols].to_numpy(float), extra)
@@ -219,6 +224,7 @@ def knn_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[str]
         def other_leaf(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if mine.empty or asked.empty:
                 return pd.DataFrame({**no_coord, "found": none})
+            mine = by_id(mine)
             idx, dist = _best(asked[cols].to_numpy(float), mine[cols].to_numpy(float), extra)
             ids = [list(v) for v in mine["ids"]]
             return pd.DataFrame({**{c: asked[c].to_numpy() for c in cols}, "found": pack(dist, idx, ids)})

@@ -290,3 +290,22 @@ def test_medoid_bounds_hold_and_stay_narrow_in_long_cells(spark):
     got = rows(P.medoid(df, ["x", "y"], by="g"), "g", "fire_id")
     full = np.round(np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2)), 12)
     assert got == [(g, str(min(range(k, 3000, 2), key=lambda i: (round(full[i, k::2].sum(), 6), str(i))))) for k, g in enumerate("ab")]
+
+
+def test_radius_with_k_brings_only_the_nearest_of_places_beyond_degrees(spark):
+    cells = [(y * 10 + x, float(y), float(x)) for y in range(87, 99) for x in range(10)]  # degrees end at 90; four neighbours tie
+    p = spark.createDataFrame(cells, "space long, y double, x double").repartition(7, "space")
+
+    def km(a, b):
+        if abs(a[1]) > 90 or abs(b[1]) > 90:
+            return float(np.hypot(a[1] - b[1], a[2] - b[2]))
+        u, v = np.radians(a[1:]), np.radians(b[1:])
+        return float(2 * 6371.0088 * np.arcsin(np.sqrt(np.sin((v[0] - u[0]) / 2) ** 2 + np.cos(u[0]) * np.cos(v[0]) * np.sin((v[1] - u[1]) / 2) ** 2)))
+
+    want = set()
+    for a in cells:
+        near = sorted((round(km(a, b), 9), b[0]) for b in cells if b is not a and km(a, b) <= 120)[:3]
+        want |= {(min(a[0], t), max(a[0], t)) for _, t in near}
+    assert rows(joins.spatial_pairs(p, "neighbors", radius=120, k=3), "source", "target") == sorted(want)
+    per_place = joins._near_candidates(p, 120.0, 3).where("source > 910").groupBy("source").count().agg(F.max("count")).first()[0]
+    assert per_place <= 3  # each met every place within the radius before
