@@ -203,3 +203,18 @@ def test_tubes_never_broadcast_their_stages(spark):
     hashed = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert plan.count("SortMergeJoin") >= 3
     assert all("[_c#" in line for line in hashed)  # the base of the numbering: a fourth root of the voxel count
+
+
+def test_user_statistic_packs_a_cell_once(spark):
+    made = [(D0 + dt.timedelta(d), float(y), 0.0, None if (d + y) % 5 == 0 else float((d * 7 + y * 3) % 11)) for d in (0, 1, 2, 4, 5, 9) for y in range(3) if d != 4 or y]
+    cube = spark.createDataFrame(made, "time date, y double, x double, value double").withColumns({"y_idx": F.col("y").cast("long"), "x_idx": F.col("x").cast("long")})
+    out = V.rolling_pairwise_stat(cube, lambda x, y: x.max() - y.min() if len(x) else float("nan"), 4, 3)
+    at = {(t, y): v for t, y, _, v in made}
+    want = []
+    for d in (2, 4, 5):  # three or more days of the axis in the window
+        for y in range(3):
+            inside = [(at[t, float(y)], at.get((t, 1.0))) for t in (D0 + dt.timedelta(k) for k in range(d - 4, d + 1)) if (t, float(y)) in at]
+            both = [(a, b) for a, b in inside if a is not None and b is not None]
+            want.append((D0 + dt.timedelta(d), y, max(a for a, _ in both) - min(b for _, b in both) if both else None))
+    assert rows(out, "window_end", "y_idx", "value") == want
+    assert "AggregateInPandas" not in out._jdf.queryExecution().executedPlan().toString()  # a Python call and a copy a window before
