@@ -31,9 +31,10 @@ CELL_POINTS = 8192
 BLOCK_POINTS = 32_768
 MAX_PIVOTS = 4096
 SAMPLE_PER_PIVOT = 16
-QUERIES_PER_TASK = 50_000
+QUERIES_PER_TASK = 16_384
 PREFIX_AXES = 12
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1 << 20
+EXACT_AT_ONCE = 1 << 16
 _TIE = 2e-9  # distances are rounded to 9 digits
 
 
@@ -74,12 +75,14 @@ class Cells:
         for r in rows:
             self.count[r["cell"]], self.low[r["cell"]], self.high[r["cell"]] = r["n"], r["low"], r["high"]
         self.blocks = -(-self.count // BLOCK_POINTS)
+        self.first = np.cumsum(self.blocks) - self.blocks  # number of each cell's first block
         self.slack = 1e-6 * (1 + float(np.abs(self.pivots).max()))  # distances to pivots are computed fast, not exactly
 
     def reached(self, x: np.ndarray, radius: np.ndarray) -> list[np.ndarray]:
-        """Cells that may hold a target within each radius."""
+        """Numbers of the blocks that may hold a target within each radius."""
         out = []
         step = max(1, PAIRS_AT_ONCE // len(self.pivots))
+        of = np.repeat(np.arange(len(self.blocks)), self.blocks)  # cell of each block
         for lo in range(0, len(x), step):
             d = self.distances(x[lo : lo + step])
             own = d.argmin(axis=1)
@@ -88,20 +91,25 @@ class Cells:
             plane = np.where(np.isfinite(plane), plane, 0)
             least = np.maximum(np.maximum(d - self.high, self.low - d), plane)
             hit = (least <= radius[lo : lo + step, None] + self.slack) & (self.count > 0)
-            out += [np.flatnonzero(row) for row in hit]
+            out += [np.flatnonzero(row[of]).astype(np.int32) for row in hit]
         return out
 
     def turned(self, x: np.ndarray) -> np.ndarray:
         return (x - self.middle) @ self.axes
 
 
-def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.round(np.sqrt(((x - y) ** 2).sum(axis=1)), 9)
+def _exact(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of the pairs of rows (r, c), to 9 digits."""
+    out = np.empty(len(r))
+    for lo in range(0, len(r), EXACT_AT_ONCE):
+        part = slice(lo, lo + EXACT_AT_ONCE)
+        out[part] = np.round(np.sqrt(((x[r[part]] - y[c[part]]) ** 2).sum(axis=1)), 9)
+    return out
 
 
-def _pairs_within(q: np.ndarray, t: np.ndarray, limit: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Candidate pairs (query, target) in rotated axes: those within ``limit``, or around the k nearest; and pairs computed over all axes."""
-    rows, cols, full = [], [], 0
+def _pairs_within(q: np.ndarray, t: np.ndarray, limit: np.ndarray | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Candidate pairs (query, target) in rotated axes, some queries at a time: those within ``limit``, or around the k nearest; and pairs
+    computed over all axes."""
     t_sq, head = (t**2).sum(axis=1), t[:, :PREFIX_AXES]
     h_sq = (head**2).sum(axis=1)
     step = max(1, PAIRS_AT_ONCE // max(1, len(t)))
@@ -115,41 +123,39 @@ def _pairs_within(q: np.ndarray, t: np.ndarray, limit: np.ndarray | None, k: int
             near = (own**2).sum(axis=1)[:, None] + h_sq - 2 * own @ head.T <= top
             r, c = np.nonzero(near)
             if len(r) * 8 < near.size:
-                rows.append(r + lo)
-                cols.append(c)
-                full += len(r)
+                yield r + lo, c, len(r)
                 continue
         sq = p_sq[:, None] + t_sq - 2 * part @ t.T
-        full += sq.size
         at = min(k, len(t)) - 1
         kth = (np.sqrt(np.clip(np.partition(sq, at, axis=1)[:, at : at + 1], 0, None)) + _TIE) ** 2 + 2 * margin
         top = kth if limit is None else np.minimum(top, kth)
         r, c = np.nonzero(sq <= top)
-        rows.append(r + lo)
-        cols.append(c)
-    return np.concatenate(rows), np.concatenate(cols), full
+        yield r + lo, c, sq.size
 
 
 def _lists(asked: pd.DataFrame, mine: pd.DataFrame, cells: Cells, limit: np.ndarray | None, k: int) -> tuple[list, np.ndarray, int]:
-    """Per query its candidates as ``(distance, ids)`` in order, k distinct vectors at most; the distance by which k ids are found; pairs in full."""
+    """Per query its candidates as ``(distance, ids)`` in order, k distinct vectors at most; the distance by which k ids are found; pairs in full.
+
+    The candidates of some queries are cut to k before those of the next are looked for.
+    """
     x, y = np.stack(asked["v"]), np.stack(mine["v"])
     ids = [list(v) for v in mine["ids"]]
     many = np.array([len(v) for v in ids])
-    r, c, full = _pairs_within(cells.turned(x), cells.turned(y), limit, k)
-    d = _exact(x[r], y[c])
     first = np.array([v[0] for v in ids], dtype=object)
     by_id = np.argsort(np.argsort(first, kind="stable"), kind="stable")
-    order = np.lexsort((by_id[c], d, r))
-    r, c, d = r[order], c[order], d[order]
-    begin = np.searchsorted(r, np.arange(len(x)))
-    end = np.searchsorted(r, np.arange(len(x)), "right")
-    found, radius = [], np.full(len(x), np.inf)
-    for i, (a, b) in enumerate(zip(begin, end)):
-        b = min(b, a + k)
-        found.append([{"distance": float(d[j]), "ids": ids[c[j]]} for j in range(a, b)])
-        have = np.cumsum(many[c[a:b]])
-        if len(have) and have[-1] >= k:
-            radius[i] = d[a + int(np.searchsorted(have, k))]
+    found, radius, full = [[] for _ in range(len(x))], np.full(len(x), np.inf), 0
+    for r, c, n in _pairs_within(cells.turned(x), cells.turned(y), limit, k):
+        full += n
+        d = _exact(x, y, r, c)
+        order = np.lexsort((by_id[c], d, r))
+        r, c, d = r[order], c[order], d[order]
+        begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][: len(r)])
+        for a, b in zip(begin, np.r_[begin[1:], len(r)]):
+            i, b = r[a], min(b, a + k)
+            found[i] = [{"distance": float(d[j]), "ids": ids[c[j]]} for j in range(a, b)]
+            have = np.cumsum(many[c[a:b]])
+            if have[-1] >= k:
+                radius[i] = d[a + int(np.searchsorted(have, k))]
     return found, radius, full
 
 
@@ -198,24 +204,24 @@ def pivot_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[st
     t = cut_lineage(merged.mapInPandas(with_cell, f"v array<double>, ids array<{id_type}>, cell long, away double"), "vectors-cells")
     cells.describe(t.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect())  # a row a pivot
     known = spark.sparkContext.broadcast(cells)
-    n_blocks = F.array(*[F.lit(int(b)) for b in cells.blocks])
-    t = t.withColumn("block", F.pmod(F.xxhash64("v"), F.get(n_blocks, F.col("cell").cast("int"))).cast("int")).drop("away")
+    of_cell = lambda numbers: F.get(F.array(*[F.lit(int(b)) for b in numbers]), F.col("cell").cast("int"))
+    t = t.withColumn("block", (of_cell(cells.first) + F.pmod(F.xxhash64("v"), of_cell(cells.blocks))).cast("int")).drop("away", "cell")
 
     def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled = np.flatnonzero(known.value.count)
         for b in batches:
             if len(b):
                 cell = filled[known.value.distances(np.stack(b["v"]))[:, filled].argmin(axis=1)]
-                yield b.assign(cell=cell, block=b["pid"].to_numpy() % known.value.blocks[cell])
+                yield b.assign(block=known.value.first[cell] + b["pid"].to_numpy() % known.value.blocks[cell])
 
-    q = places.mapInPandas(at_home, "v array<double>, pid long, cell long, block int")
+    q = places.mapInPandas(at_home, "v array<double>, pid long, block int")
 
     def dealt(asked: DataFrame) -> tuple:
-        """Targets and queries by (cell, block, salt): as many salts as a block's queries need, its targets in each."""
-        load = asked.groupBy("cell", "block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("_n"))
-        mine = t.join(load, ["cell", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-        asked = asked.join(load, ["cell", "block"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("_n")).cast("int")).drop("_n")
-        return mine.groupBy("cell", "block", "salt").cogroup(asked.groupBy("cell", "block", "salt"))
+        """Targets and queries by (block, salt): as many salts as a block's queries need, its targets in each."""
+        load = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("_n"))
+        mine = t.join(load, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        asked = asked.join(load, "block").withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("_n")).cast("int")).drop("_n")
+        return mine.groupBy("block", "salt").cogroup(asked.groupBy("block", "salt"))
 
     listed = f"array<struct<distance: double, ids: array<{id_type}>>>"
     empty = pd.DataFrame({c: pd.Series([], dtype=object) for c in ("pid", "found", "looked", "full", "v", "radius", "away")})
@@ -224,16 +230,13 @@ def pivot_join(targets: DataFrame, queries: DataFrame, k: int, cols: Sequence[st
         if asked.empty or mine.empty:
             return empty
         found, radius, full = _lists(asked, mine, known.value, None, extra)
-        here, block = int(key[0]), int(key[1])
-        away = []
-        for reach in known.value.reached(np.stack(asked["v"]), radius):
-            away.append([{"cell": int(c), "block": b} for c in reach for b in range(known.value.blocks[c]) if (c, b) != (here, block)])
+        away = [reach[reach != int(key[0])] for reach in known.value.reached(np.stack(asked["v"]), radius)]
         share = np.r_[full, np.zeros(len(asked) - 1, np.int64)]
         return pd.DataFrame({"pid": asked["pid"], "found": found, "looked": len(mine), "full": share, "v": asked["v"], "radius": radius, "away": away})
 
-    near = dealt(q).applyInPandas(own_block, f"pid long, found {listed}, looked long, full long, v array<double>, radius double, away array<struct<cell: long, block: int>>")
+    near = dealt(q).applyInPandas(own_block, f"pid long, found {listed}, looked long, full long, v array<double>, radius double, away array<int>")
     near = cut_lineage(near, "vectors-near")
-    asked = near.select("pid", "v", "radius", F.explode("away").alias("a")).select("pid", "v", "radius", "a.cell", "a.block")
+    asked = near.select("pid", "v", "radius", F.explode("away").alias("block"))
 
     def other_block(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or mine.empty:

@@ -130,3 +130,22 @@ def test_exposure_areas_equal_counted_cells(spark):
     for distances, cell in (([2000.0, 5500.0], 1000.0), ([1500.0], 2000.0)):
         cells = hull.exposure_zones(df, distances, cell).distinct()
         assert rows(hull.exposure_areas(df, distances, cell), *cols) == rows(hull.zone_areas(cells, cell), *cols)
+
+
+def test_near_pairs_of_a_block_are_cut_as_they_are_found():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = np.zeros((3000, 64))
+    x[:, : vectors.PREFIX_AXES] = rng.normal(size=(3000, vectors.PREFIX_AXES))
+    cells = vectors.Cells(x[:500], 4)
+    d = np.sqrt(((x[:200, None] - x[None]) ** 2).sum(axis=2))
+    limit = np.full(len(x), np.quantile(d, 0.1))  # a tenth of all pairs lies within: 0.9 million
+    mine = pd.DataFrame({"v": list(x), "ids": [[i] for i in range(len(x))]})
+    tracemalloc.start()
+    found, _, full = vectors._lists(mine[["v"]], mine, cells, limit, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert full < 2_000_000 and peak < 200 << 20
+    for i in range(0, 200, 20):
+        assert [r["ids"][0] for r in found[i]] == np.argsort(d[i], kind="stable")[:6].tolist()
