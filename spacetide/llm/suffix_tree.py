@@ -38,6 +38,10 @@ HEAD_BYTES, HEAD_WORDS = 128, 100_000
 FLUSH, STEP = 1 << 18, 1 << 20
 #: Runs a task gathers before it passes them on; words whose hashes a worker keeps; most 64-bit words of a filter (a full one only lets more through).
 RUNS, HASHES, FILTER = 1 << 22, 500_000, 1 << 24
+#: Keys joined at once, which fit the processor's cache.
+CHUNK = 1 << 14
+#: Words in a piece of a filter (their places take two bytes), and pieces that the driver takes at once.
+PIECE, PIECES = 1 << 16, 16
 #: Words have no white space, so these marks are none.
 _START, _END = b"\t", b"\n"
 
@@ -89,15 +93,17 @@ def _join_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Keys of runs by those of the runs without their last and without their first word: Spark's ``xxhash64(a, b)``."""
     one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
-    out = np.full(len(a), 42, np.uint64)
-    for x in (a, b):
-        out = out + five + np.uint64(8)
-        out ^= turn(x * two, 31) * one
-        out = turn(out, 27) * one + four
+    whole = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), CHUNK):
+        out = np.full(len(a[i : i + CHUNK]), 42, np.uint64)
+        for x in (a[i : i + CHUNK], b[i : i + CHUNK]):
+            out = out + five + np.uint64(8)
+            out ^= turn(x * two, 31) * one
+            out = turn(out, 27) * one + four
         out = (out ^ out >> np.uint64(33)) * two
         out = (out ^ out >> np.uint64(29)) * three
-        out ^= out >> np.uint64(32)
-    return out
+        whole[i : i + CHUNK] = out ^ out >> np.uint64(32)
+    return whole
 
 
 def _keys(rows: list[list[bytes]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +126,8 @@ def _passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _filter(keys: DataFrame, width: int) -> np.ndarray:
-    """Filter over the longs in the first column, which lie together by their upper bits, so that tasks send about ``width`` words in all."""
+    """Filter over the longs in the first column. Tasks write their words of each PIECE of it, and the driver takes a few pieces at a time."""
+    spark = keys.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [np.asarray(b.column(0)).view(np.uint64) for b in batches]
@@ -128,29 +135,71 @@ def _filter(keys: DataFrame, width: int) -> np.ndarray:
             at, bits = _bits(np.sort(np.concatenate(found)), width)
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])[: len(at)]
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array(np.bitwise_or.reduceat(bits, first).view(np.int64))], names=["at", "bits"])
-
-    got = keys.mapInArrow(run, "at long, bits long").toArrow()
+                at, bits = at[first], np.bitwise_or.reduceat(bits, first)
+                cut = np.searchsorted(at, np.arange(0, width + PIECE, PIECE)).tolist()
+                for i in (i for i in range(len(cut) - 1) if cut[i + 1] > cut[i]):
+                    held = [(x[cut[i] : cut[i + 1]] - y).astype(kind).tobytes() for x, y, kind in ((at, i * PIECE, "<u2"), (bits, np.uint64(0), "<u8"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([x], pa.binary()) for x in held]], names=["piece", "at", "bits"])
+
+    path = scratch_path(spark, "filter")
+    keys.mapInArrow(run, "piece int, at binary, bits binary").write.parquet(path)
+    pieces = spark.read.schema("piece int, at binary, bits binary").parquet(path)
     out = np.zeros(width, np.uint64)
-    np.bitwise_or.at(out, got["at"].to_numpy(), got["bits"].to_numpy().view(np.uint64))
+    for i in range(0, -(-width // PIECE), PIECES):
+        got = pieces.filter(F.col("piece").between(i, i + PIECES - 1)).toArrow()
+        for batch in got.to_batches():
+            for piece, at, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                out[piece * PIECE + np.frombuffer(at, "<u2").astype(np.int64)] |= np.frombuffer(bits, "<u8")  # no place twice in a row
+    drop_path(spark, path)
     return out
 
 
+def _floor(counts: DataFrame, most: int) -> int:
+    """Least n of the column ``n`` that at most ``most`` rows exceed, 0 if there are no more. Distinct counts are few, as their sum is bounded by the tokens."""
+    got = counts.groupBy("n").agg(F.count("*").alias("rows")).toArrow()
+    n, rows = got["n"].to_numpy(), got["rows"].to_numpy()
+    order = np.argsort(-n)
+    over = np.flatnonzero(np.cumsum(rows[order]) > most)
+    return int(n[order][over[0]]) if len(over) else 0
+
+
+def _filled(parts: Iterator[tuple[np.ndarray, ...]], kinds: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays of the parts one behind the other, RUNS of them at a time; the next ones take the place of the last."""
+    held, size = [np.empty(RUNS, kind) for kind in kinds], 0
+    for part in parts:
+        at = 0
+        while at < len(part[0]):
+            n = min(RUNS - size, len(part[0]) - at)
+            for into, x in zip(held, part):
+                into[size : size + n] = x[at : at + n]
+            size, at = size + n, at + n
+            if size == RUNS:
+                yield tuple(held)
+                size = 0
+    if size:
+        yield tuple(x[:size] for x in held)
+
+
 def _dealt(key: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     """Columns of sorted keys as one row a bucket: equal keys have equal buckets, and a bucket is a range of keys."""
-    bucket = (key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    cut = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64)).tolist()
-    full = [i for i in range(parts) if cut[i + 1] > cut[i]]
-    blobs = [pa.array([c[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()) for c in columns]
+    cut = np.r_[np.searchsorted(key, np.array([-(-(i << 32) // parts) << 32 for i in range(parts)], np.uint64)), len(key)]
+    full = np.flatnonzero(np.diff(cut))
+    ends = np.r_[cut[full], len(key)]
+    blobs = []
+    for c in columns:
+        c = np.ascontiguousarray(c)
+        blobs.append(pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(c)]))
     for i in range(0, len(full), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32())[i : i + 64], *[b[i : i + 64] for b in blobs]], names=["bucket", *[f"c{k}" for k in range(len(blobs))]])
+        yield pa.RecordBatch.from_arrays([pa.array(full[i : i + 64], pa.int32()), *[b[i : i + 64] for b in blobs]], names=["bucket", *[f"c{k}" for k in range(len(blobs))]])
 
 
-def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, a place of each, and the sum of each one's ``n``."""
+def _sums(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sum of each one's ``n`` (without it, how often it is there)."""
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+    if n is None:
+        return key[first], order[first], np.diff(np.r_[first, len(key)])
     return key[first], order[first], np.add.reduceat(n[order], first) if len(key) else n
 
 
@@ -158,27 +207,20 @@ def _runs(train: DataFrame, text: str, order: int, contexts, parts: int) -> Data
     """``(key, prefix, suffix, n)`` of all runs of ``order`` words that occur LEAST times; ``contexts``: filter over the runs of a word
     less that occur CONTEXT times, which have to come first (what else it lets through is dropped by a join later)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            before, after, n = (np.concatenate(x) for x in zip(*held))
-            key, place, n = _sums(_join_keys(before, after), n)
-            return _dealt(key, [before[place], after[place], n.astype("<u4")], parts)  # the key follows from the two
-
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        hashes = _Hashes()
         for part in chain.from_iterable(steps(b, 0, STEP) for b in batches):
             rows = [[_START, *raw.lower().split(), _END] for raw in raw_texts(part.column(0))]
             key, place = _keys(rows, hashes)
             for _ in range(order - 2):
                 key = np.r_[np.uint64(0), _join_keys(key[:-1], key[1:])]
             at = np.flatnonzero((place >= order - 1) & np.r_[False, _passes(contexts.value, key[:-1])])
-            held.append((key[at - 1], key[at], np.ones(len(at), np.int64)))
-            size += len(at)
-            if size > RUNS:
-                yield from out()
-                held, size = [], 0
-        if held:
-            yield from out()
+            yield key[at - 1], key[at]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for before, after in _filled(pairs(batches), ("<u8", "<u8")):
+            key, place, n = _sums(_join_keys(before, after))
+            yield from _dealt(key, [before[place], after[place], n.astype("<u4")], parts)  # the key follows from the two
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -231,6 +273,7 @@ def _tree(train: DataFrame, text: str, words: DataFrame, n_texts: int, discount:
         stages.append(scratch_path(spark, "runs"))
         _runs(train, text, order, contexts, parts).write.parquet(stages[-1])
         runs = spark.read.parquet(stages[-1])
+        contexts.destroy()
         if order <= DEPTH:
             contexts = spark.sparkContext.broadcast(_filter(runs.filter(F.col("n") >= CONTEXT).select("key"), width))
         stages.append(scratch_path(spark, "level"))
@@ -252,30 +295,20 @@ def _tree(train: DataFrame, text: str, words: DataFrame, n_texts: int, discount:
 def _looked_up(asked: DataFrame, values: DataFrame, parts: int) -> DataFrame:
     """``(row, tree)``: sum of the values of the keys in the binary column 1 of ``asked``; rows without any are left out."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            row, key = (np.concatenate(x) for x in zip(*held))
-            order, base = np.argsort(key), int(row.min())
-            for b in _dealt(key[order], [key[order], (row - base)[order].astype("<u4")], parts):
-                yield b.append_column("base", pa.array(np.full(b.num_rows, base)))
-
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
-            for row, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key = np.frombuffer(blob, "<u8")
-                if held and abs(row - int(held[0][0][0])) >= 1 << 31:
-                    yield from out()
-                    held, size = [], 0
-                if not len(key):
-                    continue
-                held.append((np.full(len(key), row), key))
-                size += len(key)
-                if size > RUNS:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+            for row, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                key = np.frombuffer(blob.as_buffer(), "<u8")
+                yield np.broadcast_to(np.int64(row), len(key)), key
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, key in _filled(keys(batches), ("<i8", "<u8")):
+            high = row >> 31
+            cut = [0, *(np.flatnonzero(high[1:] != high[:-1]) + 1).tolist(), len(row)]
+            for i, j in zip(cut, cut[1:]):
+                order = np.argsort(key[i:j])
+                for b in _dealt(key[i:j][order], [key[i:j][order], (row[i:j] & (1 << 31) - 1).astype("<u4")[order]], parts):
+                    yield b.append_column("base", pa.array(np.full(b.num_rows, int(high[i]) << 31)))
 
     def find(asked: pa.Table, known: pa.Table) -> pa.Table:
         key = np.frombuffer(b"".join(asked["c0"].to_pylist()), "<u8")
@@ -305,24 +338,23 @@ def scored(docs: DataFrame, train: DataFrame, text: str = "text", train_text: st
     words = cut_lineage(words, "word-counts")
     total, kinds, once, n_texts = (x or 0 for x in words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.max(F.when(F.col("word") == F.lit(_END), F.col("n")))).first())
     short = words.filter((F.length("word") <= HEAD_BYTES) & (F.col("word") != F.lit(_END)))
-    head = short.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    number = {_START: 0, _END: 1} | {bytes(r.word): i for i, r in enumerate(head, 2)}
-    counts = np.array([n_texts, n_texts, *[r.n for r in head]], np.int64)
-    edge = int(head[-1].n) if len(head) == HEAD_WORDS else 0  # all shorter words above it are in the head
+    edge = _floor(short, HEAD_WORDS)  # all shorter words above it are in the head
+    head = short.filter(F.col("n") > edge).select("word", "n").toArrow()
+    number = {_START: 0, _END: 1} | {w: i for i, w in enumerate(head["word"].to_pylist(), 2)}
+    counts = np.r_[n_texts, n_texts, head["n"].to_numpy()].astype(np.int64)
     number_ = spark.sparkContext.broadcast(number)
     # an unknown word is one event, as in the baseline; it gets what a constant discount takes from all counts
     discount = min(0.9, max(once, 1) / kinds) if kinds else 0.0
     unknown = discount * kinds / total if total else 1.0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     values = _tree(train, train_text, words, n_texts, discount, total, parts)
-    longer = values.filter("run_order > 1 OR n >= " + str(max(edge, 1)))
-    last = longer.select("n").orderBy(F.desc("n")).offset(HOT).limit(1).collect()
-    most = F.when(F.col("run_order") == 1, F.col("n") >= max(edge, 1)).otherwise(F.col("n") > (last[0]["n"] if last else 0))
+    floor = _floor(values.filter("run_order > 1 OR n >= " + str(max(edge, 1))), HOT)
+    most = F.when(F.col("run_order") == 1, F.col("n") >= max(edge, 1)).otherwise(F.col("n") > floor)
     hot = values.filter(most).select("key", "value").toArrow()
     hot_keys, _, hot_values = _sums(hot["key"].to_numpy().view(np.uint64), hot["value"].to_numpy())
     at = _find(hot_keys, np.array([xxhash.xxh64_intdigest(w, 42) for w in number], np.uint64))
     backs = np.where(at >= 0, hot_values[at], 0.0) if len(hot_keys) else np.zeros(len(number))
-    filter_ = _filter(values.select("key"), min(FILTER, 1 << max(10, (total // 16).bit_length())))
+    filter_ = _filter(values.select("key"), min(FILTER, 1 << max(10, (values.count() // 4).bit_length())))  # 16 bits a key at least
     root = np.log10(np.maximum(counts - discount, 1e-9) / max(total, 1))
     model = spark.sparkContext.broadcast((root, np.log10(counts + 1.0), backs, filter_, hot_keys, hot_values))
     list_kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from __spark_entry__ import queries
 from llm_fixtures import odd_docs, odd_rows  # noqa: F401
-from spacetide.llm import huffman_ids, packing, prefix_trie, whitening
+from spacetide.llm import huffman_ids, packing, prefix_trie, suffix_tree, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -231,3 +231,45 @@ def test_added_tokens_as_the_library_finds_them():
     texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "<|endoftext|> é", "<|endof", "in<|endoftext|>side", "", "plain text"]
     ids = huffman_ids.text_ids([t.encode() for t in texts], BYTE_BPE)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_filter_and_floor_come_to_the_driver_in_pieces(spark, monkeypatch):
+    """A filter holds all keys, of which the driver never takes more than PIECES pieces of a task at once; no rows are sorted there."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    monkeypatch.setattr(suffix_tree, "PIECE", 1 << 8)
+    monkeypatch.setattr(suffix_tree, "PIECES", 2)
+    sizes, whole = [], Classic.toArrow
+
+    def seen(self):
+        out = whole(self)
+        sizes.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(Classic, "toArrow", seen)
+    keys = spark.range(0, 3000, numPartitions=3).select(F.xxhash64("id").alias("key"))
+    filter_ = suffix_tree._filter(keys, 1 << 11)
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+    assert suffix_tree._passes(filter_, np.array([r.key for r in keys.collect()], np.int64).view(np.uint64)).all()
+    plain = np.zeros(1 << 11, np.uint64)
+    at, bits = suffix_tree._bits(np.array([r.key for r in keys.collect()], np.int64).view(np.uint64), 1 << 11)
+    np.bitwise_or.at(plain, at, bits)
+    assert (filter_ == plain).all()
+    counts = spark.range(100).select((F.col("id") % 10).alias("n"))
+    assert [suffix_tree._floor(counts, most) for most in (0, 9, 10, 29, 99, 100)] == [9, 9, 8, 7, 0, 0]
+
+
+def test_runs_are_gathered_in_one_buffer(monkeypatch):
+    """Parts of any length pass whole and in order; sorted keys are dealt out by ranges, each bucket one row."""
+    monkeypatch.setattr(suffix_tree, "RUNS", 10)
+    parts = [np.arange(n, dtype=np.uint64) + np.uint64(100 * n) for n in (0, 3, 25, 10, 1)]
+    got = [(a.copy(), b.copy()) for a, b in suffix_tree._filled(iter([(x, x) for x in parts]), ("<u8", "<u8"))]
+    assert [len(a) for a, _ in got] == [10, 10, 10, 9]
+    assert all((np.concatenate(x) == np.concatenate(parts)).all() for x in zip(*got))
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for n in (1, 3, 32, 211):
+        dealt = [(bucket, np.frombuffer(x, "<u8")) for b in suffix_tree._dealt(key, [key], n) for bucket, x in zip(*(c.to_pylist() for c in b.columns))]
+        assert (np.concatenate([x for _, x in dealt]) == key).all()
+        assert all(((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32) == np.uint64(bucket)).all() for bucket, x in dealt)
+    assert not list(suffix_tree._dealt(key[:0], [key[:0]], 4))
