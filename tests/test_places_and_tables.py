@@ -268,3 +268,29 @@ def test_spans_of_a_day_are_merged_for_all_rows_at_once():
             for x in range(a, b + 1):
                 first[x] = min(first.get(x, d), d)
         assert {x: r["s"] for r in runs for x in range(r["x0"], r["x1"] + 1)} == first
+
+
+def test_exposure_areas_over_tiles_and_shapes(spark, monkeypatch):
+    """Rasters cut into tiles, or stacked by shape, count the cells of :func:`exposure_zones`; rings that miss every centre have no zone."""
+    import datetime as dt
+
+    import numpy as np
+
+    from spacetide.operators import geometry as G
+    from spacetide.operators import hull, zones
+
+    rng = np.random.default_rng(11)
+    data = [(f"f{i % 5}", dt.date(1969, 12, 28) + dt.timedelta(days=int(rng.integers(0, 6))), *rng.uniform(-20_000, 20_000, 2).tolist(), float(rng.uniform(100, 5_000))) for i in range(40)]
+    df = spark.createDataFrame([*data, ("tiny", dt.date(2020, 1, 1), 100.0, 100.0, 50.0)], "fire_id string, date date, x double, y double, r double")
+    box = G.box_ring(F.round("x", -3) - 500, F.round("y", -3) - 500, F.round("x", -3) + 2500, F.round("y", -3) + 1500)  # sides that run through centres
+    df = df.select("fire_id", "date", F.when(F.col("r") > 2500, box).otherwise(G.regular_ring(F.col("x"), F.col("y"), F.col("r"), 9)).alias("ring"))
+    cols = ["fire_id", "date", "exposure_zone", "extension_distance_m", "exposure_area_km2"]
+    plain = rows(hull.zone_areas(hull.exposure_zones(df, [1000.0, 4200.0], 1000.0).distinct(), 1000.0), *cols)
+    assert rows(hull.exposure_areas(df, [1000.0, 4200.0], 1000.0), *cols) == plain
+    per = df.withColumn("s", F.datediff("date", F.lit("1970-01-01").cast("date"))).groupBy("fire_id").agg(F.collect_list(F.struct("s", "ring")))
+    batches = per.toArrow().combine_chunks().to_batches()
+    for tile, cells in ((16, 1 << 21), (1024, 5000)):
+        monkeypatch.setattr(zones, "TILE", tile)
+        monkeypatch.setattr(zones, "CELLS", cells)
+        got = [tuple(r) for b in zones.areas_of_batches(iter(batches), [1000.0, 4200.0], 1000.0, cols) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == plain
