@@ -174,7 +174,7 @@ def _(spark, d):
 
 @query("perimeter_exposure_build", "12.08 10.17")
 def _(spark, d):
-    zones = H.zone_areas(H.exposure_zones(perimeters(spark, d).select("fire_id", "date", "ring"), [5000.0], cell=5000.0), 5000.0)
+    zones = H.exposure_areas(perimeters(spark, d).select("fire_id", "date", "ring"), [5000.0], cell=5000.0)
     return G.perimeter_climate_job(zones, processing_version="p1")
 
 
