@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import verbs as V
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import cube as S
 from ..sources import tables as T
 from .inputs import CUBE, MULTI, PLACES, TRAITS, daily_growth, events_cube, multi_cube, places, rounded, table, traits
@@ -282,7 +282,7 @@ def _(spark, d):
 
 @query("file_checksums", "1.20")
 def _(spark, d):
-    inv = T.file_inventory(spark, d, "*.parquet")
+    inv = cut_lineage(T.file_inventory(spark, d, "*.parquet"), "inventory")
     wrong = F.when(F.col("file").startswith("region"), F.lit("0")).otherwise(F.col("sha256"))
     expected = inv.select("file", wrong.alias("sha256")).where("file <> 'part.parquet'")
     return T.verify_checksums(inv, expected).join(inv.select("file", "kind", "size_bytes"), "file")

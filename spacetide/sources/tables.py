@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import hashing
+from ..session import cut_lineage
 
 # Names under which the same attribute arrives: fixed values of the input formats.
 ALIASES = {
@@ -186,15 +190,80 @@ def write_table(df: DataFrame, root: str, table: str, *, fmt: str = "parquet", m
     return path
 
 
-def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, kind, size and sha256 of every file below ``path``; hashed on the executors."""
+_BOM = b"\xef\xbb\xbf"
+#: Files that the reader of lines would decompress.
+_PACKED = r"\.(gz|gzip|bz2|deflate|snappy|lz4|zst|zstd|lzo|xz)$"
+
+
+def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path and sha256 of files given as (path, size, bytes between line feeds), one file after the other.
+
+    The reader of lines leaves out a byte-order mark and does not say whether the last line ends in a line feed; the size tells both.
+    """
+    path, size, first, done = None, 0, [], 0
+    plain = marked = None
+
+    def ended() -> pa.RecordBatch:
+        mark = size - done >= len(_BOM)
+        digest = marked if mark else plain
+        digest.update(b"\n" * (size - done - len(_BOM) * mark))
+        return pa.RecordBatch.from_pydict({"path": [path], "sha256": [digest.hexdigest()]})
+
+    for b in batches:
+        paths, sizes = b.column(0).dictionary_encode(), b.column(1)
+        codes = paths.indices.to_numpy()
+        cut = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])[: len(codes)].tolist()
+        for i, j in zip(cut, [*cut[1:], len(codes)]):
+            of = paths.dictionary[int(codes[i])].as_py()
+            if of != path:
+                if path is not None:
+                    yield ended()
+                path, size, done, plain, marked = of, sizes[i].as_py(), 0, hashlib.sha256(), hashlib.sha256(_BOM)
+                begin = b""
+            else:
+                begin = b"\n"
+            data = begin + b"\n".join(b.column(2).slice(i, j - i).to_pylist())
+            done += len(data)
+            plain.update(data)
+            marked.update(data)
+    if path is not None:
+        yield ended()
+
+
+def _streamed_checksums(spark: SparkSession, path: str, glob: str, largest: int) -> DataFrame:
+    """path and sha256 of the files that hold a line. SHA-256 is one chain, so a task reads the whole of a file, but holds only some lines of it."""
+    at, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).where(~at.rlike(_PACKED))
+    whole = F.assert_true(F.col("_metadata.file_block_length") == size, F.lit("a file was cut before it was hashed"))
+    lines = files.select(at.alias("path"), F.when(whole.isNull(), size).alias("size"), F.col("value").cast("binary").alias("value"))
+    wanted = {"spark.sql.files.maxPartitionBytes": str(largest + 1), "spark.sql.files.minPartitionNum": "1"}  # no file is cut, small ones share a task
+    held = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        return cut_lineage(lines.mapInArrow(_checksums, "path string, sha256 string"), "checksums")
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def file_inventory(spark: SparkSession, path: str, glob: str = "*", checksums: bool = True) -> DataFrame:
+    """file, kind, size and (with ``checksums``) sha256 of every file below ``path``; hashed on the executors while the bytes are read.
+
+    Files are read between line feeds, so a task holds some lines of a file, not all of it; only files with the names of packed ones are read
+    whole. Spark lists no empty files.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-        F.regexp_extract("path", r"\.([^./]+)$", 1).alias("kind"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    kinds = [F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.regexp_extract("path", r"\.([^./]+)$", 1).alias("kind"), F.col("length").alias("size_bytes")]
+    if not checksums:
+        return files.select(*kinds)
+    at = F.col("_metadata.file_path").alias("_at")
+    out = files.select(at, *kinds)
+    packed = files.where(at.rlike(_PACKED)).select(at, F.sha2("content", 256).alias("sha256"))
+    largest = out.agg(F.max("size_bytes")).first()[0] or 0
+    sums = _streamed_checksums(spark, path, glob, largest).withColumnRenamed("path", "_at").unionByName(packed)
+    lineless = F.when(F.col("size_bytes") == len(_BOM), hashlib.sha256(_BOM).hexdigest())
+    return out.join(sums, "_at", "left").select("file", "kind", "size_bytes", F.coalesce("sha256", lineless).alias("sha256"))
 
 
 def verify_checksums(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -272,11 +272,6 @@ def test_spans_of_a_day_are_merged_for_all_rows_at_once():
 
 def test_exposure_areas_over_tiles_and_shapes(spark, monkeypatch):
     """Rasters cut into tiles, or stacked by shape, count the cells of :func:`exposure_zones`; rings that miss every centre have no zone."""
-    import datetime as dt
-
-    import numpy as np
-
-    from spacetide.operators import geometry as G
     from spacetide.operators import hull, zones
 
     rng = np.random.default_rng(11)
@@ -294,3 +289,21 @@ def test_exposure_areas_over_tiles_and_shapes(spark, monkeypatch):
         monkeypatch.setattr(zones, "CELLS", cells)
         got = [tuple(r) for b in zones.areas_of_batches(iter(batches), [1000.0, 4200.0], 1000.0, cols) for r in zip(*(c.to_pylist() for c in b.columns))]
         assert sorted(got) == plain
+
+
+def test_checksums_are_taken_while_a_file_is_read(spark, tmp_path):
+    """Bytes of any kind, with and without a last line feed or a byte-order mark, in names of any kind; no file's content is one value of a row."""
+    import gzip
+    import hashlib
+
+    noise = np.random.default_rng(2).bytes(3_000_000)
+    texts = {"a b%20.bin": noise, "end.bin": noise + b"\n", "feed": b"\n", "feeds": b"\n\n", "mark": b"\xef\xbb\xbf", "marked": b"\xef\xbb\xbfx\r\ny", "marked end": b"\xef\xbb\xbfx\n\n", "z.gz": gzip.compress(b"x" * 9)}
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for i, (name, data) in enumerate(texts.items()):
+        (tmp_path / "in" / ("deep" if i % 2 else "") / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    inv = T.file_inventory(spark, str(tmp_path / "in"))
+    assert rows(inv, "file", "size_bytes", "sha256") == sorted((n, len(x), hashlib.sha256(x).hexdigest()) for n, x in texts.items())
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    biggest = [max((len(v) for v in b.column(2).to_pylist()), default=0) for b in spark.read.option("lineSep", "\n").text(str(tmp_path / "in" / "a b%20.bin")).selectExpr("'p' p", "1 n", "cast(value as binary) v").toArrow().to_batches()]
+    assert max(biggest) < len(noise) / 100
