@@ -149,3 +149,17 @@ def test_near_pairs_of_a_block_are_cut_as_they_are_found():
     assert full < 2_000_000 and peak < 200 << 20
     for i in range(0, 200, 20):
         assert [r["ids"][0] for r in found[i]] == np.argsort(d[i], kind="stable")[:6].tolist()
+
+
+def test_group_medians_are_exact_whatever_is_drawn(spark, monkeypatch):
+    """Ties, missing values and empty columns; few drawn rows, missed brackets and full ones give the same medians, by sending few values."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"_g": [f"g{i}" for i in rng.integers(0, 3, 9000)], "a": rng.normal(size=9000), "b": rng.integers(0, 3, 9000).astype(float), "c": np.nan, "d": rng.exponential(size=9000) * (rng.random(9000) < 0.6)})
+    pdf.loc[rng.random(9000) < 0.1, "a"] = np.nan
+    df = spark.createDataFrame(pdf).select("_g", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "abcd"]).repartition(4).cache()
+    plain = {g: np.nan_to_num(part[list("abcd")].median().to_numpy()) for g, part in pdf.groupby("_g")}
+    for drawn, most, gathered in ((20_000, 1 << 22, 1 << 20), (200, 1 << 22, 100), (1, 1 << 22, 1 << 20), (500, 20, 1 << 20)):
+        for name, value in (("DRAWN", drawn), ("MOST", most), ("GATHERED", gathered)):
+            monkeypatch.setattr(M, name, value)
+        got = M.group_medians(df, list("abcd"))
+        assert sorted(got) == sorted(plain) and all(got[g] == pytest.approx(plain[g], abs=1e-12) for g in plain)
