@@ -163,3 +163,22 @@ def test_group_medians_are_exact_whatever_is_drawn(spark, monkeypatch):
             monkeypatch.setattr(M, name, value)
         got = M.group_medians(df, list("abcd"))
         assert sorted(got) == sorted(plain) and all(got[g] == pytest.approx(plain[g], abs=1e-12) for g in plain)
+
+
+def test_a_query_is_sent_once_for_all_blocks_of_a_group(spark, monkeypatch):
+    """Many small blocks in a few groups: the neighbours are those of all pairs, and a query travels at most once a group."""
+    monkeypatch.setattr(vectors, "CELL_POINTS", 40)
+    monkeypatch.setattr(vectors, "BLOCK_POINTS", 60)
+    monkeypatch.setattr(vectors, "GROUP_POINTS", 300)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(900, 20)), 1)
+    x[::7] = x[0]  # copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    np.fill_diagonal(d, np.inf)
+    for k in (1, 4):
+        got = rows(vectors.pivot_join(df, df, k, "v"), "query_id", "rank", "neighbor_id")
+        assert got == [(i, r + 1, int(j)) for i in range(900) for r, j in enumerate(np.lexsort((np.arange(900), d[i]))[:k])]
+    cells = vectors.Cells(x[:400], 22)
+    cells.describe([{"cell": c, "n": 40, "low": 0.0, "high": 9.0} for c in range(len(cells.pivots))])
+    assert len(cells.group) == cells.blocks.sum() and (np.diff(cells.group) >= 0).all() and cells.group[-1] + 1 < cells.blocks.sum() / 5
